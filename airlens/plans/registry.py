@@ -1,4 +1,11 @@
 """All registered queries of the library and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from airlens.plans import blocks, transcripts
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (transcripts, blocks):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

@@ -149,13 +149,13 @@ def t14(spark: SparkSession, d: str) -> DataFrame:
     return left.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_words"), F.min("index").alias("first_word"), F.max("index").alias("last_word"), F.sum("index").alias("index_sum"))
 
 
-_PRINTS = """, windows as (select rec_id, medio, unnest(range(0, len(words) - 49, 25))::int start_word, words from transcripts where len(words) >= 50),
+PRINTS = """, windows as (select rec_id, medio, unnest(range(0, len(words) - 49, 25))::int start_word, words from transcripts where len(words) >= 50),
     texts as (select rec_id, medio, start_word, trim(regexp_replace(regexp_replace(lower(strip_accents(array_to_string(words[start_word + 1:start_word + 50], ' '))), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) texto from windows),
     prints as (select *, sha256(texto) huella from texts where texto <> '')"""
-_INDEX = _PRINTS + """, idx as (select huella, count(distinct rec_id) veces_visto, count(distinct medio) medios_distintos, min(rec_id) primera, max(rec_id) ultima from prints group by huella)"""
+_INDEX = PRINTS + """, idx as (select huella, count(distinct rec_id) veces_visto, count(distinct medio) medios_distintos, min(rec_id) primera, max(rec_id) ultima from prints group by huella)"""
 
 
-@query("n2_fingerprints", "transcripts", _PRINTS + " select rec_id, start_word, huella from prints")
+@query("n2_fingerprints", "transcripts", PRINTS + " select rec_id, start_word, huella from prints")
 def n2(spark: SparkSession, d: str) -> DataFrame:
     return repeat.fingerprints(demo.transcripts(spark, d)).select("rec_id", "start_word", "huella")
 
@@ -186,7 +186,7 @@ def n5(spark: SparkSession, d: str) -> DataFrame:
     return repeat.skip_chunks(prints, _ads(spark, d))
 
 
-@query("n6_fingerprint_coverage", "transcripts blocks", _PRINTS + """, disputed as (select rec_id, idx, start_word, end_word from blocks where model = 'C' and rec_id % 9 = 0 and tipo = 'relleno'),
+@query("n6_fingerprint_coverage", "transcripts blocks", PRINTS + """, disputed as (select rec_id, idx, start_word, end_word from blocks where model = 'C' and rec_id % 9 = 0 and tipo = 'relleno'),
     recs as (select rec_id from (select rec_id, row_number() over (partition by medio order by rec_id desc) r from (select distinct rec_id, medio from prints) where rec_id not in (select rec_id from disputed)) where r <= 25),
     seen as (select huella, count(distinct rec_id) seen from prints where rec_id in (select rec_id from recs) group by huella)
     select d.rec_id, d.idx, count(p.huella) windows, count(*) filter (seen >= 2) in_2, count(*) filter (seen >= 3) in_3, count(*) filter (seen >= 5) in_5

@@ -107,7 +107,6 @@ def reconcile_backfill(recordings: DataFrame, objects: DataFrame, transcribed: D
 _XML = ("&amp;", "&lt;", "&gt;", "&quot;", "&apos;")
 
 
-@F.pandas_udf("string")
 def _named(bodies: pd.Series) -> pd.Series:
     import re
 
@@ -117,7 +116,7 @@ def _named(bodies: pd.Series) -> pd.Series:
 
 def repair_entities(body: Column) -> Column:
     """Named HTML entities as characters; numeric ones and XML's five stay. Only for bodies that failed to parse."""
-    return _named(body)
+    return F.pandas_udf(_named, "string")(body)
 
 
 def rfc2822(text: Column) -> Column:

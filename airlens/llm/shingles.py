@@ -131,7 +131,7 @@ def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhash(found: Shingles, count: int) -> np.ndarray:
-    """A row per text of `count` 32-bit minima, one for each universal hash of its shingles; texts without
+    """A row per text of `count` 32-bit minima, mixed, one for each universal hash of its shingles; texts without
     shingles have all ones."""
     out = np.full((len(found.first) - 1, count), 0xFFFFFFFF, np.uint32)
     some = np.flatnonzero(np.diff(found.first))
@@ -139,4 +139,9 @@ def minhash(found: Shingles, count: int) -> np.ndarray:
         at, x = found.first[some], (found.hashes >> U(32)).astype(np.uint32)
         for k, (a, b) in enumerate(zip(*coefficients(count))):
             out[some, k] = np.minimum.reduceat(x * a + b, at)
+        # Low bits of a minimum follow those of its shingle; mixed, any few bits of it can stand for it.
+        m = out[some]
+        m = (m ^ (m >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        m = (m ^ (m >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        out[some] = m ^ (m >> np.uint32(16))
     return out

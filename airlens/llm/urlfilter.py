@@ -103,7 +103,7 @@ def calibrated(labelled: DataFrame) -> float:
     bins = step.groupBy("at").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))  # some hundred rows
     below = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rate = (1 - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(whole)) + F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(whole)
+    rate = (1 - F.try_divide(F.coalesce(F.sum("a").over(below), F.lit(0)), F.sum("a").over(whole))) + F.try_divide(F.coalesce(F.sum("r").over(below), F.lit(0)), F.sum("r").over(whole))
     best = bins.withColumn("rate", rate).where("rate is not null").orderBy(F.desc("rate"), F.abs("at"), "at").first()
     return (best["at"] - 0.5) / 50 if best else 0.0
 

@@ -132,7 +132,7 @@ def _write(path: str, folder: str, limit: int):
 
 def write_ids(docs: DataFrame, path: str, folder: str | None = None, limit: int = FILE_IDS) -> tuple[str, DataFrame]:
     """Writes the ids of all texts (null: empty), each with a closing 0, in ascending doc_id order (rows of one
-    doc_id by text); the folder and its manifest: file, first_doc, last_doc, documents, ids, and `start`, the
+    doc_id by text; rows without one have no place in the order and are left out); the folder and its manifest: file, first_doc, last_doc, documents, ids, and `start`, the
     ids in all files before. The manifest is a written table with a row a file."""
     spark = docs.sparkSession
     small_batches(spark)

@@ -16,7 +16,8 @@
 5. Components by alternating large-star and small-star steps, each written to the shared folder.
 
 Nulls and texts without words have no shingles, link with nothing and are their own component. Rows that
-repeat a doc_id are one node. Extra columns are ignored. An empty table gives an empty result.
+repeat a doc_id are one node. A row without a doc_id is no node: it gets the component of the documents with its
+shingle set, or none and stays. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id): a row per row."""
     sigs = written(signatures(docs), "signatures")
-    sets = sigs.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
+    sets = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
     nodes = written(sets.select("set_a", "set_b", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sig").alias("sig")), "nodes")
 
     own = Window.partitionBy("key")

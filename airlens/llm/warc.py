@@ -13,7 +13,7 @@ one block by range, binary-searches its lines and reads the record by range.
 
 A null html is an empty payload and a null url an empty one; rows of one page_id are records of their own
 (those of the largest id of their payload are responses all). An empty table gives no archives and an empty
-result. Extra columns are ignored.
+result. Rows without a page_id can't be referred to and are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     small_batches(spark)
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base)
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long"), "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     copies = written(rows.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
     # Most payloads are unique; a payload that many pages share is dealt over several tasks.
     found = split_join(rows, copies.select("digest", "newest", F.col("n").alias("copies")), ["digest"], "page_id", rows.count(), "left")
@@ -244,7 +244,7 @@ def _look_up(folder: str, files: list[tuple[str, int, str]]):
 
 def look_up(wanted: DataFrame, folder: str, files: list[tuple[str, int, str]]) -> DataFrame:
     """wanted: page_id, url. Sorted by ranges of keys, so that a task reads few index blocks and each once."""
-    keys = wanted.select(index_key(F.col("url")).alias("key"), F.col("page_id").cast("long")).distinct()
+    keys = wanted.where("page_id is not null").select(index_key(F.col("url")).alias("key"), F.col("page_id").cast("long")).distinct()
     ranged = keys.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     return ranged.mapInArrow(_look_up(folder, files), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

@@ -33,8 +33,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if gone.count() <= neardup.BROADCAST_IDS:
         gone = F.broadcast(gone)
     out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.count() != found.select("doc_id").distinct().count():
-        out = out.dropDuplicates(["doc_id"])
+    named = found.where("doc_id is not null")
+    if named.count() != named.select("doc_id").distinct().count():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
     return out
 
 

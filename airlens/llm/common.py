@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch; texts can be long, so batches are small, and `slices` bounds what is worked on at once.
 BATCH_ROWS = 512
 #: Bytes of text worked on at once by the numpy operators.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +49,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts(column: pa.Array) -> list[str]:
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose texts in `column` hold at most `limit` bytes together; a longer text comes alone."""
     if not batch.num_rows:
@@ -64,6 +62,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of Arrow batches that gives the memory it used back to the system when its task ends: workers live on,
+    and what each stage had freed but kept would add up."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def heavy_keys(left: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int]:
     """Keys of more than rows/512 rows (64 at least), so 512 keys at most, with their counts; and that limit."""
     limit = max(64, rows // 512)

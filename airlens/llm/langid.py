@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import in_training, small_batches
+from airlens.llm.common import in_training, slices, small_batches, trimmed
 
 PROFILE = 400
 #: Learned from this many texts of each language at most, those of the smallest hash of the id.
@@ -33,7 +33,7 @@ _letter: list[np.ndarray] = []
 def _letters() -> np.ndarray:
     """For each code point, itself where it is a letter, else 0; built once a worker."""
     if not _letter:
-        _letter.append(np.array([i if not 0xD800 <= i < 0xE000 and chr(i).isalpha() else 0 for i in range(0x110000)], np.int64))
+        _letter.append(np.fromiter((i if chr(i).isalpha() else 0 for i in range(0x110000)), np.int64, 0x110000))
     return _letter[0]
 
 
@@ -63,15 +63,15 @@ def _ranked(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's n-grams by language."""
-    total: dict[str, list[np.ndarray]] = {}
+    """Counts of n-grams by language, for a slice of the rows at a time."""
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            total.setdefault(lang, []).append(ngrams(text or ""))
-        for lang, parts in total.items():
-            gram, count = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(count)], names=["lang", "gram", "n"])
-        total = {}
+        for part in slices(batch, "text"):
+            own: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                own.setdefault(lang, []).append(ngrams(text or ""))
+            for lang, parts in own.items():
+                gram, count = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(count)], names=["lang", "gram", "n"])
 
 
 def learn(docs: DataFrame, texts: int = LEARN_TEXTS) -> dict[str, list[int]]:
@@ -87,7 +87,7 @@ def learn(docs: DataFrame, texts: int = LEARN_TEXTS) -> dict[str, list[int]]:
     if chosen is None:
         return {}
     sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(trimmed(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     out = {}
     for (lang,) in shown:
         top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(PROFILE)
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     """doc_id, held_out, lang_pred, score; only the text is looked at."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), (~in_training()).alias("held_out"), "text")
-    return rows.mapInArrow(_predict(profiles), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(_predict(profiles)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
@@ -147,4 +147,4 @@ def identified(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *got.columns], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(both, f"{schema}, lang_pred string, lang_score double")
+    return docs.mapInArrow(trimmed(both), f"{schema}, lang_pred string, lang_score double")

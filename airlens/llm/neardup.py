@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from airlens.llm.common import slices, small_batches, split_join, written
+from airlens.llm.common import slices, small_batches, split_join, trimmed, written
 from airlens.llm.shingles import U, buffers, minhash, mix, shingle_sets, shingles, words
 
 EXACT, CHUNK = 64, 4  # components under the index; components of a chunk
@@ -64,7 +64,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (equal for equal sets, and together only then), sig."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_sign), "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def _matrix(sigs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def index_keys(nodes: DataFrame) -> DataFrame:
     """key, slot, node: 64 rows for each row of nodes (node, sig)."""
-    return nodes.select("node", "sig").mapInArrow(_enter, "key long, slot int, node long")
+    return nodes.select("node", "sig").mapInArrow(trimmed(_enter), "key long, slot int, node long")
 
 
 def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = written(texts, "texts")
     got = split_join(pairs.select("a", "b"), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"], "b", rows)
     got = got.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return got.select("a", "b", "text_a", "text_b").mapInArrow(_likeness, "a long, b long").distinct()
+    return got.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_likeness), "a long, b long").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minor = np.flatnonzero(comp != kinds[counts.argmax()])
         if apart:
             minor = np.arange(len(node))
-        step = max(1, 100_000 // len(node))
+        step = max(1, 30_000 // len(node))
         for at in range(0, len(minor), step):
             x, y = np.meshgrid(minor[at : at + step], np.arange(len(node)), indexing="ij")
             ok = (comp[x] != comp[y]) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = held.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     held = held.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "comp", "n_shingles", "block", "sig")
     units = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    more = written(units.mapInArrow(_compare, "a long, b long").where("a < b"), "more")
+    more = written(units.mapInArrow(trimmed(_compare), "a long, b long").where("a < b"), "more")
     links = links.union(confirmed(more, docs))
 
     final = components(links)

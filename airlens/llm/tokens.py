@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 _CUT = re.compile(r"(?<!\s) ")
 #: Texts of these characters need no normalisation beyond lower case and split alike in any Unicode version.
 _PLAIN = re.compile(r"[\n\x20-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-#: Stretches remembered in each of two generations of a worker's memory (about 200 MB in all).
-REMEMBERED = 500_000
+#: Stretches remembered in each of two generations of a worker's memory (about 100 MB in all).
+REMEMBERED = 250_000
 
 
 class Unsafe(Exception):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import in_training, slices, small_batches
+from airlens.llm.common import in_training, slices, small_batches, trimmed
 from airlens.llm.shingles import _BASE, U, buffers, mix, words
 
 BITS = 20
@@ -90,15 +90,19 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, passes: int = PASSES) -> Mo
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, rows, labels = [], [], []
+    count = np.zeros(1 << BITS, np.int64)
     for batch in batches:
         ids += batch.column("doc_id").to_pylist()
         labels += batch.column("toxic").to_pylist()
-        rows += [np.asarray(x, np.int32) for x in batch.column("features").to_numpy(zero_copy_only=False)]
+        own = [np.array(x, np.int32) for x in batch.column("features").to_numpy(zero_copy_only=False)]
+        for x in own:  # a text has each feature once
+            count[x] += 1
+        rows += own
     if not rows:
         return
-    count = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    rows = [x[count[x] >= MIN_ROWS] for x in rows]
     order = np.argsort(mix(np.asarray(ids, np.int64).astype(U)), kind="stable")
-    got = ftrl([rows[i][count[rows[i]] >= MIN_ROWS] for i in order], np.asarray(labels, float)[order])
+    got = ftrl([rows[i] for i in order], np.asarray(labels, float)[order])
     yield pa.RecordBatch.from_arrays([pa.array(np.append(got.feature, -1).astype(np.int32)), pa.array(np.append(got.weight, got.intercept))], names=["feature", "weight"])
 
 
@@ -109,8 +113,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Model:
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # LEARN_ROWS rows: a proven bound
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
-    lists = sample.mapInArrow(_distinct, "doc_id long, toxic double, features array<int>")
-    got = lists.repartition(1).mapInArrow(_fit, "feature int, weight double").toPandas()
+    lists = sample.mapInArrow(trimmed(_distinct), "doc_id long, toxic double, features array<int>")
+    got = lists.repartition(1).mapInArrow(trimmed(_fit), "feature int, weight double").toPandas()
     if got.empty:
         return Model(np.zeros(0, np.int32), np.zeros(0), -30.0)
     rest = got[got.feature >= 0]
@@ -146,12 +150,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, got.chunk(0) if isinstance(got, pa.ChunkedArray) else got], names=[*part.schema.names, "toxicity"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(whole, f"{schema}, toxicity double")
+    return docs.mapInArrow(trimmed(whole), f"{schema}, toxicity double")
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from THRESHOLD on); only the text is looked at."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), (~in_training()).alias("held_out"), "text")
-    got = rows.mapInArrow(_score(model), "doc_id long, held_out boolean, toxicity double")
+    got = rows.mapInArrow(trimmed(_score(model)), "doc_id long, held_out boolean, toxicity double")
     return got.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))

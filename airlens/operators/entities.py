@@ -21,15 +21,17 @@ def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
 
     At that ratio at most 8 % of both lengths together are inserted or deleted: k characters for the longer
     partner allowed. Of k + 1 pieces of `a` one is whole in `b`, so pieces (4 or 5 characters) are joined to
-    substrings; lengths and a bounded edit distance are checked natively before the ratio itself.
+    substrings near their place; lengths and a bounded edit distance are checked natively before the ratio itself.
     """
     long = keys.where(F.length("key") >= LEAST_LENGTH).withColumn("n", F.length("key"))
     k = F.floor(0.174 * F.col("n")).cast("int")
     size = F.floor(F.col("n") / (k + 1)).cast("int")
-    pieces = long.select("tipo", F.col("key").alias("a"), "seen", "n", size.alias("p"), k.alias("k")).select("*", F.explode(F.expr("transform(sequence(0, k), i -> substring(a, i * p + 1, p))")).alias("piece"))
-    subs = long.select("tipo", F.col("key").alias("b"), F.col("seen").alias("seen_b"), F.col("n").alias("m"), F.explode(F.array(F.lit(3), F.lit(4), F.lit(5), F.lit(6))).alias("p"))
-    subs = subs.select("*", F.explode(F.expr("array_distinct(transform(sequence(1, m - p + 1), i -> substring(b, i, p)))")).alias("piece"))
-    near = pieces.join(subs, ["tipo", "p", "piece"]).where("a <> b").where(F.least("n", "m") * 1.174 + 1 >= F.greatest("n", "m"))
+    # A whole piece is shifted by k at most: the place joins too, so that common substrings don't meet everywhere.
+    pieces = long.select("tipo", F.col("key").alias("a"), "seen", "n", size.alias("p"), k.alias("k")).select("*", F.explode(F.expr("sequence(0, k)")).alias("i"))
+    pieces = pieces.select("*", F.explode(F.expr("sequence(greatest(i * p + 1 - k, 1), i * p + 1 + k)")).alias("at"), F.expr("substring(a, i * p + 1, p)").alias("piece"))
+    subs = long.select("tipo", F.col("key").alias("b"), F.col("seen").alias("seen_b"), F.col("n").alias("m"), F.explode(F.array(F.lit(4), F.lit(5))).alias("p"))
+    subs = subs.select("*", F.explode(F.expr("sequence(1, m - p + 1)")).alias("at")).withColumn("piece", F.expr("substring(b, at, p)"))
+    near = pieces.join(subs, ["tipo", "p", "at", "piece"]).where("a <> b").where(F.least("n", "m") * 1.174 + 1 >= F.greatest("n", "m"))
     limit = F.floor(0.08 * (F.col("n") + F.col("m"))).cast("int")
     pairs = near.select("tipo", "a", "b", "seen", "seen_b", limit.alias("limit")).distinct()
     pairs = pairs.where(F.levenshtein("a", "b") <= F.col("limit"))

@@ -281,6 +281,27 @@ def test_fingerprint_links_are_true(spark, sf):
     assert len(linked - {r["doc_id"] for r in got}) <= 0.02 * len(linked) + 1
 
 
+def test_fingerprint_links_in_a_crowd(spark, monkeypatch):
+    """Texts that all share a passage (likeness 0.5 to 0.74), some with a copy at 0.75 or a little more."""
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = word(70)
+    texts = {i: passage + word(int(rng.integers(15, 30))) for i in range(150)}
+    for i in range(50, 150):
+        texts[1000 + i] = [*texts[i][: -int(rng.integers(2, 15))], *word(10)]
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    near = {(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    alone = {i for i in range(50, 150) if not any(i == b for _, b in near)}
+    assert len(near) > 50 and len(alone) > 50 and min(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in near) < 0.77
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (1024, 40):
+        monkeypatch.setattr(fingerprint, "BLOCK", block, raising=False)
+        got = {r["doc_id"]: r["near_id"] for r in fingerprint.fingerprints(docs).collect() if r["near_id"] is not None}
+        assert all((a, b) in near for b, a in got.items())
+        assert set(got) == {b for _, b in near}
+
+
 def test_language_profiles():
     text = "der die das und der"
     got = langid._ranked(text)

@@ -36,8 +36,9 @@ from airlens.llm.shingles import U, buffers, minhash, mix, shingle_sets, shingle
 EXACT, CHUNK = 64, 4  # components under the index; components of a chunk
 COMPONENTS = 384
 MAX_DIFFER = 2 * (EXACT // CHUNK) - 1
-#: Mean of 0.249 * 384 differing components at likeness 0.75, and four standard deviations more.
-MAX_DIFFER_ALL = 129
+#: Mean of 0.249 * 384 differing components at likeness 0.75, and nearly six standard deviations more: a pair differs in
+#: more once in 100,000,000, far less often than the index misses it.
+MAX_DIFFER_ALL = 145
 BLOCK = 1024
 #: Ids of at most this many documents are broadcast to pick out texts (16 MB); beyond, they are joined.
 BROADCAST_IDS = 1_000_000

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on odd rows and on the smallest tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -194,6 +196,19 @@ def test_best_fit_never_passes_the_capacity():
         assert count == sizes
 
 
+def test_full_distance_loses_less_than_the_index():
+    """The chance that a pair at likeness 0.75 is beyond each limit (binomial), and a pair that lies between 129 and 145."""
+    beyond = lambda n, most, p: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
+    index, whole = beyond(neardup.EXACT, neardup.MAX_DIFFER, 0.25), beyond(neardup.COMPONENTS, neardup.MAX_DIFFER_ALL, 0.25)
+    assert whole < 1e-2 * index < 1e-6
+    one = np.arange(neardup.COMPONENTS) % 251
+    other = one.copy()
+    other[-140:] = 251
+    sigs = [x[: neardup.EXACT].astype("<u2").tobytes() + x[neardup.EXACT :].astype(np.uint8).tobytes() for x in (one, other)]
+    unit = pa.RecordBatch.from_pydict({"key": [5, 5], "i": pa.array([0, 0], pa.int32()), "j": pa.array([0, 0], pa.int32()), "slot": pa.array([0, 0], pa.int32()), "node": [1, 2], "comp": [1, 2], "n_shingles": [90, 90], "block": pa.array([0, 0], pa.int32()), "sig": pa.array(sigs, pa.binary())})
+    assert [b.to_pylist() for b in neardup._compare(iter([unit]))] == [[{"a": 1, "b": 2}]]
+
+
 def check_near(spark, texts, df):
     want = brute_components(texts)
     got = [r.asDict() for r in neardup.near_duplicates(df).collect()]

@@ -6,7 +6,12 @@ A file holds a range of documents in ascending doc_id order. Layout, little-endi
     blocks     blocks x uint64: where each block begins, from the file's start
     payload    blocks of ids, each id in `bits` bits, most significant bit first, a block padded to bytes
 `bits` is the least that hold the vocabulary. The block offsets lead to any id by one range read, and a block
-is unpacked by numpy at once.
+is unpacked by numpy at once; where `bits` is a whole number of bytes (16 for 50,257 ids) the same bytes are read as
+big-endian numbers, which is tested equal.
+
+Null texts are empty (the closing 0 alone). Texts are encoded whole, whatever their length; rows that repeat are
+written each. Rows without a doc_id have no place in the order and are left out. Extra columns are ignored. An empty
+table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from airlens.llm.common import scratch, small_batches, written
+from airlens.llm.common import scratch, small_batches, tasks, written
 from airlens.llm.tokens import encoder
 
 MAGIC = b"ALBITS01"
@@ -161,5 +166,7 @@ def _read(folder: str):
 
 def read_ids(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32, from the files."""
-    files = manifest.select("file", "start").repartition("file")
+    spark = manifest.sparkSession
+    size = manifest.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids")).first()
+    files = manifest.select("file", "start").repartition(max(1, min(size["files"], tasks(spark, 2 * size["ids"]))))
     return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts can be long, so batches are small, and `slices` bounds what is worked on at once.
@@ -30,9 +31,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset and all run on one machine
+    (tests), a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="airlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +53,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """How many tasks read `size` bytes, at about `each` bytes a task; as many as run at once at least. A given number of
+    partitions is not merged again by how small the rows are that name the files."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose texts in `column` hold at most `limit` bytes together; a longer text comes alone."""
     if not batch.num_rows:
@@ -75,21 +85,27 @@ def trimmed(run: Callable) -> Callable:
     return whole
 
 
-def heavy_keys(left: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int]:
-    """Keys of more than rows/512 rows (64 at least), so 512 keys at most, with their counts; and that limit."""
+def parts_of(left: DataFrame, keys: list[str], rows: int) -> Column:
+    """How many parts each key's rows are dealt over: 1, and more for keys of over rows/512 rows (64 at least). The driver
+    gets those keys' hashes, 512 at most, whatever the input; keys with one of these hashes by chance are dealt too."""
     limit = max(64, rows // 512)
-    return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit), limit
+    often = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    by_size: dict[int, list[int]] = {}
+    for key, many in often.select(F.xxhash64(*keys), F.col("_rows")).collect():
+        by_size.setdefault(1 << (-(-many // limit) - 1).bit_length(), []).append(key)
+    parts = F.lit(1)
+    for size, hashes in by_size.items():
+        parts = F.when(F.xxhash64(*keys).isin(hashes), size).otherwise(parts)
+    return parts
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, rows: int, how: str = "inner") -> DataFrame:
     """Join where a few keys may hold much of `left`: rows of such a key are dealt over several parts by the
-    hash of column `by`, and the matching rows of `right` are repeated once a part. `rows` counts `left`.
-    The broadcast table holds 512 rows at most (see heavy_keys), whatever the input."""
-    heavy, limit = heavy_keys(left, keys, rows)
-    heavy = heavy.select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    one = left.join(F.broadcast(heavy), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
-    other = right.join(F.broadcast(heavy), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    hash of column `by`, and the matching rows of `right` are repeated once a part. `rows` counts `left`; the keys have
+    equal types on both sides."""
+    parts = parts_of(left, keys, rows)
+    one = left.withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    other = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return one.join(other, [*keys, "_part"], how).drop("_part")
 
 

@@ -9,15 +9,17 @@
    than 31 once in 100,000 pairs.
 3. First round: in each key's bucket the most central node (the one in the fullest buckets) is compared with
    the others, each node with its best leader only; confirmed links give first components.
-4. Second round: buckets that still hold several components compare all their nodes across components, in
-   blocks of at most BLOCK nodes, one pair in one bucket only; what passes the distance on all 384 components
-   is confirmed on full sets. No pair under the threshold between different components is left out, and pairs
-   inside a component are not needed.
+4. Second round: in buckets that still hold several components, every node outside the bucket's largest component is
+   compared with all others, in units of bounded size (crowds.py), one pair in one bucket only; what passes the
+   distance on all 384 components is confirmed on full sets. No pair under the threshold between different
+   components is left out, and pairs inside a component are not needed.
 5. Components by alternating large-star and small-star steps, each written to the shared folder.
 
 Nulls and texts without words have no shingles, link with nothing and are their own component. Rows that
-repeat a doc_id are one node. A row without a doc_id is no node: it gets the component of the documents with its
-shingle set, or none and stays. Extra columns are ignored. An empty table gives an empty result.
+repeat a doc_id are one document, linked with whatever one of its texts is linked with. A row without a doc_id is no
+node: it gets the component of the documents with its shingle set, or none and stays. Ties go to the smallest id.
+Very long texts are read whole, a slice of rows at a time. Extra columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from airlens.llm.common import slices, small_batches, split_join, trimmed, written
-from airlens.llm.shingles import U, buffers, minhash, mix, shingle_sets, shingles, words
+from airlens.llm.crowds import buckets, candidates, confirmed, in_units, listed, with_bucket
+from airlens.llm.shingles import U, buffers, minhash, mix, set_digests, shingles, words
 
 EXACT, CHUNK = 64, 4  # components under the index; components of a chunk
 COMPONENTS = 384
@@ -39,9 +41,6 @@ MAX_DIFFER = 2 * (EXACT // CHUNK) - 1
 #: Mean of 0.249 * 384 differing components at likeness 0.75, and nearly six standard deviations more: a pair differs in
 #: more once in 100,000,000, far less often than the index misses it.
 MAX_DIFFER_ALL = 145
-BLOCK = 1024
-#: Ids of at most this many documents are broadcast to pick out texts (16 MB); beyond, they are joined.
-BROADCAST_IDS = 1_000_000
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("sig", pa.binary())])
 
@@ -52,12 +51,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = shingles(words(*buffers(part.column("text"))))
             minima = minhash(found, COMPONENTS)
             low, rest = minima[:, :EXACT].astype("<u2"), minima[:, EXACT:].astype(np.uint8)
-            size, a, b = (np.zeros(part.num_rows, np.int64) for _ in range(3))
-            for i, (x, y) in enumerate(zip(found.first[:-1], found.first[1:])):
-                own = np.unique(found.hashes[x:y])
-                size[i] = len(own)
-                a[i] = own.sum(dtype=U).astype(np.int64)
-                b[i] = mix(own).sum(dtype=U).astype(np.int64)
+            a, b, size = set_digests(found)
             sig = [low[i].tobytes() + rest[i].tobytes() for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(a), pa.array(b), pa.array(sig, pa.binary())], schema=_SIGNED)
 
@@ -93,84 +87,18 @@ def index_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(trimmed(_enter), "key long, slot int, node long")
 
 
-def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text_b"):
-            linked = []
-            last, left = None, None
-            ones = part.column("text_a")
-            for i, right in enumerate(shingle_sets(part.column("text_b"))):
-                if last is None or not ones[i].equals(ones[last]):
-                    last, left = i, shingle_sets(ones.slice(i, 1))[0]
-                both = len(np.intersect1d(left, right, True))
-                linked.append(both > 0 and 100 * both >= 75 * (len(left) + len(right) - both))
-            yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b; a written table) those whose full shingle sets have a Jaccard likeness of 0.75 or more."""
-    rows = pairs.count()
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if 2 * rows <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    texts = written(texts, "texts")
-    got = split_join(pairs.select("a", "b"), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), ["a"], "b", rows)
-    got = got.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return got.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_likeness), "a long, b long").distinct()
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by unit (key, i, j); a unit holds at most two blocks."""
-
-    def pairs(unit: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        node, comp, size, block = (unit.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n_shingles", "block"))
-        low, rest = _matrix(unit.column("sig"))
-        slot, apart = unit.column("slot")[0].as_py(), unit.column("i")[0].as_py() != unit.column("j")[0].as_py()
-        kinds, counts = np.unique(comp, return_counts=True)
-        minor = np.flatnonzero(comp != kinds[counts.argmax()])
-        if apart:
-            minor = np.arange(len(node))
-        step = max(1, 30_000 // len(node))
-        for at in range(0, len(minor), step):
-            x, y = np.meshgrid(minor[at : at + step], np.arange(len(node)), indexing="ij")
-            ok = (comp[x] != comp[y]) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
-            if apart:
-                ok &= block[x] < block[y]
-            else:
-                ok &= (x < y) | (comp[y] == kinds[counts.argmax()])
-            x, y = x[ok], y[ok]
-            same = (low[x] == low[y]).reshape(len(x), EXACT // CHUNK, CHUNK)
-            hits = same.sum(2, dtype=np.uint8)
-            chunk = (hits >= CHUNK - 1).argmax(1)
-            gap = (~same[np.arange(len(x)), chunk]).argmax(1)
-            ok = chunk * CHUNK + gap == slot  # the first key that the two share: the pair comes from there only
-            x, y, differ = x[ok], y[ok], EXACT - hits[ok].sum(1, dtype=np.int64)
-            ok = differ + (rest[x] != rest[y]).sum(1, dtype=np.int64) <= MAX_DIFFER_ALL
-            x, y = node[x[ok]], node[y[ok]]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-            unit = (key[a], i[a], j[a])
-            if held and unit != last:
-                yield from pairs(_joined(held))
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = unit
-    if held:
-        yield from pairs(_joined(held))
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+def _close(unit: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs within both distances whose first common key is this bucket's: the pair comes from there only."""
+    low, rest = _matrix(unit.column("sig"))
+    same = (low[x] == low[y]).reshape(len(x), EXACT // CHUNK, CHUNK)
+    hits = same.sum(2, dtype=np.uint8)
+    chunk = (hits >= CHUNK - 1).argmax(1)
+    gap = (~same[np.arange(len(x)), chunk]).argmax(1)
+    ok = np.flatnonzero(chunk * CHUNK + gap == unit.column("slot")[0].as_py())
+    differ = EXACT - hits[ok].sum(1, dtype=np.int64) + (rest[x[ok]] != rest[y[ok]]).sum(1, dtype=np.int64)
+    out = np.zeros(len(x), bool)
+    out[ok[differ <= MAX_DIFFER_ALL]] = True
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,30 +126,36 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id): a row per row."""
     sigs = written(signatures(docs), "signatures")
-    sets = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
-    nodes = written(sets.select("set_a", "set_b", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sig").alias("sig")), "nodes")
-
-    own = Window.partitionBy("key")
-    shared = written(index_keys(nodes).withColumn("n", F.count(F.lit(1)).over(own)).where("n > 1"), "buckets")
+    sets = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    nodes = written(sets.select("set_a", "set_b", "rows", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sig").alias("sig")), "nodes")
+
+    # Rows whose set is their own or is met first under their id are nodes; the others are sent to theirs.
+    some = sigs.where("n_shingles > 0")
+    member = split_join(some.select("doc_id", "n_shingles", "set_a", "set_b"), nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"], "doc_id", sigs.count(), "left")
+    member = written(member.select("doc_id", "n_shingles", "node"), "members")
+    several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    own = member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a < b").distinct()
+
+    shared = buckets(nodes, index_keys, ["key", "slot"], "buckets").drop("first")
+    rows = shared.count()
     central = shared.groupBy("node").agg(F.sum("n").alias("central"))
-    first = F.first("node").over(own.orderBy(F.desc("central"), "node"))
-    star = shared.join(central, "node").withColumn("leader", first).where("leader <> node")
+    star = with_bucket(shared.join(central, "node"), ["key", "slot"], rows, F.max(F.struct("central", (-F.col("node")).alias("less"))).alias("_lead"))
+    star = star.withColumn("leader", -F.col("_lead.less")).where("leader <> node")
     best = star.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("m")).groupBy("node").agg(F.max(F.struct("m", (-F.col("leader")).alias("less"))).alias("x"))
     pairs = written(best.select((-F.col("x.less")).alias("a"), F.col("node").alias("b")), "pairs")
-    links = written(confirmed(pairs, docs), "links")
+    links = confirmed(written(listed(pairs), "lists"), docs).union(own)
+    links = written(links, "links")
 
     known = components(links)
     held = shared.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    held = held.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low <> high")
-    held = held.join(nodes.select("node", "n_shingles", "sig"), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = held.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "slot", "node", "comp", "n_shingles", "block", "sig")
-    units = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    more = written(units.mapInArrow(trimmed(_compare), "a long, b long").where("a < b"), "more")
-    links = links.union(confirmed(more, docs))
+    per = held.groupBy("key", "slot", "comp").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key", "slot").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    held = split_join(held, per.select("key", "slot", "most"), ["key", "slot"], "node", rows)
+    held = held.withColumns({"open": F.col("comp") != F.col("most.comp"), "m": F.col("n") - F.col("most.c")}).join(nodes.select("node", "n_shingles", "sig"), "node")
+    units = in_units(held, ["key", "slot"], ["comp", "n_shingles", "sig"])
+    links = links.union(confirmed(written(candidates(units, ["key", "slot"], _close), "more"), docs))
 
     final = components(links)
-    member = sigs.select("doc_id", "n_shingles", "set_a", "set_b").join(nodes.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left")
     out = member.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    none = sigs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -124,6 +124,17 @@ def shingle_sets(column: pa.Array, size: int = 5) -> list[np.ndarray]:
     return [np.unique(got.hashes[a:b]) for a, b in zip(got.first[:-1], got.first[1:])]
 
 
+def set_digests(found: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text two sums over its distinct shingles, together equal for equal sets alone, and their number."""
+    size, a, b = (np.zeros(len(found.first) - 1, np.int64) for _ in range(3))
+    for i, (x, y) in enumerate(zip(found.first[:-1], found.first[1:])):
+        own = np.unique(found.hashes[x:y])
+        size[i] = len(own)
+        a[i] = own.sum(dtype=U).astype(np.int64)
+        b[i] = mix(own).sum(dtype=U).astype(np.int64)
+    return a, b, size
+
+
 def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd 32-bit factors and addends of `count` universal hash functions x -> a * x + b modulo 2**32."""
     x = mix(np.arange(1, 2 * count + 1, dtype=U) * U(_BASE)).astype(np.uint32)

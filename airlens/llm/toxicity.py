@@ -5,9 +5,14 @@ Features of a text, each once: its words, pairs of neighbouring words, and pairs
 proximal (McMahan and others, 2013) gives every coordinate its own learning rate and sets small weights to
 exactly 0, so the model is a short list of weights; it has at most 2**BITS, 4 MB as numbers, and is broadcast.
 
-Learning takes labelled rows of the training part, at most LEARN_ROWS of them, those of the smallest hash of
-the id, as lists of features. A null or empty text has no features and gets the score of the intercept. Without labels
-the model is empty and every score is the base rate 0.
+Learning takes labelled rows of the training part, those of the smallest hash of the id: at most LEARN_ROWS of them
+and at most LEARN_FEATURES features together, as lists of features, in one task (120 MB). A feature in so few rows that
+its z can't pass L1 in all passes (each adds 1 at most) keeps the weight 0 and is left out beforehand.
+
+A null or empty text has no features and gets the score of the intercept. Texts are read whole, whatever their length.
+Rows that repeat are scored each; an id labelled twice counts as toxic if one label says so. Without labels the model is
+empty and every score is 0. Extra columns are ignored (or kept as they are, by `clean`); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,19 +22,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from airlens.llm.common import in_training, slices, small_batches, trimmed
+from airlens.llm.common import in_training, slices, small_batches, trimmed, written
 from airlens.llm.shingles import _BASE, U, buffers, mix, words
 
 BITS = 20
-LEARN_ROWS = 12_000
+LEARN_ROWS, LEARN_FEATURES = 12_000, 30_000_000
 THRESHOLD = 0.3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 PASSES = 3
-#: Unfrequent features carry no weight: those in fewer rows of the sample.
-MIN_ROWS = 3
 
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -100,7 +105,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += own
     if not rows:
         return
-    rows = [x[count[x] >= MIN_ROWS] for x in rows]
+    rows = [x[PASSES * count[x] > L1] for x in rows]
     order = np.argsort(mix(np.asarray(ids, np.int64).astype(U)), kind="stable")
     got = ftrl([rows[i] for i in order], np.asarray(labels, float)[order])
     yield pa.RecordBatch.from_arrays([pa.array(np.append(got.feature, -1).astype(np.int32)), pa.array(np.append(got.weight, got.intercept))], names=["feature", "weight"])
@@ -113,8 +118,11 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Model:
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # LEARN_ROWS rows: a proven bound
     sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
-    lists = sample.mapInArrow(trimmed(_distinct), "doc_id long, toxic double, features array<int>")
-    got = lists.repartition(1).mapInArrow(trimmed(_fit), "feature int, weight double").toPandas()
+    lists = written(sample.mapInArrow(trimmed(_distinct), "doc_id long, toxic double, features array<int>"), "features")
+    # LEARN_ROWS numbers (and repeated ids) in one window tell how far the features reach.
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rangeBetween(Window.unboundedPreceding, 0))
+    taken = lists.select("doc_id", F.size("features").cast("long").alias("n")).withColumn("upto", upto).where(F.col("upto") <= LEARN_FEATURES)
+    got = lists.join(F.broadcast(taken.select("doc_id").distinct()), "doc_id", "left_semi").repartition(1).mapInArrow(trimmed(_fit), "feature int, weight double").toPandas()
     if got.empty:
         return Model(np.zeros(0, np.int32), np.zeros(0), -30.0)
     rest = got[got.feature >= 0]
@@ -138,19 +146,19 @@ def _score(model: Model):
     return run
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and toxicity."""
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score under the threshold."""
     small_batches(docs.sparkSession)
     run = _score(model)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                got = pa.Table.from_batches(run(iter([part.select(["text"])]))).column("toxicity").combine_chunks()
-                yield pa.RecordBatch.from_arrays([*part.columns, got.chunk(0) if isinstance(got, pa.ChunkedArray) else got], names=[*part.schema.names, "toxicity"])
+                only = pa.RecordBatch.from_arrays([part.column("text")], names=["text"])
+                score = pa.Table.from_batches(run(iter([only]))).column("toxicity").combine_chunks()
+                yield part.filter(pc.less(score, threshold))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(trimmed(whole), f"{schema}, toxicity double")
+    return docs.mapInArrow(trimmed(kept), docs.schema)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -7,8 +7,10 @@ LAMBDA). A URL's score is the mean, over its characters, of the difference of lo
 from a threshold on that best separates labelled URLs that the models were not counted on.
 
 The alphabet has 38 symbols, so the models have at most 38**4 + 38**3 + 38**2 + 38 rows (2.2 million, in
-practice tens of thousands), whatever the input: they are broadcast. A null URL or one without `://` has an
-empty host and path and no rule; a null or empty URL scores 0. Rows that repeat are judged each.
+practice tens of thousands), whatever the input: each order is broadcast to the step that needs it. A null URL or one
+without `://` has an empty host and path and no rule; a null or empty URL scores 0. A URL's score depends on the URL
+alone, so rows that repeat, or lack a page_id, are judged as any other with that URL. Very long URLs are scored whole.
+Of equally good thresholds the one nearest to 0 is taken. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from airlens.llm.common import written
+from airlens.llm.common import split_join, written
 
 #: host, path, verdict
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -84,16 +86,17 @@ def models(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(ratios, "ratios"), written(more, "contexts")
 
 
-def scored(pages: DataFrame, ratios: DataFrame, more: DataFrame) -> DataFrame:
-    """page_id, url_key, score (rounded, so that the order of summing doesn't show), once for equal rows."""
-    rows = _grams(pages.select("page_id", "url", F.xxhash64("url").alias("url_key")).distinct(), "page_id", "url_key")
+def scored(urls: DataFrame, ratios: DataFrame, more: DataFrame) -> DataFrame:
+    """url, score (rounded, so that the order of summing doesn't show), once for each different URL with characters."""
+    rows = _grams(urls.select("url").distinct(), "url")
     value: Column = F.lit(0.0)
     for k in range(1, ORDER + 1):
+        own, context = ratios.where(F.length("gram") == k), more.where(F.length("context") == k - 1)
         rows = rows.withColumn(f"g{k}", F.right("g", F.lit(k))).withColumn(f"c{k}", F.left(F.right("g", F.lit(k)), F.lit(k - 1)))
-        rows = rows.join(F.broadcast(ratios.select(F.col("gram").alias(f"g{k}"), F.col("lr").alias(f"lr{k}"))), f"g{k}", "left")
-        rows = rows.join(F.broadcast(more.select(F.col("context").alias(f"c{k}"), F.col("more").alias(f"m{k}"))), f"c{k}", "left")
+        rows = rows.join(F.broadcast(own.select(F.col("gram").alias(f"g{k}"), F.col("lr").alias(f"lr{k}"))), f"g{k}", "left")
+        rows = rows.join(F.broadcast(context.select(F.col("context").alias(f"c{k}"), F.col("more").alias(f"m{k}"))), f"c{k}", "left")
         value = F.coalesce(F.col(f"lr{k}"), value + F.coalesce(f"m{k}", F.lit(0.0)))
-    return rows.select("page_id", "url_key", value.alias("v")).groupBy("page_id", "url_key").agg(F.round(F.avg("v"), 9).alias("score"))
+    return rows.select("url", value.alias("v")).groupBy("url").agg(F.round(F.avg("v"), 9).alias("score"))
 
 
 def calibrated(labelled: DataFrame) -> float:
@@ -110,13 +113,13 @@ def calibrated(labelled: DataFrame) -> float:
 
 def judged(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block), score."""
-    rows = ruled(pages.select("page_id", "url"), rules)
+    rows = ruled(pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")), rules)
     known = rows.where("verdict is not null").select("page_id", "url", (F.col("verdict") == "allow").alias("accepted"))
     aside = F.pmod(F.xxhash64("page_id"), F.lit(4)) == 0  # calibrated on a quarter, counted on the rest
     ratios, more = models(known.where(~aside))
-    scores = written(scored(pages, ratios, more), "scores")
-    keyed = known.where(aside).withColumn("url_key", F.xxhash64("url"))
-    threshold = calibrated(keyed.join(scores, ["page_id", "url_key"]).select("score", "accepted"))
-    out = rows.withColumn("url_key", F.xxhash64("url")).join(scores, ["page_id", "url_key"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scores = written(scored(rows, ratios, more), "scores")
+    total = pages.count()
+    threshold = calibrated(split_join(known.where(aside), scores, ["url"], "page_id", total).select("score", "accepted"))
+    out = split_join(rows, scores, ["url"], "page_id", total, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "score")

@@ -32,9 +32,11 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import scratch, small_batches, split_join, written
+from airlens.llm.common import scratch, small_batches, split_join, tasks, written
 
 BLOCK_LINES = 256
+#: Bytes of capture lines of an index file, and of archives that a task reads back, about.
+INDEX_BYTES, READ_BYTES = 32 << 20, 32 << 20
 _FOOTER = "<QQ8s"  # where the directory begins, its length, magic
 _MAGIC = b"ALCDX001"
 DATE = "2024-01-01T00:00:00Z"
@@ -153,7 +155,8 @@ def _index(folder: str):
 
 def write_index(captures: DataFrame, folder: str) -> list[tuple[str, int, str]]:
     """Writes the index files; the first key, page_id and name of each, in order: a row a file."""
-    ranged = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    size = captures.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0)).alias("lines")).first()["lines"]
+    ranged = captures.repartitionByRange(tasks(captures.sparkSession, size, INDEX_BYTES), "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
     files = written(ranged.mapInArrow(_index(folder), "file string, key string, page_id long"), "index-files")
     return sorted((r["key"], r["page_id"], r["file"]) for r in files.collect())
 
@@ -242,15 +245,17 @@ def _look_up(folder: str, files: list[tuple[str, int, str]]):
     return run
 
 
-def look_up(wanted: DataFrame, folder: str, files: list[tuple[str, int, str]]) -> DataFrame:
-    """wanted: page_id, url. Sorted by ranges of keys, so that a task reads few index blocks and each once."""
+def look_up(wanted: DataFrame, folder: str, files: list[tuple[str, int, str]], size: int = 0) -> DataFrame:
+    """wanted: page_id, url. Sorted by ranges of keys, so that a task reads few index blocks and each once; as many tasks
+    as the records' `size` in bytes asks for."""
     keys = wanted.where("page_id is not null").select(index_key(F.col("url")).alias("key"), F.col("page_id").cast("long")).distinct()
-    ranged = keys.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ranged = keys.repartitionByRange(tasks(wanted.sparkSession, size, READ_BYTES), "key", "page_id").sortWithinPartitions("key", "page_id")
     return ranged.mapInArrow(_look_up(folder, files), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Writes all pages, indexes the records and reads each back through the index."""
     folder = scratch(pages.sparkSession, "archives")
-    files = write_index(write_archives(pages, folder), folder)
-    return look_up(pages, folder, files)
+    captures = write_archives(pages, folder)
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()["size"]
+    return look_up(pages, folder, write_index(captures, folder), size)

@@ -1,12 +1,18 @@
-"""Lossless WebP (VP8L): a decoder of the whole format to pixel arrays, and a writer for 8-bit payloads.
+"""Lossless WebP (VP8L): a decoder of the whole format to pixel arrays; payloads stored as WebP and read back.
 
 The decoder follows the public specification of the WebP lossless bitstream: prefix codes (simple and normal, with meta codes
 by tile), back-references with the two-dimensional distance map, the colour cache, and the inverses of the
-predictor, cross-colour, subtract-green and palette (with pixel bundling) transforms. An image whose codes all
-have one length and refer to nothing is unpacked by numpy at once; others symbol by symbol.
+predictor, cross-colour, subtract-green and palette (with pixel bundling) transforms.
 
-The writer stores a payload as RGB rows of 64 pixels (192 bytes). Each channel gets a complete prefix code of one
-length over the values that occur (6 bits for most text), so any WebP reader reads it.
+An image with one group of codes is read by numpy: what a token at each bit position would be, and where the one after it
+begins, is looked up for all positions at once; the true positions are then walked from the first, literals are put
+in their places together, and references and cache hits are resolved in order. Images whose codes all have one length and
+refer to nothing are unpacked at once; those with several groups are read symbol by symbol. The writer is in
+webp_writer.py.
+
+Null texts are empty; texts are stored whole, whatever their length, as one file for each 16,384 rows of 192 bytes. Equal
+texts have equal files and values; rows that repeat, or lack an id, are stored each. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import small_batches
+from airlens.llm.common import small_batches, trimmed, written
 
 WIDTH = 64
 ROW = 3 * WIDTH
 MOST_ROWS = 16384
 
 #: Fixed values of the format.
-_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-_CACHE_FACTOR = 0x1E35A7BD
-_BLACK = 0xFF000000
+LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+CACHE_FACTOR = 0x1E35A7BD
+BLACK = 0xFF000000
 #: Near neighbours by distance, then by |x|, the right one before the left: what distance codes 1 to 120 stand for.
-_NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
+NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
+#: Order of table entries when the first bit of a code is the lowest of its index, by the bits of the index.
+_order: dict[int, np.ndarray] = {}
+
+
+def _reversed(n: int) -> np.ndarray:
+    if n not in _order:
+        x = np.arange(1 << n)
+        _order[n] = sum(((x >> k) & 1) << (n - 1 - k) for k in range(n)) if n else x
+    return _order[n]
 
 
 class Bits:
@@ -55,38 +70,39 @@ class Code:
 
     def __init__(self, lengths: dict[int, int]):
         self.symbols = sorted(lengths)
+        self.lengths = lengths
         self.width: int | None = None
+        self.listed: tuple[list, list, int] | None = None
         if len(lengths) == 1:
             self.width = 0
             return
         sizes = set(lengths.values())
         if len(sizes) == 1 and len(lengths) == 1 << next(iter(sizes)):
             self.width = next(iter(sizes))
-        self.lengths = lengths
-        self.table: list | None = None
         if sum(1 << (15 - n) for n in lengths.values()) != 1 << 15:
             raise ValueError("incomplete prefix code")
 
-    def _build(self) -> None:
-        self.most = max(self.lengths.values())
-        self.table = [None] * (1 << self.most)
-        code = last = 0
-        for n, symbol in sorted((n, s) for s, n in self.lengths.items()):
-            code <<= n - last
-            last = n
-            low = int(f"{code:0{n}b}"[::-1], 2)
-            for k in range(low, 1 << self.most, 1 << n):
-                self.table[k] = (symbol, n)
-            code += 1
+    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """For what the next bits can be, the symbol and its length; and how many bits are looked at."""
+        if self.width == 0:
+            return np.array(self.symbols), np.zeros(1, np.int64), 0
+        symbol, size = np.array(self.symbols), np.array([self.lengths[s] for s in self.symbols])
+        by_size = np.argsort(size, kind="stable")
+        symbol, size = symbol[by_size], size[by_size]
+        most = int(size[-1])
+        spans, order = 1 << (most - size), _reversed(most)
+        return np.repeat(symbol, spans)[order], np.repeat(size, spans)[order], most
 
     def read(self, bits: Bits) -> int:
         if self.width == 0:
             return self.symbols[0]
-        if self.table is None:
-            self._build()
-        symbol, n = self.table[bits.peek(self.most)]
-        bits.at += n
-        return symbol
+        if self.listed is None:
+            symbols, sizes, most = self.table()
+            self.listed = symbols.tolist(), sizes.tolist(), most
+        symbols, sizes, most = self.listed
+        at = bits.peek(most)
+        bits.at += sizes[at]
+        return symbols[at]
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
@@ -95,26 +111,39 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         symbols = [bits.read(8 if wide else 1)] + [bits.read(8) for _ in range(two)]
         return Code(dict.fromkeys(symbols, 1))
     count = 4 + bits.read(4)
-    own = {s: n for s in _LENGTH_ORDER[:count] if (n := bits.read(3))}
-    lengths_code = Code(own)
+    own = {s: n for s in LENGTH_ORDER[:count] if (n := bits.read(3))}
     left = alphabet
+    lengths_code = Code(own)
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    values, sizes, most = lengths_code.table()
+    values, sizes, mask = values.tolist(), sizes.tolist(), (1 << most) - 1
+    # Fourteen bits at most for each token, of which there are `left` at most.
+    byte = bits.at >> 3
+    ahead, at = int.from_bytes(bits.data[byte : byte + 2 * left + 8], "little"), bits.at & 7
     lengths: dict[int, int] = {}
     symbol, before = 0, 8
     while symbol < alphabet and left:
         left -= 1
-        n = lengths_code.read(bits)
+        k = ahead >> at & mask
+        n = values[k]
+        at += sizes[k]
         if n < 16:
             if n:
                 lengths[symbol] = before = n
             symbol += 1
         elif n == 16:
-            for _ in range(3 + bits.read(2)):
+            for _ in range(3 + (ahead >> at & 3)):
                 lengths[symbol] = before
                 symbol += 1
+            at += 2
+        elif n == 17:
+            symbol += 3 + (ahead >> at & 7)
+            at += 3
         else:
-            symbol += 3 + bits.read(3) if n == 17 else 11 + bits.read(7)
+            symbol += 11 + (ahead >> at & 127)
+            at += 7
+    bits.at = 8 * byte + at
     return Code(lengths)
 
 
@@ -155,45 +184,149 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += c.width
             parts.append(np.asarray(c.symbols, np.uint32)[index])
         return parts[3] << 24 | parts[1] << 16 | parts[0] << 8 | parts[2]
+    if len(groups) == 1:
+        return _by_position(bits, groups[0], cache_bits, width, n)
+    return _by_symbol(bits, groups, cache_bits, width, n, tiles, tile, per_row)
+
+
+def _by_position(bits: Bits, codes: list[Code], cache_bits: int, width: int, n: int) -> np.ndarray:
+    green, red, blue, alpha, distance = (c.table() for c in codes)
+    # A token takes 15 bits a channel, or two symbols and 28 more bits, at most.
+    raw = np.frombuffer(bits.data, np.uint8, offset=bits.at >> 3)[: n * 8 + 16]
+    start, total = bits.at & 7, 8 * len(raw)
+    raw = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.uint32)
+    wide = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    ahead = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at each position the next 24 bits, and more
+    ahead = ahead.astype(np.int64)
+    index = ahead[:total] & ((1 << green[2]) - 1)
+    symbol = green[0].take(index)
+    after = np.arange(total) + green[1].take(index)
+    ends = after
+    places = []
+    for symbols, sizes, most in (red, blue, alpha):
+        places.append(ends)
+        if most:
+            ends = ends + sizes.take(ahead.take(ends) & ((1 << most) - 1))
+    count = np.ones(total, np.int64)
+    special = np.flatnonzero(symbol >= 256)
+    if len(special):
+        ends = ends.copy() if ends is after else ends
+        ends[special] = after[special]
+        refs = special[symbol[special] < 280]
+        length, at = _numbers_at(ahead, after[refs], symbol[refs] - 256)
+        code = distance[0][ahead[at] & ((1 << distance[2]) - 1)]
+        at = at + distance[1][ahead[at] & ((1 << distance[2]) - 1)]
+        far, at = _numbers_at(ahead, at, code)
+        ends[refs], count[refs] = at, length
+        distances = np.zeros(total, np.int64)
+        distances[refs] = far
+    follow, many = memoryview(np.ascontiguousarray(ends)), memoryview(count)
+    path, done, p = [], 0, start
+    while done < n:
+        if p >= total:
+            raise ValueError("the image breaks off")
+        path.append(p)
+        done += many[p]
+        p = follow[p]
+    bits.at += p - start
+    at = np.array(path)
+    kind, sizes = symbol[at], count[at]
+    first = np.cumsum(sizes) - sizes
+    out = np.zeros(n, np.uint32)
+    plain = kind < 256
+    own = at[plain]
+    value = kind[plain].astype(np.uint32) << 8
+    for (symbols, _, most), place, shift in zip((red, blue, alpha), places, (16, 0, 24)):
+        got = symbols[ahead[place[own]] & ((1 << most) - 1)] if most else symbols[0]
+        value |= np.asarray(got, np.uint32) << np.uint32(shift)
+    out[first[plain]] = value
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        spans = np.minimum(sizes[rest], n - first[rest]).tolist()
+        far = np.where(kind[rest] < 280, distances[at[rest]], 0).tolist()
+        _resolve(out, first[rest].tolist(), spans, far, (kind[rest] - 280).tolist(), cache_bits, width)
+    return out
+
+
+def _numbers_at(ahead: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefix symbols and the extra bits at these positions; and where those end."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    base = np.where(prefix < 4, prefix, (2 + (prefix & 1)) << extra)
+    return base + (ahead[at] & ((np.int64(1) << extra) - 1)) + 1, at + extra
+
+
+def _reach(code: int, width: int) -> int:
+    """How many pixels back a distance code leads."""
+    if code > 120:
+        return code - 120
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
+
+
+def _resolve(out: np.ndarray, first: list, spans: list, codes: list, slots: list, cache_bits: int, width: int) -> None:
+    """Fills in references (codes > 0) and cache hits, in order; literals are in their places."""
+    if not cache_bits:
+        for at, span, code in zip(first, spans, codes):
+            far = _reach(code, width)
+            if far > at:
+                raise ValueError("a reference before the image's start")
+            while span > 0:  # what has been copied can be copied again
+                take = min(span, far)
+                out[at : at + take] = out[at - far : at - far + take]
+                at, span, far = at + take, span - take, far + take
+        return
+    shift = np.uint64(32 - cache_bits)
+    slot = ((out.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> shift).tolist()
+    px = out.tolist()
+    cache = [0] * (1 << cache_bits)
+    put = 0  # pixels that the cache has seen
+    for at, span, code, own in zip(first, spans, codes, slots):
+        if code:
+            far = _reach(code, width)
+            if far > at:
+                raise ValueError("a reference before the image's start")
+            for k in range(at, at + span):
+                px[k], slot[k] = px[k - far], slot[k - far]
+        else:
+            for k in range(put, at):
+                cache[slot[k]] = px[k]
+            put = at
+            px[at], slot[at] = cache[own], own
+    out[:] = px
+
+
+def _by_symbol(bits: Bits, groups: list, cache_bits: int, width: int, n: int, tiles: np.ndarray, tile: int, per_row: int) -> np.ndarray:
     out: list[int] = []
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     put = 0  # pixels that the cache has seen
     while len(out) < n:
-        if tile:
-            y, x = divmod(len(out), width)
-            green, red, blue, alpha, distance = groups[int(tiles[(y >> tile) * per_row + (x >> tile)])]
-        else:
-            green, red, blue, alpha, distance = groups[0]
+        y, x = divmod(len(out), width)
+        green, red, blue, alpha, distance = groups[int(tiles[(y >> tile) * per_row + (x >> tile)])]
         symbol = green.read(bits)
         if symbol < 256:
             r, b, a = red.read(bits), blue.read(bits), alpha.read(bits)
             out.append(a << 24 | r << 16 | symbol << 8 | b)
         elif symbol < 280:
             length = _number(bits, symbol - 256)
-            far = _number(bits, distance.read(bits))
-            if far > 120:
-                far -= 120
-            else:
-                x, y = _NEAR[far - 1]
-                far = max(1, x + y * width)
+            far = _reach(_number(bits, distance.read(bits)), width)
             if far > len(out):
                 raise ValueError("a reference before the image's start")
             for _ in range(min(length, n - len(out))):
                 out.append(out[-far])
         else:
             while put < len(out):
-                cache[(_CACHE_FACTOR * out[put] & 0xFFFFFFFF) >> shift] = out[put]
+                cache[(CACHE_FACTOR * out[put] & 0xFFFFFFFF) >> shift] = out[put]
                 put += 1
             out.append(cache[symbol - 280])
     return np.asarray(out, np.uint32)
 
 
-def _channels(pixels: np.ndarray) -> np.ndarray:
+def channels(pixels: np.ndarray) -> np.ndarray:
     """ARGB numbers as columns alpha, red, green, blue."""
     return np.ascontiguousarray(pixels).astype(">u4").view(np.uint8).reshape(-1, 4).astype(np.int64)
 
 
-def _numbers(channels: np.ndarray) -> np.ndarray:
+def numbers(channels: np.ndarray) -> np.ndarray:
     return (channels & 0xFF).astype(np.uint8).view(">u4").ravel().astype(np.uint32)
 
 
@@ -232,41 +365,54 @@ def _predicted(mode: int, left, top, top_left, top_right) -> list[int]:
 
 
 def _unpredict(pixels: np.ndarray, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    rest = _channels(pixels).tolist()
+    """Row by row: one that looks up (or left) alone is summed at once, others pixel by pixel."""
+    rest = channels(pixels).reshape(-1, width, 4)
     per_row = -(-width >> bits)
-    modes = ((modes >> 8) & 0xF).tolist()
-    out: list[list[int]] = []
-    for i, own in enumerate(rest):
-        y, x = divmod(i, width)
-        if not i:
-            guess = [255, 0, 0, 0]
-        elif not y:
-            guess = out[-1]
-        elif not x:
-            guess = out[i - width]
+    modes = ((modes >> 8) & 0xF).reshape(-1, per_row)
+    out = np.zeros_like(rest)
+    for y, own in enumerate(rest):
+        row = modes[y >> bits]
+        if y and (row == row[0]).all() and row[0] in (0, 2, 3, 4, 8, 9):
+            top = out[y - 1]
+            above_left, above_right = np.vstack([top[:1], top[:-1]]), np.vstack([top[1:], (own[:1] + top[:1]) & 0xFF])
+            black = np.zeros_like(top) + (255, 0, 0, 0)
+            guess = {0: black, 2: top, 3: above_right, 4: above_left, 8: (above_left + top) >> 1, 9: (top + above_right) >> 1}[int(row[0])].copy()
+            guess[0] = top[0]
+            out[y] = (own + guess) & 0xFF
+        elif not y or (row == 1).all():
+            own = own.copy()
+            own[0] += out[y - 1, 0] if y else (255, 0, 0, 0)
+            out[y] = own.cumsum(0) & 0xFF
         else:
-            mode = modes[(y >> bits) * per_row + (x >> bits)]
-            guess = _predicted(mode, out[i - 1], out[i - width], out[i - width - 1], out[i - width + 1])
-        out.append([(a + b) & 0xFF for a, b in zip(own, guess)])
-    return _numbers(np.asarray(out, np.int64).reshape(-1, 4))
+            out[y] = _unpredict_row(own.tolist(), out[y - 1].tolist(), row.tolist(), bits)
+    return numbers(out.reshape(-1, 4))
+
 
+def _unpredict_row(own: list, top: list, modes: list, bits: int) -> list:
+    out = [[(a + b) & 0xFF for a, b in zip(own[0], top[0])]]
+    for x in range(1, len(own)):
+        above_right = top[x + 1] if x + 1 < len(top) else out[0]
+        guess = _predicted(modes[x >> bits], out[x - 1], top[x], top[x - 1], above_right)
+        out.append([(a + b) & 0xFF for a, b in zip(own[x], guess)])
+    return out
 
-def _signed(x: np.ndarray) -> np.ndarray:
+
+def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8).view(np.int8).astype(np.int64)
 
 
 def _uncross(pixels: np.ndarray, width: int, factors: np.ndarray, bits: int) -> np.ndarray:
-    c = _channels(pixels)
+    c = channels(pixels)
     y, x = np.divmod(np.arange(len(pixels)), width)
-    f = _channels(factors)[(y >> bits) * -(-width >> bits) + (x >> bits)]
-    green = _signed(c[:, 2])
-    c[:, 1] = (c[:, 1] + (_signed(f[:, 3]) * green >> 5)) & 0xFF
-    c[:, 3] += (_signed(f[:, 2]) * green >> 5) + (_signed(f[:, 1]) * _signed(c[:, 1]) >> 5)
-    return _numbers(c)
+    f = channels(factors)[(y >> bits) * -(-width >> bits) + (x >> bits)]
+    green = signed(c[:, 2])
+    c[:, 1] = (c[:, 1] + (signed(f[:, 3]) * green >> 5)) & 0xFF
+    c[:, 3] += (signed(f[:, 2]) * green >> 5) + (signed(f[:, 1]) * signed(c[:, 1]) >> 5)
+    return numbers(c)
 
 
 def _unindex(pixels: np.ndarray, width: int, height: int, table: np.ndarray) -> np.ndarray:
-    shift = _bundle(len(table))
+    shift = bundle(len(table))
     index = (pixels.reshape(height, -1) >> 8) & 0xFF
     if shift:
         size = 8 >> shift
@@ -277,7 +423,7 @@ def _unindex(pixels: np.ndarray, width: int, height: int, table: np.ndarray) ->
     return whole[index.ravel()]
 
 
-def _bundle(colours: int) -> int:
+def bundle(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
@@ -302,9 +448,9 @@ def decode(data: bytes) -> np.ndarray:
             undo.append((kind, now, None, 0))
         else:
             count = bits.read(8) + 1
-            table = _numbers(_channels(_image(bits, count, 1, False)).cumsum(0))
+            table = numbers(channels(_image(bits, count, 1, False)).cumsum(0))
             undo.append((kind, now, table, 0))
-            shift = _bundle(count)
+            shift = bundle(count)
             now = (now + (1 << shift) - 1) >> shift
     pixels = _image(bits, now, height, True)
     for kind, w, plane, size in reversed(undo):
@@ -318,68 +464,10 @@ def decode(data: bytes) -> np.ndarray:
         else:
             pixels = _unindex(pixels, w, height, plane)
     if not has_alpha:
-        pixels = pixels | np.uint32(_BLACK)
+        pixels = pixels | np.uint32(BLACK)
     return np.stack([pixels >> 16, pixels >> 8, pixels, pixels >> 24], axis=1).astype(np.uint8).reshape(height, width, 4)
 
 
-def _put(flags: list[int], value: int, n: int) -> None:
-    flags.extend(value >> k & 1 for k in range(n))
-
-
-def _put_code(flags: list[int], present: np.ndarray) -> tuple[int, np.ndarray]:
-    """Writes a code of one length over a channel's values; its width, and for each value its bits, in order."""
-    if len(present) == 1:
-        _put(flags, 0b101, 3)  # simple, one symbol of eight bits
-        _put(flags, int(present[0]), 8)
-        return 0, np.zeros((256, 0), np.uint8)
-    width = int(len(present) - 1).bit_length()
-    spare = np.setdiff1d(np.arange(256), present)[: (1 << width) - len(present)]
-    symbols = np.sort(np.concatenate([present, spare]))
-    _put(flags, 0, 1)
-    used = max(_LENGTH_ORDER.index(0), _LENGTH_ORDER.index(width)) + 1
-    _put(flags, max(used, 4) - 4, 4)
-    for s in _LENGTH_ORDER[: max(used, 4)]:
-        _put(flags, int(s in (0, width)), 3)
-    count = max(2, int(symbols[-1]) + 1)
-    _put(flags, 1, 1)
-    _put(flags, 3, 3)  # the count in 2 + 2 * 3 bits
-    _put(flags, count - 2, 8)
-    has = np.zeros(count, np.uint8)
-    has[symbols] = 1
-    flags.extend(has.tolist())
-    table = np.zeros((256, width), np.uint8)
-    table[symbols] = (np.arange(1 << width)[:, None] >> np.arange(width)[::-1]) & 1
-    return width, table
-
-
-def encode(payload: bytes) -> bytes:
-    """Whole rows of 192 bytes, at most MOST_ROWS, as one file."""
-    height = len(payload) // ROW
-    if len(payload) != height * ROW or not 0 < height <= MOST_ROWS:
-        raise ValueError("a payload is 1 to 16384 rows of 192 bytes")
-    rgb = np.frombuffer(payload, np.uint8).reshape(-1, 3)
-    flags: list[int] = []
-    _put(flags, WIDTH - 1, 14)
-    _put(flags, height - 1, 14)
-    _put(flags, 0, 7)  # opaque, version, no transforms, no cache, no meta codes
-    parts = []
-    for c in (1, 0, 2):
-        width, table = _put_code(flags, np.flatnonzero(np.bincount(rgb[:, c], minlength=256)))
-        parts.append(table[rgb[:, c]])
-    _put(flags, 0b101, 3)
-    _put(flags, 255, 8)
-    _put(flags, 0b0001, 4)  # distances: simple, one symbol of one bit
-    body = np.concatenate([np.asarray(flags, np.uint8), np.concatenate(parts, axis=1).ravel()])
-    data = b"\x2f" + np.packbits(body, bitorder="little").tobytes()
-    padded = data + b"\0" * (len(data) & 1)
-    return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + padded
-
-
-def store(payload: bytes) -> bytes:
-    """Files one after another, each of at most MOST_ROWS rows."""
-    return b"".join(encode(payload[k : k + MOST_ROWS * ROW]) for k in range(0, len(payload), MOST_ROWS * ROW))
-
-
 def pixels(media: bytes) -> np.ndarray:
     """What `store` wrote, as rows x 64 x 4 bytes."""
     parts, at = [], 0
@@ -407,15 +495,18 @@ def feature(image: np.ndarray) -> str:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from airlens.llm.webp_writer import store
+
     for batch in batches:
         got = [padded(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([store(p) for _, p in got], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        columns = [batch.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([store(p) for _, p in got], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: every text (null: empty) as WebP files. Extra columns are ignored."""
+    """doc_id, n_bytes, media: every text as WebP files."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(_store), "doc_id long, n_bytes long, media binary")
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +523,7 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pixel_arrays(stored: DataFrame) -> DataFrame:
     """doc_id, width, height, rgba (rows of four bytes a pixel) of any lossless WebP files in `media`; null for null."""
     small_batches(stored.sparkSession)
-    return stored.select("doc_id", "media").mapInArrow(_arrays, "doc_id long, width int, height int, rgba binary")
+    return stored.select("doc_id", "media").mapInArrow(trimmed(_arrays), "doc_id long, width int, height int, rgba binary")
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -441,9 +532,7 @@ _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            n, payload = padded(text)
-            stored = store(payload)
+        for doc_id, n, stored in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
             image = pixels(stored)
             back = image[:, :, :3].tobytes()
             rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(image)))
@@ -453,7 +542,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores every text's padded bytes as WebP, reads them back as pixels, and describes both. An empty table gives
-    an empty result; rows that repeat give rows that repeat."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest, _DIGEST)
+    """Writes every text's padded bytes as a table of WebP files, reads that table into pixel arrays, and describes both."""
+    stored = written(media(docs), "media")
+    return stored.mapInArrow(trimmed(_digest), _DIGEST)

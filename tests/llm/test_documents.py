@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from airlens.llm import bitpack, bpe, fingerprint, langid, neardup, packing, toxicity
+from airlens.llm import bitpack, bpe, crowds, fingerprint, langid, neardup, packing, toxicity
 from airlens.llm.queries import BYTES, WORDS
 from airlens.llm.tokens import Encoder
 from tests.llm.cases import TEXTS, documents, empty, rows
@@ -205,8 +205,8 @@ def test_full_distance_loses_less_than_the_index():
     other = one.copy()
     other[-140:] = 251
     sigs = [x[: neardup.EXACT].astype("<u2").tobytes() + x[neardup.EXACT :].astype(np.uint8).tobytes() for x in (one, other)]
-    unit = pa.RecordBatch.from_pydict({"key": [5, 5], "i": pa.array([0, 0], pa.int32()), "j": pa.array([0, 0], pa.int32()), "slot": pa.array([0, 0], pa.int32()), "node": [1, 2], "comp": [1, 2], "n_shingles": [90, 90], "block": pa.array([0, 0], pa.int32()), "sig": pa.array(sigs, pa.binary())})
-    assert [b.to_pylist() for b in neardup._compare(iter([unit]))] == [[{"a": 1, "b": 2}]]
+    unit = pa.RecordBatch.from_pydict({"slot": pa.array([0, 0], pa.int32()), "sig": pa.array(sigs, pa.binary())})
+    assert neardup._close(unit, np.array([0]), np.array([1])).tolist() == [True]
 
 
 def check_near(spark, texts, df):
@@ -311,7 +311,7 @@ def test_fingerprint_links_in_a_crowd(spark, monkeypatch):
     assert len(near) > 50 and len(alone) > 50 and min(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in near) < 0.77
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for block in (1024, 40):
-        monkeypatch.setattr(fingerprint, "BLOCK", block, raising=False)
+        monkeypatch.setattr(crowds, "BLOCK", block)
         got = {r["doc_id"]: r["near_id"] for r in fingerprint.fingerprints(docs).collect() if r["near_id"] is not None}
         assert all((a, b) in near for b, a in got.items())
         assert set(got) == {b for _, b in near}

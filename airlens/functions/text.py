@@ -21,13 +21,22 @@ def _bases() -> tuple[str, str]:
 
 _MARKED, _BASE = _bases()
 
-#: Forms of address that are no part of a person's name.
-TITLES = ("presidente", "presidenta", "ministro", "ministra", "doctor", "doctora", "dr", "dra", "licenciado", "licenciada", "lic", "ingeniero", "ingeniera", "ing", "senor", "senora", "don", "dona", "general", "diputado", "diputada")
+#: Words that are no part of a person's name.
+TITLES = (
+    "presidente", "presidenta", "expresidente", "expresidenta", "licenciado", "licenciada", "lic", "doctor", "doctora", "dr", "dra",
+    "ingeniero", "ingeniera", "ing", "abogado", "abogada", "diputado", "diputada", "alcalde", "alcaldesa", "ministro", "ministra",
+    "senor", "senora", "don", "dona", "el", "la",
+)
+
+
+def unmarked(text: Column) -> Column:
+    """Lower case, without marks."""
+    return F.lower(F.regexp_replace(F.translate(text, _MARKED, _BASE), r"\p{Mn}", ""))
 
 
 def normalize_text(text: Column) -> Column:
     """Without marks, lower case, words of letters, digits and underscores with one space between."""
-    plain = F.lower(F.regexp_replace(F.translate(text, _MARKED, _BASE), r"\p{Mn}", ""))
+    plain = unmarked(text)
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 

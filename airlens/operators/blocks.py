@@ -62,6 +62,21 @@ def cells(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("index", F.explode(F.sequence("start_word", "end_word")))
 
 
+def stretches(blocks: DataFrame, *others: DataFrame) -> DataFrame:
+    """Blocks cut where a block of any of the frames begins or ends: `at`, the first word, and `n`, the words. Two blocks
+    that share words share whole stretches, so a join on rec_id and `at` weighs overlaps without a row a word."""
+    ends = F.explode(F.array("start_word", F.col("end_word") + 1))
+    points = blocks.select("rec_id", ends.alias("point"))
+    for other in others:
+        points = points.union(other.select("rec_id", ends.alias("point")))
+    cuts = points.groupBy("rec_id").agg(F.array_sort(F.collect_set("point")).alias("_cuts"))
+    own = blocks.where("start_word <= end_word").join(cuts, "rec_id")
+    inside = F.filter("_cuts", lambda x: (x >= F.col("start_word")) & (x <= F.col("end_word")))
+    after = F.concat(F.slice(inside, 2, F.size("_cuts")), F.array(F.col("end_word") + 1))
+    cut = F.explode(F.zip_with(inside, after, lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"))))
+    return own.withColumn("_cut", cut).drop("_cuts").select("*", "_cut.at", "_cut.n").drop("_cut")
+
+
 def exclude_consensus(blocks: DataFrame, policy: Policy) -> DataFrame:
     """rec_id, lo, hi, n_words: runs of words that enough models call one of the policy's types. Votes are summed
     over the ends of blocks (+1 and -1), so long blocks cost two rows, not one a word."""
@@ -86,9 +101,10 @@ def consensus_by_words(blocks: DataFrame, policy: Policy) -> DataFrame:
 
 def disagreement(blocks: DataFrame, other: DataFrame) -> DataFrame:
     """Adds flip, agree (shares of the words that the other model covers) and priority 1 to 5."""
-    theirs = cells(other).select("rec_id", "index", F.col("tipo").alias("_tipo"))
-    both = cells(blocks).join(theirs, ["rec_id", "index"])
-    got = both.groupBy("rec_id", "idx").agg(F.avg((junk(F.col("tipo")) != junk(F.col("_tipo"))).cast("int")).alias("flip"), F.avg((F.col("tipo") == F.col("_tipo")).cast("int")).alias("agree"))
+    theirs = stretches(other, blocks).select("rec_id", "at", F.col("tipo").alias("_tipo"))
+    both = stretches(blocks, other).join(theirs, ["rec_id", "at"])
+    part = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
+    got = both.groupBy("rec_id", "idx").agg(part(junk(F.col("tipo")) != junk(F.col("_tipo"))).alias("flip"), part(F.col("tipo") == F.col("_tipo")).alias("agree"))
     out = blocks.join(got, ["rec_id", "idx"], "left")
     priority = F.when(F.col("flip").isNull(), 5).when(F.col("flip") >= 0.5, 1).when(F.col("flip") > 0, 2).when(F.col("agree") < 1, 4).when(control_sample(F.col("rec_id"), F.col("idx")), 3).otherwise(5)
     return out.withColumns({"prioridad": priority, "flip": F.round(F.coalesce("flip", F.lit(0.0)), 6), "agree": F.round(F.coalesce("agree", F.lit(0.0)), 6)})
@@ -108,10 +124,11 @@ def priority_report(ranked: DataFrame) -> DataFrame:
 
 
 def next_batch(ranked: DataFrame, verdicts: DataFrame, leases: DataFrame, validator: str, now: int, limit: int) -> DataFrame:
-    """The next blocks for a validator: not judged by them, free, leased by them or with a lease over 45 minutes old.
-    leases: rec_id, idx, holder, since (minutes)."""
-    mine = verdicts.where(F.col("validador") == validator).select("rec_id", "idx")
-    open_ = ranked.join(mine, ["rec_id", "idx"], "left_anti").join(leases, ["rec_id", "idx"], "left")
+    """The next blocks of a model for a validator: not judged by them, free, leased by them or with a lease over 45 minutes
+    old. ranked, verdicts and leases (holder, since in minutes) tell model, rec_id and idx."""
+    key = ["model", "rec_id", "idx"]
+    mine = verdicts.where(F.col("validador") == validator).select(*key)
+    open_ = ranked.join(mine, key, "left_anti").join(leases.select(*key, "holder", "since"), key, "left")
     free = F.col("holder").isNull() | (F.col("holder") == validator) | (F.col("since") < now - 45)
     return open_.where(free).orderBy("prioridad", "agree", "rec_id", "idx").limit(min(max(limit, 1), 200)).select("rec_id", "idx", "prioridad")
 
@@ -124,8 +141,19 @@ def latest_verdicts(verdicts: DataFrame, blocks: DataFrame) -> DataFrame:
     return known.withColumn("_r", last).where("_r = 1").select("rec_id", "idx", "model", "validador", ok.alias("ok"), F.when(~ok, F.col("tipo_real")).alias("tipo_real"))
 
 
-def progress(blocks: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """who (all, judged or a validator), n."""
+def urgent_recordings(ranked: DataFrame, top: int = 8) -> DataFrame:
+    """The recordings with the largest share of blocks of priority 1 and 2; of equal ones the first by rec_id."""
+    got = ranked.groupBy("rec_id").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.avg((F.col("prioridad") <= 2).cast("int")), 6).alias("urgent"))
+    return got.orderBy(F.desc("urgent"), "rec_id").limit(top)
+
+
+def models(blocks: DataFrame) -> DataFrame:
+    return blocks.select("model").distinct()
+
+
+def progress(blocks: DataFrame, verdicts: DataFrame, model: str) -> DataFrame:
+    """who (all, judged or a validator), n, of one model's blocks."""
+    blocks, verdicts = (x.where(F.col("model") == model) for x in (blocks, verdicts))
     total = blocks.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("who"), "n")
     judged = verdicts.agg(F.count_distinct("rec_id", "idx").alias("n")).select(F.lit("judged").alias("who"), "n")
     each = verdicts.groupBy(F.col("validador").alias("who")).agg(F.count(F.lit(1)).alias("n"))

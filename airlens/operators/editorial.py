@@ -12,9 +12,23 @@ from pyspark.sql.window import Window
 from airlens.functions.text import share
 
 
-def news_list(news: DataFrame, versions: DataFrame, recordings: DataFrame, stations: DataFrame) -> DataFrame:
-    """Four left joins; news without a recording or station stay. Order by the caller: newest first."""
-    return news.join(versions, "news_id", "left").join(recordings, "rec_id", "left").join(F.broadcast(stations), "medio", "left")
+def news_list(news: DataFrame, versions: DataFrame, recordings: DataFrame, programmes: DataFrame, stations: DataFrame) -> DataFrame:
+    """Four left joins: the current version, the recording, its programme (programa_id, programa, medio) and that one's station;
+    news without any of them stay. Order by the caller: newest first."""
+    out = news.join(versions, "news_id", "left").join(recordings, "rec_id", "left")
+    return out.join(F.broadcast(programmes), "programa_id", "left").join(F.broadcast(stations), "medio", "left")  # some hundreds of each
+
+
+def filtered(rows: DataFrame, first: str | None = None, last: str | None = None, **wanted: str | None) -> DataFrame:
+    """Rows that fit all the filters given: momento within local days (both included), and for any other column its value, or
+    that the list holds it."""
+    if first is not None or last is not None:
+        rows = rows.where(in_local_days(F.col("momento"), first or "0001-01-01", last or "9999-12-31"))
+    for column, value in wanted.items():
+        if value is not None:
+            listed = rows.schema[column].dataType.typeName() == "array"
+            rows = rows.where(F.array_contains(column, value) if listed else F.col(column) == value)
+    return rows
 
 
 def tabs(rows: DataFrame) -> DataFrame:

@@ -11,37 +11,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airlens.functions.text import acronym, normalize_entity
+from airlens.operators.graph import checkpointed
 
 RATIO, LEAST_LENGTH = 0.92, 10
+#: Characters of the n-grams that near spellings are found by.
+GRAM = 2
 
 
 def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
     """a, b, tipo, ratio of key pairs (a before b by `seen`) of one type, both of ten characters or more, whose
     Ratcliff-Obershelp ratio reaches the bound. keys: tipo, key, seen.
 
-    At that ratio at most 8 % of both lengths together are inserted or deleted: k characters for the longer
-    partner allowed. Of k + 1 pieces of `a` one is whole in `b`, so pieces (4 or 5 characters) are joined to
-    substrings near their place; lengths and a bounded edit distance are checked natively before the ratio itself.
+    At that ratio at most d = 8 % of both lengths together are inserted or deleted, each of which spoils GRAM of a key's
+    character n-grams at most. So of the rarest GRAM * d + 1 n-grams of either key one is among those of the other (a
+    prefix filter), no further than d from its place there. Rare n-grams are in few keys, so few keys meet; lengths
+    and a bounded edit distance are checked natively before the ratio itself.
     """
-    long = keys.where(F.length("key") >= LEAST_LENGTH).withColumn("n", F.length("key"))
-    k = F.floor(0.174 * F.col("n")).cast("int")
-    size = F.floor(F.col("n") / (k + 1)).cast("int")
-    # A whole piece is shifted by k at most: the place joins too, so that common substrings don't meet everywhere.
-    pieces = long.select("tipo", F.col("key").alias("a"), "seen", "n", size.alias("p"), k.alias("k")).select("*", F.explode(F.expr("sequence(0, k)")).alias("i"))
-    pieces = pieces.select("*", F.explode(F.expr("sequence(greatest(i * p + 1 - k, 1), i * p + 1 + k)")).alias("at"), F.expr("substring(a, i * p + 1, p)").alias("piece"))
-    subs = long.select("tipo", F.col("key").alias("b"), F.col("seen").alias("seen_b"), F.col("n").alias("m"), F.explode(F.array(F.lit(4), F.lit(5))).alias("p"))
-    subs = subs.select("*", F.explode(F.expr("sequence(1, m - p + 1)")).alias("at")).withColumn("piece", F.expr("substring(b, at, p)"))
-    near = pieces.join(subs, ["tipo", "p", "at", "piece"]).where("a <> b").where(F.least("n", "m") * 1.174 + 1 >= F.greatest("n", "m"))
-    limit = F.floor(0.08 * (F.col("n") + F.col("m"))).cast("int")
-    pairs = near.select("tipo", "a", "b", "seen", "seen_b", limit.alias("limit")).distinct()
-    pairs = pairs.where(F.levenshtein("a", "b") <= F.col("limit"))
-    ordered = pairs.withColumn("swap", (F.col("seen") > F.col("seen_b")) | ((F.col("seen") == F.col("seen_b")) & (F.col("a") > F.col("b"))))
-    pairs = ordered.select("tipo", F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
+    slack = 1 - ratio
+    longest = (1 + slack) / (1 - slack)  # how much longer a partner can be
+    n, m = F.length("key"), F.length("b")
+    long = checkpointed(keys.where(n >= LEAST_LENGTH).select("tipo", "key", "seen"))
+    starts = F.sequence(F.lit(1), n - (GRAM - 1))
+    grams = F.transform(starts, lambda i: F.struct(F.substr("key", i, F.lit(GRAM)).alias("gram"), i.alias("at")))
+    # An n-gram's second place in a key is another n-gram than its first.
+    grams = F.transform(grams, lambda x: F.struct(x["gram"].alias("gram"), F.size(F.filter(grams, lambda y: (y["gram"] == x["gram"]) & (y["at"] <= x["at"]))).alias("nth"), x["at"].alias("at")))
+    rows = long.select("tipo", "key", "seen", n.alias("n"), F.explode(grams).alias("g")).select("tipo", "key", "seen", "n", "g.*")
+    often = rows.groupBy("tipo", "gram", "nth").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("tipo", "key").orderBy("often", "gram", "nth"))
+    most = F.floor(slack * (F.col("n") + F.floor(F.col("n") * longest)) + 1e-9)
+    rare = checkpointed(rows.join(often, ["tipo", "gram", "nth"]).withColumn("rank", rank).where(F.col("rank") <= GRAM * most + 1).select("tipo", "gram", "nth", "key", "seen", "n", "at"))
+    other = rare.select("tipo", "gram", "nth", F.col("key").alias("b"), F.col("seen").alias("seen_b"), F.col("n").alias("m"), F.col("at").alias("at_b"))
+    near = rare.join(other, ["tipo", "gram", "nth"]).where((F.col("seen") < F.col("seen_b")) | ((F.col("seen") == F.col("seen_b")) & (F.col("key") < F.col("b"))))
+    limit = F.floor(slack * (F.col("n") + F.col("m")) + 1e-9).cast("int")
+    near = near.where((F.abs(F.col("n") - F.col("m")) <= limit) & (F.abs(F.col("at") - F.col("at_b")) <= limit))
+    pairs = near.select("tipo", F.col("key").alias("a"), "b", limit.alias("limit")).where(F.levenshtein("a", "b") <= F.col("limit")).distinct()
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(batch["b"], batch["a"])]
-            batch = batch.assign(ratio=got)
+            got = [SequenceMatcher(None, y, x).ratio() for x, y in zip(batch["a"], batch["b"])]
+            batch = batch.assign(ratio=got)[["tipo", "a", "b", "ratio"]]
             yield batch[batch["ratio"] >= ratio]
 
     return pairs.mapInPandas(exact, "tipo string, a string, b string, ratio double")
@@ -52,20 +60,44 @@ def keyed(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("key", normalize_entity(F.col("name"), F.col("tipo"))).where("key <> ''")
 
 
-def resolve_mentions(mentions: DataFrame) -> DataFrame:
-    """tipo, key, entity, how (exact, alias, fuzzy), mentions. Keys in order of first appearance: a key that is the
-    acronym of an earlier, longer one is its alias; one that is spelled nearly as an earlier one becomes its
-    alias (the best ratio, then the earliest); others are entities. An acronym belongs to the first key that has
-    it, unless it is a key seen before."""
+def resolve_mentions(mentions: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """tipo, key, entity (its key), how, mentions of mentions (tipo, name, seen). A catalog (tipo, key, aliases) has been
+    seen before all of them; of its entries the first by key owns an alias that several claim, and a key is no alias.
+
+    In order of first appearance a key is an entity or alias already known (`catalog`), the acronym of an entity made
+    before it (`alias`), or spelled nearly as a key before it (`fuzzy`: the best ratio, then the earliest), whose entity it
+    then has too, or it becomes an entity (`exact`). Entities alone claim acronyms, the first that has one, unless that
+    is a key seen before. (Acronyms of ten letters or more are not compared by spelling.)
+    """
     keys = keyed(mentions).groupBy("tipo", "key").agg(F.min("seen").alias("seen"), F.count(F.lit(1)).alias("mentions"))
-    short = keys.withColumn("alias", acronym(F.col("key"))).where("alias is not null")
-    claim = F.row_number().over(Window.partitionBy("tipo", "alias").orderBy("seen", "key"))
-    owners = short.withColumn("r", claim).where("r = 1").select("tipo", F.col("alias").alias("key"), F.col("key").alias("owner"), F.col("seen").alias("owned"))
-    best = F.row_number().over(Window.partitionBy("tipo", "b").orderBy(F.desc("ratio"), "seen", "a"))
-    near = fuzzy_link(keys.select("tipo", "key", "seen")).join(keys.select("tipo", F.col("key").alias("a"), "seen"), ["tipo", "a"]).withColumn("r", best).where("r = 1").select("tipo", F.col("b").alias("key"), F.col("a").alias("near"))
-    found = keys.join(owners, ["tipo", "key"], "left").join(near, ["tipo", "key"], "left")
-    alias = F.col("owner").isNotNull() & (F.col("owned") <= F.col("seen"))
-    return found.select("tipo", "key", F.when(alias, F.col("owner")).otherwise(F.coalesce("near", "key")).alias("entity"), F.when(alias, "alias").when(F.col("near").isNotNull(), "fuzzy").otherwise("exact").alias("how"), "mentions")
+    if catalog is None:
+        catalog = keys.sparkSession.createDataFrame([], "tipo string, key string, aliases array<string>")
+    stored = catalog.select("tipo", "key", F.col("key").alias("entity"), F.lit(0).alias("order"))
+    stored = stored.union(catalog.select("tipo", F.explode("aliases").alias("alias"), "key", F.lit(1)))
+    stored = stored.groupBy("tipo", "key").agg(F.min(F.struct("order", "entity")).alias("x")).select("tipo", "key", F.col("x.entity").alias("entity"))
+    both = keys.join(stored, ["tipo", "key"], "full").select("tipo", "key", F.when(F.col("entity").isNull(), F.col("seen")).alias("seen"), "entity", "mentions")
+    # What is stored comes before all that is seen.
+    both = checkpointed(both.withColumn("at", F.coalesce(F.col("seen"), F.lit(-(1 << 62)))))
+
+    order = both.select("tipo", F.col("key").alias("a"), "at")
+    best = F.row_number().over(Window.partitionBy("tipo", "b").orderBy(F.desc("ratio"), "at", "a"))
+    near = fuzzy_link(both.select("tipo", "key", F.col("at").alias("seen"))).join(order, ["tipo", "a"]).withColumn("r", best).where("r = 1")
+    near = near.select("tipo", F.col("b").alias("key"), F.col("a").alias("near"))
+    found = both.join(near, ["tipo", "key"], "left")
+    made = found.where("entity is null and near is null").withColumn("alias", acronym(F.col("key"))).where("alias is not null")
+    owners = made.groupBy("tipo", "alias").agg(F.min(F.struct("at", "key")).alias("x")).select("tipo", F.col("alias").alias("key"), F.col("x.key").alias("owner"), F.col("x.at").alias("owned"))
+    found = found.join(owners, ["tipo", "key"], "left")
+    short = F.col("owner").isNotNull() & (F.col("owned") <= F.col("at"))
+    how = F.when(F.col("entity").isNotNull(), "catalog").when(short, "alias").when(F.col("near").isNotNull(), "fuzzy").otherwise("exact")
+    next_key = F.coalesce("entity", F.when(short, F.col("owner")), "near", "key")
+    links = checkpointed(found.select("tipo", "key", next_key.alias("entity"), how.alias("how"), "mentions"))
+    while True:  # an alias of an alias has the entity of that: chains halve in each round
+        ahead = links.where("key <> entity").select("tipo", F.col("key").alias("entity"), F.col("entity").alias("further"))
+        moved = links.join(ahead, ["tipo", "entity"], "left")
+        new = checkpointed(moved.select("tipo", "key", F.coalesce("further", "entity").alias("entity"), "how", "mentions", F.col("further").isNotNull().alias("moved")))
+        links = new.drop("moved")
+        if not new.where("moved").limit(1).count():
+            return links.where("mentions is not null")
 
 
 def entity_links(versions: DataFrame, linked: DataFrame) -> DataFrame:

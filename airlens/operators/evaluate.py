@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airlens.functions.text import normalize_text, share
-from airlens.operators.blocks import cells, junk
+from airlens.operators.blocks import cells, junk, stretches
 
 THRESHOLDS = (0.0, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.9, 0.95)
 
@@ -53,17 +53,24 @@ def quality_by_station(rows: DataFrame) -> DataFrame:
     return rows.groupBy("medio").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.avg(junk(F.col("tipo_real")).cast("int")), 6).alias("junk_share"), F.count_if(F.col("tipo_llm") != F.col("tipo_real")).alias("errors"))
 
 
-def truth_per_word(blocks: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """rec_id, index, real: the last verdict on the block over each word."""
+def truth_blocks(blocks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """rec_id, start_word, end_word, real: the blocks that were judged, with the last verdict on each."""
     last = verdicts.groupBy("rec_id", "idx", "model").agg(F.max(F.struct("ts", "validador", "ok", "tipo_real")).alias("v"))
     rows = blocks.join(last, ["rec_id", "idx", "model"]).withColumn("real", F.when(F.col("v.ok"), F.col("tipo")).otherwise(F.col("v.tipo_real")))
-    return cells(rows).select("rec_id", "index", "real")
+    return rows.select("rec_id", "start_word", "end_word", "real")
+
+
+def truth_per_word(blocks: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """rec_id, index, real: the last verdict on the block over each word."""
+    return cells(truth_blocks(blocks, verdicts)).select("rec_id", "index", "real")
 
 
 def score_model(blocks: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95)) -> DataFrame:
-    """model, threshold, words, exact (share of equal types), excluded and lost (words)."""
+    """model, threshold, words, exact (share of equal types), excluded and lost (words). truth: rec_id, start_word, end_word, real."""
     # Counts by type, truth and confidence first: the thresholds then multiply few rows.
-    few = cells(blocks).select("model", "rec_id", "index", "tipo", "confidence").join(truth, ["rec_id", "index"]).groupBy("model", "tipo", "real", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    said = stretches(blocks, truth).select("model", "rec_id", "at", "n", "tipo", "confidence")
+    both = said.join(stretches(truth, blocks).select("rec_id", "at", "real"), ["rec_id", "at"])
+    few = both.groupBy("model", "tipo", "real", "confidence").agg(F.sum("n").alias("n"))
     out = junk(F.col("tipo")) & (F.col("confidence") >= F.col("threshold"))
     some = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     got = at_thresholds(few, thresholds).groupBy("model", "threshold").agg(F.sum("n").alias("words"), some(F.col("tipo") == F.col("real")).alias("same"), some(out & junk(F.col("real"))).alias("excluded"), some(out & (F.col("real") == "noticia")).alias("lost"))
@@ -76,49 +83,70 @@ def model_profile(blocks: DataFrame) -> DataFrame:
     return got.select("model", "recs", "blocks", share(F.col("words"), F.col("blocks")).alias("words_per_block"), share(F.col("junk"), F.col("words")).alias("junk_share"), share(F.col("news"), F.col("words")).alias("news_share"))
 
 
-def by_word(blocks: DataFrame, models: tuple[str, ...]) -> DataFrame:
-    """rec_id, medio, index and a column for each model's type: one shuffle instead of a self join for each pair."""
-    return cells(blocks).groupBy("rec_id", "index").agg(F.first("medio").alias("medio"), *(F.max(F.when(F.col("model") == m, F.col("tipo"))).alias(m) for m in models))
+def type_shares(blocks: DataFrame) -> DataFrame:
+    """model, tipo, share of the model's words."""
+    n = blocks.groupBy("model", "tipo").agg(F.sum(F.col("end_word") - F.col("start_word") + 1).alias("n"))
+    return n.select("model", "tipo", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("model")), 6).alias("share"))
+
+
+def others_said(rows: DataFrame, tipo: str) -> DataFrame:
+    """label, n: what the other two models called the blocks that the first one gives this type."""
+    return rows.where(F.col("tipo") == tipo).select(F.explode(F.array("b", "c")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def confidence_by_type(rows: DataFrame) -> DataFrame:
+    """tipo, mean confidence of all its blocks, of those all models agree on, and of those the first one stands alone with."""
+    mean = lambda c, name: F.round(F.avg(F.when(c, F.col("confidence"))), 6).alias(name)
+    group = F.col("grupo")
+    return rows.groupBy("tipo").agg(mean(F.lit(True), "confidence"), mean(group == "consensus", "agreed"), mean(group == "solo:A", "alone"))
+
+
+def by_stretch(blocks: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """rec_id, medio, at, n (words) and a column for each model's type: one shuffle instead of a self join for each pair."""
+    return stretches(blocks).groupBy("rec_id", "at").agg(F.first("medio").alias("medio"), F.first("n").alias("n"), *(F.max(F.when(F.col("model") == m, F.col("tipo"))).alias(m) for m in models))
 
 
 def pairwise_agreement(blocks: DataFrame, models: tuple[str, ...]) -> DataFrame:
-    rows = by_word(blocks, models)
+    rows = by_stretch(blocks, models)
     pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(models) for b in models[i + 1 :])))
-    few = rows.select(pairs.alias("p")).where("p.x is not null and p.y is not null").groupBy("p.a", "p.b", "p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
+    few = rows.select("n", pairs.alias("p")).where("p.x is not null and p.y is not null").groupBy("p.a", "p.b", "p.x", "p.y").agg(F.sum("n").alias("n"))
     got = few.groupBy("a", "b").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(junk(F.col("x")) == junk(F.col("y")), F.col("n")).otherwise(0)).alias("s"))
     return got.select("a", "b", "words", share(F.col("e"), F.col("words")).alias("exact"), share(F.col("s"), F.col("words")).alias("binary"))
 
 
 def differing_pairs(blocks: DataFrame, a: str, b: str, top: int = 6) -> DataFrame:
     """The pairs of types that two models differ by most; `crosses`: one of them is junk, the other not."""
-    rows = by_word(blocks.where(F.col("model").isin(a, b)), (a, b)).where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
-    got = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rows = by_stretch(blocks.where(F.col("model").isin(a, b)), (a, b)).where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
+    got = rows.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.sum("n").alias("n"))
     return got.withColumn("crosses", junk(F.col("x")) != junk(F.col("y"))).orderBy(F.desc("n"), "x", "y").limit(top)
 
 
 def worst_stations(blocks: DataFrame, a: str, b: str, top: int = 5) -> DataFrame:
-    rows = by_word(blocks.where(F.col("model").isin(a, b)), (a, b)).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    got = rows.groupBy("medio").agg(F.count(F.lit(1)).alias("words"), F.round(F.avg((junk(F.col(a)) == junk(F.col(b))).cast("int")), 6).alias("binary"))
+    rows = by_stretch(blocks.where(F.col("model").isin(a, b)), (a, b)).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    same = F.sum(F.when(junk(F.col(a)) == junk(F.col(b)), F.col("n")).otherwise(0))
+    got = rows.groupBy("medio").agg(F.sum("n").alias("words"), F.round(same / F.sum("n"), 6).alias("binary"))
     return got.orderBy("binary", "medio").limit(top)
 
 
 def unanimity(blocks: DataFrame, models: tuple[str, str, str]) -> DataFrame:
     """Over words that all three cover: shares of equal types and of equal sides, and of each model standing alone."""
     a, b, c = models
-    rows = by_word(blocks, models).where(" and ".join(f"{m} is not null" for m in models))
+    rows = by_stretch(blocks, models).where(" and ".join(f"{m} is not null" for m in models))
     same = lambda x, y: (F.col(x) == F.col(y)).cast("int")
     side = [junk(F.col(m)).cast("int") for m in models]
-    alone = lambda x, y, z: F.avg(same(y, z) * (1 - same(x, y)))
+    mean = lambda c: F.sum(c * F.col("n")) / F.sum("n")
+    alone = lambda x, y, z: mean(same(y, z) * (1 - same(x, y)))
     return rows.agg(
-        F.count(F.lit(1)).alias("words"), F.round(F.avg(same(a, b) * same(b, c)), 6).alias("exact"), F.round(F.avg((side[0] + side[1] + side[2]).isin(0, 3).cast("int")), 6).alias("binary"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.round(mean(same(a, b) * same(b, c)), 6).alias("exact"),
+        F.round(mean((side[0] + side[1] + side[2]).isin(0, 3).cast("int")), 6).alias("binary"),
         F.round(alone(a, b, c), 6).alias(f"alone_{a}"), F.round(alone(b, a, c), 6).alias(f"alone_{b}"), F.round(alone(c, a, b), 6).alias(f"alone_{c}"),
     )
 
 
 def majority_label(blocks: DataFrame, other: DataFrame) -> DataFrame:
     """The other model's most frequent type over each block's words (of equal ones the first by name)."""
-    theirs = cells(other).select("rec_id", "index", F.col("tipo").alias("label"))
-    got = cells(blocks).join(theirs, ["rec_id", "index"]).groupBy("rec_id", "idx", "label").agg(F.count(F.lit(1)).alias("n"))
+    theirs = stretches(other, blocks).select("rec_id", "at", F.col("tipo").alias("label"))
+    got = stretches(blocks, other).join(theirs, ["rec_id", "at"]).groupBy("rec_id", "idx", "label").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("rec_id", "idx").orderBy(F.desc("n"), "label"))
     return got.withColumn("_r", best).where("_r = 1").select("rec_id", "idx", "label", "n")
 

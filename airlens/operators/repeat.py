@@ -9,15 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlens.functions.text import normalize_text
+from airlens.functions.text import unmarked
 
 
 def fingerprints(transcripts: DataFrame, size: int = 50, step: int = 25) -> DataFrame:
     """Windows of `size` words every `step`; shorter texts have none, words after the last window are in none."""
     starts = F.expr(f"if(size(words) >= {size}, sequence(0, size(words) - {size}, {step}), cast(array() as array<int>))")
-    rows = transcripts.select("rec_id", "medio", "words", F.explode(starts).alias("start_word"))
-    text = normalize_text(F.array_join(F.slice("words", F.col("start_word") + 1, F.lit(size)), " "))
-    return rows.select("rec_id", "medio", "start_word", text.alias("texto")).where("texto <> ''").withColumn("huella", F.sha2("texto", 256))
+    # Each text is normalised once, its words kept apart by line feeds; a window joins what is left of its words.
+    plain = F.regexp_replace(F.regexp_replace(unmarked(F.array_join("words", "\n")), r"(?U)[^\p{L}\p{N}_\s]", " "), r"[^\S\n]+", " ")
+    text = lambda x: F.trim(F.regexp_replace(F.array_join(F.slice("words", x + 1, F.lit(size)), " "), " +", " "))
+    rows = transcripts.select("rec_id", "medio", F.split(plain, "\n").alias("words"))
+    rows = rows.select("rec_id", "medio", F.explode(F.transform(starts, lambda x: F.struct(x.alias("start_word"), text(x).alias("texto")))).alias("p"))
+    return rows.select("rec_id", "medio", "p.start_word", "p.texto").where("texto <> ''").withColumn("huella", F.sha2("texto", 256))
 
 
 def repeated_index(prints: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from airlens.functions.text import normalize_text, share
+from airlens.functions.text import normalize_text, share, unmarked
 
-#: Particles that are no part of an actor's key.
-PARTICLES = ("de", "del", "la", "las", "los", "el", "y", "von", "der", "di", "da", "le")
+#: Particles that are no part of an actor's key, and words that may stand for any client.
+PARTICLES = ("de", "del", "la")
+CLIENT_WORDS = ("joh", "expresidente")
 
 
 def tag_notes(segments: DataFrame, client: str, topics: dict[str, str], start: Column, end: Column) -> DataFrame:
@@ -67,6 +68,18 @@ def time_profile(tagged: DataFrame) -> DataFrame:
     return own.select(cell.alias("c")).groupBy("c.section", "c.key").agg(F.count(F.lit(1)).alias("notes"))
 
 
+def peak_hours(profile: DataFrame, top: int = 3) -> DataFrame:
+    """The local hours with the most notes; of equal ones the earliest. profile: time_profile."""
+    return profile.where("section = 'hour'").orderBy(F.desc("notes"), "key").limit(top).select("key", "notes")
+
+
+def day_drop(profile: DataFrame) -> DataFrame:
+    """One row, first, last, percent: by how much the last day's notes are below the first one's; none if they aren't."""
+    days = profile.where("section = 'day'")
+    ends = days.agg(F.min_by("notes", "key").alias("first"), F.max_by("notes", "key").alias("last"), F.count(F.lit(1)).alias("days"))
+    return ends.where("days > 1 and first > last").select("first", "last", F.round(100 * (F.col("first") - F.col("last")) / F.col("first"), 1).alias("percent"))
+
+
 def axes(tagged: DataFrame, noise: tuple[str, ...]) -> DataFrame:
     """axis, notes, tones: what notes are about, from their first keyword without noise and client words."""
     words = F.filter(F.split(normalize_text(F.array_join("keywords", " ")), " "), lambda w: (w != "") & ~w.isin(*noise))
@@ -78,6 +91,13 @@ def top_axes(found: DataFrame, top: int = 6) -> DataFrame:
     return found.orderBy(F.desc("notes"), "axis").limit(top)
 
 
+def axes_share(found: DataFrame, top: int = 10) -> DataFrame:
+    """One row, percent: the share of notes that the most frequent axes have. found: axes()."""
+    best = found.orderBy(F.desc("notes"), "axis").limit(top).select("notes", F.lit(True).alias("best"))
+    both = best.union(found.select("notes", F.lit(False)))
+    return both.agg(F.round(100 * F.sum(F.when(F.col("best"), F.col("notes"))) / F.sum(F.when(~F.col("best"), F.col("notes"))), 6).alias("percent"))
+
+
 def axis_samples(tagged: DataFrame, noise: tuple[str, ...], each: int = 2) -> DataFrame:
     words = F.filter(F.split(normalize_text(F.array_join("keywords", " ")), " "), lambda w: (w != "") & ~w.isin(*noise))
     rows = tagged.where("mention").withColumn("axis", F.array_join(F.slice(words, 1, 2), " ")).where("axis <> ''")
@@ -86,12 +106,16 @@ def axis_samples(tagged: DataFrame, noise: tuple[str, ...], each: int = 2) -> Da
 
 
 def actors(tagged: DataFrame, aliases: DataFrame, client: str, top: int = 10) -> DataFrame:
-    """actor, notes: people by their first two words that are no particles, capitalised, after an alias map
-    (alias, name; a broadcast table of a person's hand) and without the client."""
-    people = tagged.where("mention").select("rec_id", "seg", F.explode("people").alias("alias"))
-    named = people.join(F.broadcast(aliases), "alias", "left").withColumn("who", F.coalesce("name", "alias"))
-    parts = F.filter(F.split(normalize_text(F.col("who")), " "), lambda w: (w != "") & ~w.isin(*PARTICLES))
-    keyed = named.select("rec_id", "seg", F.initcap(F.array_join(F.slice(parts, 1, 2), " ")).alias("actor")).where((F.col("actor") != "") & (F.lower("actor") != client)).distinct()
+    """actor, notes: people by an alias map (alias, name; in lower case without marks; a person's hand made it, so it is
+    broadcast), else by their first two words that are no particles, capitalised; a single word stays as it is. A name
+    made of the client's words alone is left out. Each time a note names an actor counts."""
+    people = tagged.where("mention").select("rec_id", "seg", F.explode("people").alias("said"))
+    named = people.withColumn("alias", unmarked(F.trim("said"))).join(F.broadcast(aliases), "alias", "left")
+    own = F.array_union(F.array_distinct(F.filter(F.split(unmarked(F.lit(client)), r"\s+"), lambda w: w != "")), F.array(*map(F.lit, CLIENT_WORDS)))
+    parts = F.filter(F.split(F.replace("alias", F.lit("."), F.lit(" ")), r"\s+"), lambda w: (w != "") & ~w.isin(*PARTICLES))
+    short = F.when(F.size(parts) >= 2, F.initcap(F.array_join(F.slice(parts, 1, 2), " "))).otherwise(F.trim("said"))
+    clients = (F.size(parts) > 0) & (F.size(F.array_except(parts, own)) == 0)
+    keyed = named.where(F.col("name").isNotNull() | ~clients).select("rec_id", "seg", F.coalesce("name", short).alias("actor")).where("actor <> ''")
     return keyed.groupBy("actor").agg(F.count(F.lit(1)).alias("notes")).orderBy(F.desc("notes"), "actor").limit(top)
 
 
@@ -122,24 +146,30 @@ def topic_section(tagged: DataFrame, first: int = 12) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(own.orderBy("momento", "rec_id", "seg"))).where(F.col("rank") <= first).select("topic", "rank", "rec_id", "seg", "notes", "neg")
 
 
-def observations(summary: DataFrame, stations: DataFrame) -> DataFrame:
-    """rule, detail: what the tables call for."""
+def observations(summary: DataFrame, stations: DataFrame, profile: DataFrame) -> DataFrame:
+    """rule, detail: what the tables of shares, stations and times call for."""
     each = stations.select(F.when(F.col("reading") == "critical", "critical station").when((F.col("notes") >= 10) & (F.col("neu") >= 0.6 * F.col("notes")), "factual station").alias("rule"), F.col("medio").alias("detail")).where("rule is not null")
     silent = stations.agg(F.count_if(F.col("reading") == "silent").alias("n")).where("n > 0").select(F.lit("silent stations").alias("rule"), F.col("n").cast("string").alias("detail"))
-    ratio = summary.where("pos > 0 and neg > pos").select(F.lit("more criticism than praise").alias("rule"), F.round(F.col("neg") / F.col("pos"), 2).cast("string").alias("detail"))
-    return each.union(silent).union(ratio)
+    ratio = summary.where("pos > 0 and neg > pos").select(F.lit("more criticism than praise").alias("rule"), F.round(F.col("neg") / F.col("pos"), 1).cast("string").alias("detail"))
+    drop = day_drop(profile).select(F.lit("falling volume").alias("rule"), F.col("percent").cast("string").alias("detail"))
+    return each.union(silent).union(ratio).union(drop)
 
 
-def report_tables(tagged: DataFrame, client: str, period: str, noise: tuple[str, ...]) -> DataFrame:
-    """One long frame: client, period, section, key, notes, pos, neu, neg, text."""
-    stations = media_table(tagged)
-    summary = share_summary(tagged)
+def report_tables(tagged: DataFrame, client: str, period: str, noise: tuple[str, ...], aliases: DataFrame, name: str, quotes: DataFrame) -> DataFrame:
+    """One long frame: client, period, section, key, notes, pos, neu, neg, text. aliases and name: the client's as in
+    actors(); quotes: those of the client's notes, of which the verified and different ones are counted by tone."""
+    stations, summary, profile = media_table(tagged), share_summary(tagged), time_profile(tagged)
+    said = dedup_quotes(verify_quotes(quotes)).groupBy("sentiment").agg(F.count(F.lit(1)).alias("notes"))
+    topics = topic_section(tagged).select(F.col("topic").alias("key"), "notes", "neg").distinct()
     parts = [
         summary.select(F.lit("summary").alias("section"), F.lit("").alias("key"), "notes", "pos", "neu", "neg", F.col("balance").alias("text")),
         stations.select(F.lit("stations").alias("section"), F.col("medio").alias("key"), "notes", "pos", "neu", "neg", F.col("reading").alias("text")),
-        time_profile(tagged).select("section", "key", "notes"),
+        profile.select("section", "key", "notes"),
         top_axes(axes(tagged, noise)).select(F.lit("axes").alias("section"), F.col("axis").alias("key"), "notes", "pos", "neu", "neg"),
-        observations(summary, stations).select(F.lit("observations").alias("section"), F.col("rule").alias("key"), F.col("detail").alias("text")),
+        actors(tagged, aliases, name).select(F.lit("actors").alias("section"), F.col("actor").alias("key"), "notes"),
+        said.select(F.lit("quotes").alias("section"), F.col("sentiment").alias("key"), "notes"),
+        topics.select(F.lit("topics").alias("section"), "key", "notes", "neg"),
+        observations(summary, stations, profile).select(F.lit("observations").alias("section"), F.col("rule").alias("key"), F.col("detail").alias("text")),
     ]
     out = parts[0]
     for part in parts[1:]:

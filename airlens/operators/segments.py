@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airlens.functions.text import parse_custom_id
 
-SEGMENT = "struct<title:string,start_word:int,end_word:int,summary:string,keywords:array<string>,boundary_status:string,confidence:double,client_relevance:array<struct<client_id:string,relevant:boolean,score:double>>>"
+RELEVANCE = "array<struct<client_id:string,relevant:boolean,score:double,rationale:string,matched_on:array<string>>>"
+SEGMENT = (
+    "struct<title:string,start_word:int,end_word:int,summary:string,keywords:array<string>,news_type:string,people:array<string>,"
+    f"organizations:array<string>,locations:array<string>,boundary_status:string,confidence:double,client_relevance:{RELEVANCE}>"
+)
 RESPONSE = f"custom_id string, status int, error string, body struct<segments:array<{SEGMENT}>>, _corrupt_record string"
 
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -25,23 +29,36 @@ def parse_responses(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def collect_responses(parsed: DataFrame, clients: list[str] | None = None) -> DataFrame:
-    """Segments of usable responses: within the chunk's range, without NUL, ten keywords at most, known clients."""
+    """Segments of usable responses: within the chunk's range, without NUL, ten keywords at most, known clients; lists that
+    are missing are empty."""
     own = parsed.where("problem is null").select("rec_id", "chunk", "lo", "hi", F.posexplode("segments").alias("seg", "s"))
     own = own.where("lo <= s.start_word and s.start_word <= s.end_word and s.end_word <= hi")
     clean = lambda c: F.regexp_replace(c, r"\x00", "")
-    relevance = F.col("s.client_relevance")
+    listed = lambda c: F.coalesce(F.transform(c, clean), F.array().cast("array<string>"))
+    relevance = F.coalesce("s.client_relevance", F.array().cast(RELEVANCE))
     if clients is not None:
         relevance = F.filter(relevance, lambda x: x["client_id"].isin(*clients))
     return own.select(
-        "rec_id", "chunk", "seg", F.col("s.start_word").alias("start_word"), F.col("s.end_word").alias("end_word"), clean(F.col("s.title")).alias("title"), clean(F.col("s.summary")).alias("summary"),
-        F.slice(F.transform("s.keywords", clean), 1, 10).alias("keywords"), F.coalesce("s.boundary_status", F.lit("complete")).alias("boundary_status"), F.col("s.confidence").alias("confidence"), relevance.alias("client_relevance"),
+        "rec_id", "chunk", "seg", F.col("s.start_word").alias("start_word"), F.col("s.end_word").alias("end_word"),
+        clean(F.col("s.title")).alias("title"), clean(F.col("s.summary")).alias("summary"), F.slice(listed("s.keywords"), 1, 10).alias("keywords"),
+        F.col("s.news_type").alias("news_type"), *(listed(f"s.{c}").alias(c) for c in ("people", "organizations", "locations")),
+        F.coalesce("s.boundary_status", F.lit("complete")).alias("boundary_status"), F.col("s.confidence").alias("confidence"),
+        relevance.alias("client_relevance"),
     )
 
 
+def _union(left: Column, right: Column) -> Column:
+    """Both lists in order, each value once without regard to case and blanks around it."""
+    key = lambda x: F.lower(F.trim(x))
+    add = lambda found, x: F.when(F.exists(found, lambda y: key(y) == key(x)), found).otherwise(F.array_append(found, x))
+    return F.aggregate(F.concat(left, right), F.array().cast("array<string>"), add)
+
+
 def stitch(segments: DataFrame) -> DataFrame:
     """Merges the first segment of a chunk into the last one before it, if the chunk before has any and the segment
-    says that it continues. The merged one runs end to end, its title and summary are those of the longest so
-    far (of equal ones the first), lists are ordered unions without regard to case, confidence is the least.
+    says that it continues. The merged one runs from the first one's start to the second's end; title, summary,
+    news_type and client_relevance are those of the longer so far (of equal ones the first), lists are ordered unions
+    without regard to case (ten keywords at most), confidence is the least. Alone, a segment stays as it is.
 
     Whether two neighbours merge is local, so groups come from a running sum; groups are short and are folded
     in order as arrays.
@@ -51,17 +68,26 @@ def stitch(segments: DataFrame) -> DataFrame:
     merge = (before == F.col("chunk") - 1) & F.col("boundary_status").isin("continues_before_chunk", "continues_both")
     flagged = segments.withColumn("_new", F.when(merge, 0).otherwise(1))
     grouped = flagged.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    part = F.struct("chunk", "start_word", "seg", "end_word", "title", "summary", "keywords", "confidence")
-    rows = grouped.groupBy("rec_id", "_group").agg(F.sort_array(F.collect_list(part)).alias("p"))
-    fold = F.expr("""aggregate(slice(p, 2, size(p)),
-        named_struct('start_word', p[0].start_word, 'end_word', p[0].end_word, 'title', p[0].title, 'summary', p[0].summary, 'keywords', coalesce(p[0].keywords, array()), 'confidence', p[0].confidence),
-        (s, x) -> named_struct(
-            'start_word', least(s.start_word, x.start_word), 'end_word', greatest(s.end_word, x.end_word),
-            'title', if(x.end_word - x.start_word > s.end_word - s.start_word, x.title, s.title),
-            'summary', if(x.end_word - x.start_word > s.end_word - s.start_word, x.summary, s.summary),
-            'keywords', slice(aggregate(coalesce(x.keywords, array()), s.keywords, (k, w) -> if(exists(k, e -> lower(trim(e)) = lower(trim(w))), k, array_append(k, w))), 1, 10),
-            'confidence', least(s.confidence, x.confidence)))""")
-    return rows.select("rec_id", (F.col("_group") - 1).cast("int").alias("story"), F.size("p").alias("n_parts"), fold.alias("f")).select("rec_id", "story", "n_parts", "f.*")
+    described, lists = ("title", "summary", "news_type", "client_relevance"), ("keywords", "people", "organizations", "locations")
+    place = F.struct("chunk", "start_word", "seg").alias("place")
+    parts = F.struct(place, "start_word", "end_word", *described, *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists), "confidence")
+    # Sorted by place alone: maps and lists of structs need no order.
+    rows = grouped.groupBy("rec_id", "_group").agg(F.collect_list(parts).alias("p"))
+    sort = lambda x, y: F.when(x["place"] < y["place"], -1).when(x["place"] > y["place"], 1).otherwise(0)
+    rows = rows.withColumn("p", F.array_sort("p", sort))
+
+    def joined(s: Column, x: Column) -> Column:
+        longer = x["end_word"] - x["start_word"] > s["end_word"] - s["start_word"]
+        unions = {c: _union(s[c], x[c]) for c in lists} | {"keywords": F.slice(_union(s["keywords"], x["keywords"]), 1, 10)}
+        return F.struct(
+            s["place"].alias("place"), s["start_word"].alias("start_word"), x["end_word"].alias("end_word"),
+            *(F.when(longer, x[c]).otherwise(s[c]).alias(c) for c in described), *(unions[c].alias(c) for c in lists),
+            F.least(s["confidence"], x["confidence"]).alias("confidence"),
+        )
+
+    fold = F.aggregate(F.slice("p", 2, F.size("p")), F.element_at("p", 1), joined)
+    out = rows.select("rec_id", (F.col("_group") - 1).cast("int").alias("story"), F.size("p").alias("n_parts"), fold.alias("f"))
+    return out.select("rec_id", "story", "n_parts", "f.*").drop("place")
 
 
 def cacheable(parsed: DataFrame, cached: DataFrame) -> DataFrame:

@@ -38,6 +38,31 @@ def build_requests(words: DataFrame, size: int = 600, context: int = 50, none: s
     return out.select(F.concat_ws("__", "rec_id", "chunk").alias("custom_id"), "rec_id", "chunk", F.element_at("w", 1)["index"].alias("lo"), F.element_at("w", -1)["index"].alias("hi"), body.alias("body"), "context")
 
 
+def profile_block(profiles: DataFrame, instructions: str) -> DataFrame:
+    """One row, profiles: the clients (client_id, name, persons, bodies, topics; written by hand, some hundreds) as lines in
+    order of client_id, empty lists left out, then the instructions."""
+    line = F.concat(F.lit('- client_id: "'), "client_id", F.lit('"  ('), "name", F.lit(")"))
+    labels = {"persons": "personas de interes", "bodies": "instituciones", "topics": "temas"}
+    lists = (F.when(F.size(c) > 0, F.concat(F.lit(f"    {label}: "), F.array_join(c, ", "))) for c, label in labels.items())
+    rows = profiles.select("client_id", F.concat_ws("\n", line, *lists).alias("lines"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("client_id", "lines"))).alias("p"))
+    head = "PERFILES DE CLIENTE (para clasificar relevancia, no para segmentar):"
+    return one.select(F.concat_ws("\n", F.lit(head), F.array_join(F.transform("p", lambda x: x["lines"]), "\n"), F.lit(instructions)).alias("profiles"))
+
+
+def with_profiles(requests: DataFrame, profiles: DataFrame, instructions: str) -> DataFrame:
+    """Requests with the clients' block before their body; the block is one row, broadcast."""
+    block = profile_block(profiles, instructions).withColumn("_one", F.lit(1))
+    out = requests.withColumn("_one", F.lit(1)).join(F.broadcast(block), "_one")
+    return out.withColumn("body", F.concat_ws("\n\n", "profiles", "body")).drop("_one", "profiles")
+
+
+def load_text(transcripts: DataFrame, texts: DataFrame) -> DataFrame:
+    """rec_id, texto: a recording's words joined by a space, or the plain text (rec_id, texto) where it has no words."""
+    own = transcripts.select("rec_id", F.when(F.size("words") > 0, F.array_join("words", " ")).alias("_own"))
+    return own.join(texts, "rec_id", "full").select("rec_id", F.coalesce("_own", "texto").alias("texto")).where("texto is not null")
+
+
 def ranked_by_id(rows: DataFrame, key: str, width: int = 100_000) -> DataFrame:
     """Adds `rank`, from 0, in the order of a numeric key, without gathering the rows in one task: counts by
     stretches of `width` keys are summed up, and rows are numbered within their stretch."""
@@ -70,15 +95,17 @@ def map_words_to_time(segments: DataFrame, words: DataFrame, pad: float = 2.0, d
 
 def segment_text_times(segments: DataFrame, words: DataFrame) -> DataFrame:
     """rec_id, seg, texto, inicio, fin: the words whose index is in the segment's range; without any, no row."""
-    inside = words.alias("w").join(segments.select("rec_id", "seg", "start_word", "end_word").alias("s"), (F.col("w.rec_id") == F.col("s.rec_id")) & F.col("w.index").between(F.col("s.start_word"), F.col("s.end_word")))
-    got = inside.groupBy("s.rec_id", "s.seg").agg(F.sort_array(F.collect_list(F.struct("index", "word"))).alias("w"), F.min("start").alias("inicio"), F.max("end").alias("fin"))
+    # A row for each index that a segment asks for, so that words are met by an equi join and not each by all segments.
+    asked = segments.where("start_word <= end_word").select("rec_id", "seg", F.explode(F.sequence("start_word", "end_word")).alias("index"))
+    inside = words.join(asked, ["rec_id", "index"])
+    got = inside.groupBy("rec_id", "seg").agg(F.sort_array(F.collect_list(F.struct("index", "word"))).alias("w"), F.min("start").alias("inicio"), F.max("end").alias("fin"))
     return got.select("rec_id", "seg", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("texto"), "inicio", "fin")
 
 
 def filter_words(words: DataFrame, ranges: DataFrame) -> DataFrame:
     """Words in none of the recording's ranges (rec_id, lo, hi); indexes stay."""
-    gone = ranges.select("rec_id", "lo", "hi").alias("r")
-    return words.alias("w").join(gone, (F.col("w.rec_id") == F.col("r.rec_id")) & F.col("w.index").between(F.col("r.lo"), F.col("r.hi")), "left_anti")
+    gone = ranges.where("lo <= hi").select("rec_id", F.explode(F.sequence("lo", "hi")).alias("index"))
+    return words.join(gone, ["rec_id", "index"], "left_anti")
 
 
 def islands(cells: DataFrame, *by: str) -> DataFrame:

@@ -24,14 +24,14 @@ def _rough(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("start_word", F.col("start_word") - F.expr("cast((rec_id + idx) % 4 as int) * 3")).withColumn("end_word", F.col("end_word") + F.expr("cast((rec_id + idx) % 3 as int) * 20"))
 
 
-@query("d1_normalize_partition", "blocks", """, rough as (select model, rec_id, tipo, confidence, start_word - ((rec_id + idx) % 4)::int * 3 start_word, end_word + ((rec_id + idx) % 3)::int * 20 end_word from blocks where (rec_id + idx) % 6 <> 0),
-    placed as (select *, greatest(0, coalesce(max(least(end_word, 299)) over (partition by model, rec_id order by start_word, end_word, tipo rows between unbounded preceding and 1 preceding) + 1, 0)) cursor from rough where start_word <= end_word and start_word <= 299 and end_word >= 0),
-    cut as (select *, greatest(start_word, cursor) f, least(end_word, 299) t from placed),
+@query("d1_normalize_partition", "blocks", """, rough as (select model, rec_id, tipo, confidence, n_words - 1 hi, start_word - ((rec_id + idx) % 4)::int * 3 start_word, end_word + ((rec_id + idx) % 3)::int * 20 end_word from blocks where (rec_id + idx) % 6 <> 0),
+    placed as (select *, greatest(0, coalesce(max(least(end_word, hi)) over (partition by model, rec_id order by start_word, end_word, tipo rows between unbounded preceding and 1 preceding) + 1, 0)) cursor from rough where start_word <= end_word and start_word <= hi and end_word >= 0),
+    cut as (select *, greatest(start_word, cursor) f, least(end_word, hi) t from placed),
     whole as (select model, rec_id, f s, t e, tipo, confidence from cut where f <= t union all select model, rec_id, cursor, f - 1, 'desconocido', 0.0 from cut where f <= t and f > cursor
-        union all select r.model, r.rec_id, coalesce(max(t) + 1, 0), 299, 'desconocido', 0.0 from (select distinct model, rec_id from rough) r left join cut c on c.model = r.model and c.rec_id = r.rec_id group by r.model, r.rec_id having coalesce(max(t) + 1, 0) <= 299)
+        union all select r.model, r.rec_id, coalesce(max(t) + 1, 0), r.hi, 'desconocido', 0.0 from (select distinct model, rec_id, hi from rough) r left join cut c on c.model = r.model and c.rec_id = r.rec_id group by r.model, r.rec_id, r.hi having coalesce(max(t) + 1, 0) <= r.hi)
     select model, rec_id, s start_word, e end_word, tipo, confidence from whole""")
 def d1(spark: SparkSession, d: str) -> DataFrame:
-    return bl.normalize_partition(_rough(spark, d), F.lit(0), F.lit(299))
+    return bl.normalize_partition(_rough(spark, d), F.lit(0), F.col("n_words") - 1)
 
 
 @query("d2_exclude_single", "blocks", "select model, rec_id, idx from blocks where tipo in ('publicidad', 'musica') and confidence >= 0.8")
@@ -88,11 +88,16 @@ def d7b(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d).groupBy("medio").agg(*(F.count_if(F.col("prioridad") == k).alias(f"p{k}") for k in range(1, 6)), F.round(F.avg((F.col("prioridad") <= 2).cast("int")), 6).alias("urgent"))
 
 
+@query("d7_urgent_recordings", "blocks", _RANKED + " select rec_id, count(*) blocks, round(avg((prioridad <= 2)::int), 6) urgent from ranked group by 1 order by urgent desc, rec_id limit 8")
+def d7c(spark: SparkSession, d: str) -> DataFrame:
+    return bl.urgent_recordings(_ranked(spark, d))
+
+
 @query("d8_next_batch", "blocks verdicts", _RANKED + """ select rec_id, idx, prioridad from ranked where (rec_id, idx) not in (select (rec_id, idx) from verdicts where validador = 'u1') and (idx % 5 <> 1 or rec_id % 2 = 0 or rec_id % 90 < 55)
     order by prioridad, agree, rec_id, idx limit 40""")
 def d8(spark: SparkSession, d: str) -> DataFrame:
     ranked = _ranked(spark, d)
-    leases = ranked.where("idx % 5 = 1").select("rec_id", "idx", F.when(F.col("rec_id") % 2 == 0, "u1").otherwise("u9").alias("holder"), (F.col("rec_id") % 90).alias("since"))
+    leases = ranked.where("idx % 5 = 1").select("model", "rec_id", "idx", F.when(F.col("rec_id") % 2 == 0, "u1").otherwise("u9").alias("holder"), (F.col("rec_id") % 90).alias("since"))
     return bl.next_batch(ranked, demo.verdicts(spark, d), leases, "u1", 100, 40)
 
 
@@ -106,7 +111,12 @@ def d9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d10_progress", "blocks verdicts", "select 'total' who, count(*) n from blocks where model = 'A' union all select 'judged', count(distinct (rec_id, idx)) from verdicts union all select validador, count(*) from verdicts group by 1")
 def d10(spark: SparkSession, d: str) -> DataFrame:
-    return bl.progress(of(spark, d, "A"), demo.verdicts(spark, d))
+    return bl.progress(demo.blocks(spark, d), demo.verdicts(spark, d), "A")
+
+
+@query("d10_models", "blocks", "select distinct model from blocks")
+def d10b(spark: SparkSession, d: str) -> DataFrame:
+    return bl.models(demo.blocks(spark, d))
 
 
 @query("d11_select_eval_set")
@@ -170,7 +180,7 @@ def v7(spark: SparkSession, d: str) -> DataFrame:
     t as (select *, tipo in {_J} and confidence >= threshold gone from j, (select unnest([0.0, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95]::double[]) threshold))
     select model, threshold, count(*) words, count(*) filter (gone and real in {_J}) excluded, count(*) filter (gone and real = 'noticia') lost, round(count(*) filter (tipo = real) / count(*)::double, 6) exact from t group by 1, 2""")
 def v8(spark: SparkSession, d: str) -> DataFrame:
-    return ev.score_model(demo.blocks(spark, d), ev.truth_per_word(demo.blocks(spark, d), demo.verdicts(spark, d)))
+    return ev.score_model(demo.blocks(spark, d), ev.truth_blocks(demo.blocks(spark, d), demo.verdicts(spark, d)))
 
 
 @query("v9_model_profile", "blocks", f", n as (select *, end_word - start_word + 1 n from blocks) select model, count(distinct rec_id) recs, count(*) blocks, round(sum(n) / count(*)::double, 6) words_per_block, round(sum(n) filter (tipo in {_J}) / sum(n)::double, 6) junk_share, round(sum(n) filter (tipo = 'noticia') / sum(n)::double, 6) news_share from n group by 1")
@@ -178,6 +188,11 @@ def v9(spark: SparkSession, d: str) -> DataFrame:
     return ev.model_profile(demo.blocks(spark, d))
 
 
+@query("v9_type_shares", "blocks", "select model, tipo, round(sum(end_word - start_word + 1) / sum(sum(end_word - start_word + 1)) over (partition by model)::double, 6) as share from blocks group by 1, 2")
+def v9b(spark: SparkSession, d: str) -> DataFrame:
+    return ev.type_shares(demo.blocks(spark, d))
+
+
 _CELLS = ", cells as (select model, rec_id, medio, tipo, unnest(range(start_word, end_word + 1)) i from blocks)"
 
 
@@ -227,6 +242,27 @@ def v13b(spark: SparkSession, d: str) -> DataFrame:
     return ev.top_of_group(_grouped(spark, d), "grupo", "medio", 3)
 
 
+@query("v13_top_hours", "blocks", _MAJOR + " select grupo, hora_local::int hora_local, n, r from (select grupo, hora_local, count(*) n, row_number() over (partition by grupo order by count(*) desc, hora_local)::int r from lab group by 1, 2) where r <= 3")
+def v13c(spark: SparkSession, d: str) -> DataFrame:
+    return ev.top_of_group(_grouped(spark, d), "grupo", "hora_local", 3)
+
+
+@query("v13_top_type_pairs", "blocks", _MAJOR + " select grupo, pair, n, r from (select grupo, tipo || '/' || b pair, count(*) n, row_number() over (partition by grupo order by count(*) desc, tipo || '/' || b)::int r from lab group by 1, 2) where r <= 5")
+def v13d(spark: SparkSession, d: str) -> DataFrame:
+    rows = _grouped(spark, d).withColumn("pair", F.concat_ws("/", "tipo", "b"))
+    return ev.top_of_group(rows, "grupo", "pair", 5)
+
+
+@query("v14_others_said", "blocks", _MAJOR + " select label, sum(n)::bigint as n from (select b as label, count(*) n from lab where tipo = 'relleno' group by 1 union all select c, count(*) from lab where tipo = 'relleno' group by 1) group by 1")
+def v14c(spark: SparkSession, d: str) -> DataFrame:
+    return ev.others_said(_grouped(spark, d), "relleno")
+
+
+@query("v16_confidence", "blocks", _MAJOR + " select tipo, round(avg(confidence), 6) confidence, round(avg(confidence) filter (grupo = 'consensus'), 6) agreed, round(avg(confidence) filter (grupo = 'solo:A'), 6) alone from lab group by 1")
+def v16b(spark: SparkSession, d: str) -> DataFrame:
+    return ev.confidence_by_type(_grouped(spark, d))
+
+
 _STOP = ("para", "como", "that", "with", "this", "from", "dans", "pour", "avec", "nicht")
 
 

@@ -1,6 +1,6 @@
 """The model's frames made from the supplied tables, as DataFrames and as the same DuckDB SQL.
 
-    recordings  documents: an hour of station `source`, doc_id hours after 2024-01-01
+    recordings  documents: an hour of station `source`, within the 30 days from 2024-01-01
     words       its text's words, 0.3 s apart
     segments    its lines of five words or more
     blocks      fixed lengths for three models, types and confidences by arithmetic
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    start = F.expr(f"{_T0} + make_dt_interval(0, cast(doc_id as int))")
+    start = F.expr(f"{_T0} + make_dt_interval(0, cast(doc_id % 720 as int))")
     state = F.expr("case doc_id % 4 when 0 then 'pendiente' when 1 then 'procesando' else 'procesada' end")
     return docs.select(F.col("doc_id").alias("rec_id"), F.col("source").alias("medio"), start.alias("fecha_inicio"), state.alias("estado"), "lang", "n_chars")
 
@@ -55,10 +55,10 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.where(F.size("w") >= 5)
     return kept.select(
         "rec_id", "medio", "seg", "start_word", (F.col("start_word") + F.size("w") - 1).alias("end_word"),
-        F.array_join(F.slice("w", 1, 8), " ").alias("title"), F.array_join(F.slice("w", 1, 30), " ").alias("summary"),
+        F.array_join(F.slice("w", 1, 8), " ").alias("title"), F.array_join("w", " ").alias("summary"),
         F.filter("w", lambda x: x.rlike("^[A-Z]")).alias("people"), F.slice("w", 2, 3).alias("keywords"), F.size("w").alias("n_words"),
         F.expr("case (rec_id + seg) % 3 when 0 then 'positivo' when 1 then 'negativo' else 'neutro' end").alias("sentiment"),
-        F.expr(f"{_T0} + make_dt_interval(0, cast(rec_id as int), 0, cast(start_word as decimal(18,6)))").alias("momento"),
+        F.expr(f"{_T0} + make_dt_interval(0, cast(rec_id % 720 as int), 0, cast(start_word as decimal(18,6)))").alias("momento"),
     )
 
 
@@ -70,7 +70,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("start_word", F.col("idx") * F.col("size")).withColumn("end_word", F.least(F.col("n") - 1, (F.col("idx") + 1) * F.col("size") - 1))
     kind = F.expr("(rec_id * 31 + (start_word div 120) * 7 + case when (rec_id + idx + k) % 5 = 0 then k + 1 else 0 end) % 7").cast("int")
     return out.select(
-        "model", "rec_id", "medio", F.expr("cast(pmod(rec_id - 6, 24) as int)").alias("hora_local"), "idx", "start_word", "end_word",
+        "model", "rec_id", "medio", F.expr("cast(pmod(rec_id - 6, 24) as int)").alias("hora_local"), F.col("n").alias("n_words"), "idx", "start_word", "end_word",
         F.element_at(F.array(*map(F.lit, TYPES)), kind + 1).alias("tipo"), ((50 + F.expr("(rec_id * 7 + idx * 13 + k) % 50")) / F.lit(100.0)).alias("confidence"),
     )
 
@@ -104,20 +104,20 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = {
-    "recordings": """select doc_id rec_id, source medio, timestamp '2024-01-01' + to_hours(doc_id) fecha_inicio,
+    "recordings": """select doc_id rec_id, source medio, timestamp '2024-01-01' + to_hours(doc_id % 720) fecha_inicio,
         case doc_id % 4 when 0 then 'pendiente' when 1 then 'procesando' else 'procesada' end estado, lang, n_chars from documents""",
     "transcripts": "select doc_id rec_id, source medio, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') words, text from documents",
     "words": """select rec_id, medio, (i - 1)::int as index, words[i] word, (i - 1) * 3 / 10.0 as start, ((i - 1) * 30 + 28) / 100.0 as "end"
         from (select rec_id, medio, words, unnest(range(1, len(words) + 1)) i from transcripts)""",
-    "segments": """select rec_id, medio, seg, start_word, start_word + len(w) - 1 end_word, array_to_string(w[1:8], ' ') title, array_to_string(w[1:30], ' ') summary,
+    "segments": """select rec_id, medio, seg, start_word, start_word + len(w) - 1 end_word, array_to_string(w[1:8], ' ') title, array_to_string(w, ' ') summary,
         list_filter(w, lambda x: regexp_matches(x, '^[A-Z]')) people, w[2:4] keywords, len(w) n_words,
         case (rec_id + seg) % 3 when 0 then 'positivo' when 1 then 'negativo' else 'neutro' end sentiment,
-        timestamp '2024-01-01' + to_hours(rec_id) + to_seconds(start_word) momento
+        timestamp '2024-01-01' + to_hours(rec_id % 720) + to_seconds(start_word) momento
         from (select *, coalesce(sum(len(w)) over (partition by rec_id order by seg rows between unbounded preceding and 1 preceding), 0)::bigint start_word
             from (select rec_id, medio, (seg - 1)::int seg, list_filter(string_split_regex(lines[seg], '[ \\t\\n\\r]+'), lambda x: x <> '') w
                 from (select doc_id rec_id, source medio, string_split(text, chr(10)) lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) seg from documents)))
         where len(w) >= 5""",
-    "blocks": """select model, rec_id, medio, ((rec_id - 6) % 24 + 24) % 24 hora_local, idx, start_word, end_word,
+    "blocks": """select model, rec_id, medio, ((rec_id - 6) % 24 + 24) % 24 hora_local, n n_words, idx, start_word, end_word,
         (['noticia','publicidad','religioso','promo','musica','relleno','desconocido'])[(rec_id * 31 + (start_word // 120) * 7 + case when (rec_id + idx + k) % 5 = 0 then k + 1 else 0 end) % 7 + 1] tipo,
         (50 + (rec_id * 7 + idx * 13 + k) % 50) / 100.0::double confidence
         from (select *, (idx * size)::int start_word, least(n - 1, (idx + 1) * size - 1)::int end_word

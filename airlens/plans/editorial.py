@@ -17,20 +17,21 @@ def _news(spark: SparkSession, d: str) -> DataFrame:
     v = demo.versions(spark, d)
     news = v.select("news_id").distinct().withColumn("rec_id", F.when(F.col("news_id") % 5 != 0, F.col("news_id")))
     last = ed.version_history(v, "titulo").where("current").select("news_id", "numero", F.substring("titulo", 1, 80).alias("titulo"))
-    recs = demo.recordings(spark, d).select("rec_id", "medio", "lang", "estado")
-    stations = recs.where("medio <> 'src2'").select("medio", F.concat(F.lit("Radio "), F.col("medio")).alias("station")).distinct()
-    return ed.news_list(news, last, recs, stations)
+    recs = demo.recordings(spark, d).select("rec_id", F.concat_ws("/", "medio", F.hour("fecha_inicio")).alias("programa_id"), "lang", "estado")
+    programmes = demo.recordings(spark, d).where("hour(fecha_inicio) <> 3").select(F.concat_ws("/", "medio", F.hour("fecha_inicio")).alias("programa_id"), F.concat(F.lit("Hora "), F.hour("fecha_inicio").cast("string")).alias("programa"), "medio").distinct()
+    stations = programmes.where("medio <> 'src2'").select("medio", F.concat(F.lit("Radio "), F.col("medio")).alias("station")).distinct()
+    return ed.news_list(news, last, recs, programmes, stations)
 
 
 _NEWS = """, filled as (select *, last_value(titulo ignore nulls) over (partition by news_id order by numero rows between unbounded preceding and current row) t, max(numero) over (partition by news_id) m from versions),
-    news as (select v.news_id, numero, substr(t, 1, 80) titulo, r.rec_id, r.medio, lang, estado, case when r.medio <> 'src2' then 'Radio ' || r.medio end station
+    news as (select v.news_id, numero, substr(t, 1, 80) titulo, r.rec_id, case when hour(fecha_inicio) <> 3 then r.medio end medio, case when hour(fecha_inicio) <> 3 and r.medio is not null then 'Hora ' || hour(fecha_inicio) end programa, lang, estado, case when hour(fecha_inicio) <> 3 and r.medio <> 'src2' then 'Radio ' || r.medio end station
         from filled v left join recordings r on r.rec_id = v.news_id and v.news_id % 5 <> 0 where numero = m)"""
 _F = "versions recordings"
 
 
-@query("q1_news_list", _F, _NEWS + " select news_id, numero, titulo, medio, station from news order by news_id desc limit 200")
+@query("q1_news_list", _F, _NEWS + " select news_id, numero, titulo, medio, programa, station from news order by news_id desc limit 200")
 def q1(spark: SparkSession, d: str) -> DataFrame:
-    return _news(spark, d).orderBy(F.desc("news_id")).limit(200).select("news_id", F.col("numero").cast("long").alias("numero"), "titulo", "medio", "station")
+    return _news(spark, d).orderBy(F.desc("news_id")).limit(200).select("news_id", F.col("numero").cast("long").alias("numero"), "titulo", "medio", "programa", "station")
 
 
 @query("q2_news_detail", _F, _NEWS + " select news_id, titulo, medio, station, lang, estado from news where news_id = 7")
@@ -88,11 +89,11 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
     return ed.apply_commands(_commands(spark, d))
 
 
-@query("q7_assign_queue", "log recordings", """, a as (select event_id, 'u' || (k % 2) who, row_number() over (order by event_id) n from log where event_type = 'view' and k < 20),
+@query("q7_assign_queue", "log recordings", """, a as (select event_id, 'u' || (k % 2) who, row_number() over (order by event_id) n from log where event_type = 'view'),
     q as (select rec_id news_id, row_number() over (order by rec_id) n from recordings where estado = 'pendiente')
     select event_id, who, news_id, case when news_id is null then 'empty queue' end reason from a left join q using (n)""")
 def q7b(spark: SparkSession, d: str) -> DataFrame:
-    asks = _commands(spark, d).join(demo.log(spark, d).where("event_type = 'view' and k < 20").select("event_id"), "event_id")
+    asks = _commands(spark, d).join(demo.log(spark, d).where("event_type = 'view'").select("event_id"), "event_id")
     queue = demo.recordings(spark, d).where("estado = 'pendiente'").select(F.col("rec_id").alias("news_id"), F.col("rec_id").alias("created"))
     return ed.assign_queue(asks, queue)
 
@@ -166,12 +167,12 @@ def q16(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("tenant_id", F.size(F.split("matched_on", "\\|")).alias("hits")).agg(F.count(F.lit(1)).alias("notes"), F.max("score").alias("score"))
 
 
-_FACETS = ", s as (select * from segments where n_words >= 10 and list_contains(people, 'The') and sentiment <> 'neutro')"
+_FACETS = ", s as (select * from segments where list_contains(people, 'The') and sentiment = 'negativo' and cast(momento - interval 6 hours as date) between date '2024-01-03' and date '2024-01-24')"
 
 
 @query("q17_faceted_search", "segments", _FACETS + " select 'medio' dimension, medio as value, count(*) n from s group by 2 union all select 'sentiment', sentiment, count(*) from s group by 2")
 def q17(spark: SparkSession, d: str) -> DataFrame:
-    rows = demo.segments(spark, d).where((F.col("n_words") >= 10) & F.array_contains("people", "The") & (F.col("sentiment") != "neutro"))
+    rows = ed.filtered(demo.segments(spark, d), "2024-01-03", "2024-01-24", people="The", sentiment="negativo", medio=None)
     return ed.facets(rows, "medio", "sentiment")
 
 

@@ -71,14 +71,16 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return ig.ingest_failures(rows, demo.recordings(spark, d))
 
 
-_CODES = "(['download_failed','upload_failed','timeout','rate_limited','out_of_memory','corrupt_audio','unsupported_format','not_found','invalid_job','empty_audio','other','x'])"
-_FAILS = f", f as (select event_id, {_CODES}[k % 12 + 1] code, case when k % 8 = 0 then 'No space left on device' else 'x' end message, (event_id % 6 - 1)::int attempt, k from log), c as (select *, case when k % 8 = 0 then 'transient' when k % 12 between 5 and 9 then 'permanent' else 'transient' end kind from f)"
+_KNOWN = (*ig.TRANSIENT, *ig.PERMANENT, "other")
+_FAILS = f""", f as (select event_id, ({list(_KNOWN)})[event_id % {len(_KNOWN)} + 1] code, case when k % 8 = 0 then 'No space left on device' else 'x' end message, (event_id % 6 - 1)::int attempt from log),
+    c as (select *, case when code = 'CalledProcessError' and message = 'No space left on device' then 'transient' when code in {ig.PERMANENT} then 'permanent' else 'transient' end kind from f)"""
 
 
 def _failures(spark: SparkSession, d: str) -> DataFrame:
-    codes = [c for c, _ in ig.ERRORS] + ["other", "x"]
-    code = F.element_at(F.array(*map(F.lit, codes)), F.col("k") % 12 + 1)
-    return ig.classify_errors(demo.log(spark, d).select("event_id", code.alias("code"), F.when(F.col("k") % 8 == 0, "No space left on device").otherwise("x").alias("message"), (F.col("event_id") % 6 - 1).cast("int").alias("attempt")))
+    code = F.element_at(F.array(*map(F.lit, _KNOWN)), (F.col("event_id") % len(_KNOWN) + 1).cast("int"))
+    message = F.when(F.col("k") % 8 == 0, "No space left on device").otherwise("x")
+    rows = demo.log(spark, d).select("event_id", code.alias("code"), message.alias("message"), (F.col("event_id") % 6 - 1).cast("int").alias("attempt"))
+    return ig.classify_errors(rows)
 
 
 @query("s7_retry_plan", "log", _FAILS + " select event_id, case when attempt <= 0 then 'invalid' when kind = 'permanent' then 'dead letter' else 'retry' end as action, case when attempt > 0 and kind = 'transient' then case attempt when 1 then 30 when 2 then 90 when 3 then 240 else 300 end end wait_s from c")
@@ -98,28 +100,33 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
     return ig.reconcile_backfill(r, r.select(F.explode(paths).alias("path")), r.where("rec_id % 9 = 0"))
 
 
+#: Pages of a feed: a hundred, whatever the table holds.
+_FEED = "page_id div 100"
+
+
 def _feeds(spark: SparkSession, d: str) -> DataFrame:
-    """A feed a host: an item a page, some without a date, one in five without a guid."""
+    """A feed of a hundred items, a page each, some without a date, one in five without a guid; and one that is no feed."""
     a = demo.articles(spark, d)
     date = F.expr("concat('Mon, ', 1 + page_id % 28, ' Jan 2024 ', lpad(page_id % 24, 2, '0'), ':00:00 ', if(page_id % 2 = 0, 'GMT', '-0600'))")
     item = F.concat(F.lit("<item>"), F.when(F.col("page_id") % 5 != 0, F.concat(F.lit('<guid isPermaLink="false">g'), F.col("page_id"), F.lit("</guid>"))).otherwise(""), F.lit("<link>http://h/"), F.col("page_id"), F.lit("</link><title>t&eacute;"), F.col("page_id"), F.lit("</title>"), F.when(F.col("page_id") % 7 != 0, F.concat(F.lit("<pubDate>"), date, F.lit("</pubDate>"))).otherwise(""), F.lit("<dc:creator>someone</dc:creator></item>"))
-    one = a.select((F.col("page_id") % 10).alias("fuente_id"), "page_id", item.alias("item")).groupBy("fuente_id").agg(F.concat_ws("", F.sort_array(F.collect_list("item"))).alias("items"))
-    return one.select("fuente_id", F.when(F.col("fuente_id") == 9, "<html><body/></html>").otherwise(F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>"))).alias("body"))
+    one = a.select(F.expr(_FEED).alias("fuente_id"), "page_id", item.alias("item")).groupBy("fuente_id").agg(F.concat_ws("", F.sort_array(F.collect_list("item"))).alias("items"))
+    feeds = one.select("fuente_id", F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>")).alias("body"))
+    return feeds.union(spark.createDataFrame([(-1, "<html><body/></html>")], "fuente_id long, body string"))
 
 
-@query("s10_parse_rss", "articles", """select page_id % 10 fuente_id, null::varchar error, case when page_id % 5 = 0 then 'http://h/' || page_id else 'g' || page_id end guid, 'té' || page_id titulo, ((1 + page_id % 28 - 1) * 24 + page_id % 24 + case when page_id % 2 = 0 then 0 else 6 end)::bigint as hours from articles where page_id % 10 <> 9 and page_id % 7 <> 0
-    union all select 9, 'not rss', null, null, null""")
+@query("s10_parse_rss", "articles", """select page_id // 100 fuente_id, null::varchar error, case when page_id % 5 = 0 then 'http://h/' || page_id else 'g' || page_id end guid, 'té' || page_id titulo, ((1 + page_id % 28 - 1) * 24 + page_id % 24 + case when page_id % 2 = 0 then 0 else 6 end)::bigint as hours from articles where page_id % 7 <> 0
+    union all select -1, 'not rss', null, null, null""")
 def s10(spark: SparkSession, d: str) -> DataFrame:
     hours = (F.unix_timestamp("publicado_at") - F.lit(1704067200)) / 3600
     return ig.parse_rss(_feeds(spark, d)).select("fuente_id", "error", "guid", "titulo", hours.cast("long").alias("hours"))
 
 
-@query("s11_parse_news_sitemap", "articles", "select page_id % 10 fuente_id, 'http://h/' || page_id guid, 't' || page_id titulo, '2024-01-0' || (1 + page_id % 9) || 'T00:00:00-06:00' publicado from articles where page_id % 3 <> 0")
+@query("s11_parse_news_sitemap", "articles", "select page_id // 100 fuente_id, 'http://h/' || page_id guid, 't' || page_id titulo, '2024-01-0' || (1 + page_id % 9) || 'T00:00:00-06:00' publicado from articles where page_id % 3 <> 0")
 def s11(spark: SparkSession, d: str) -> DataFrame:
     a = demo.articles(spark, d)
     news = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<news:news><news:publication_date>2024-01-0"), 1 + F.col("page_id") % 9, F.lit("T00:00:00-06:00</news:publication_date><news:title>t"), F.col("page_id"), F.lit("</news:title></news:news>"))).otherwise("")
     entry = F.concat(F.lit("<url><loc>http://h/"), F.col("page_id"), F.lit("</loc>"), news, F.lit("</url>"))
-    body = a.select((F.col("page_id") % 10).alias("fuente_id"), entry.alias("e")).groupBy("fuente_id").agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list("e")), F.lit("</urlset>")).alias("body"))
+    body = a.select(F.expr(_FEED).alias("fuente_id"), entry.alias("e")).groupBy("fuente_id").agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list("e")), F.lit("</urlset>")).alias("body"))
     return ig.parse_news_sitemap(body).select("fuente_id", "guid", "titulo", "publicado")
 
 

@@ -65,8 +65,22 @@ def r5(spark: SparkSession, d: str) -> DataFrame:
     return rp.time_profile(tagged(spark, d))
 
 
+@query("r5_peak_hours", "segments", _TIME + " select key, notes from profile where section = 'hour' order by notes desc, key limit 3")
+def r5b(spark: SparkSession, d: str) -> DataFrame:
+    return rp.peak_hours(rp.time_profile(tagged(spark, d)))
+
+
+_DROP = "(select arg_min(notes, key) f, arg_max(notes, key) l, count(*) n from profile where section = 'day')"
+
+
+@query("r5_day_drop", "segments", _TIME + f' select f as "first", l as "last", round(100 * (f - l) / f::double, 1) as percent from {_DROP} where n > 1 and f > l')
+def r5c(spark: SparkSession, d: str) -> DataFrame:
+    return rp.day_drop(rp.time_profile(tagged(spark, d)))
+
+
 _AXES = _TAGGED + """, ax as (select *, array_to_string((list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(array_to_string(keywords, ' '))), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '' and w not in ('the', 'de', 'la', 'en')))[1:2], ' ') axis from tagged where mention),
-    axes as (select axis, count(*) notes, count(*) filter (sentiment = 'positivo') pos, count(*) filter (sentiment = 'neutral') neu, count(*) filter (sentiment = 'negativo') neg from ax where axis <> '' group by 1 order by notes desc, axis limit 6)"""
+    all_axes as (select axis, count(*) notes, count(*) filter (sentiment = 'positivo') pos, count(*) filter (sentiment = 'neutral') neu, count(*) filter (sentiment = 'negativo') neg from ax where axis <> '' group by 1),
+    axes as (select * from all_axes order by notes desc, axis limit 6)"""
 
 
 @query("r6_axes", "segments", _AXES + " select * from axes")
@@ -74,17 +88,34 @@ def r6(spark: SparkSession, d: str) -> DataFrame:
     return rp.top_axes(rp.axes(tagged(spark, d), NOISE))
 
 
+@query("r6_axes_share", "segments", _AXES + " select round(100 * (select sum(notes) from (select notes from all_axes order by notes desc, axis limit 10)) / sum(notes)::double, 6) as percent from all_axes")
+def r6c(spark: SparkSession, d: str) -> DataFrame:
+    return rp.axes_share(rp.axes(tagged(spark, d), NOISE))
+
+
 @query("r6_axis_samples", "segments", _AXES + " select axis, r, rec_id, seg, title from (select *, row_number() over (partition by axis order by momento, rec_id, seg)::int r from ax where axis <> '') where r <= 2")
 def r6b(spark: SparkSession, d: str) -> DataFrame:
     return rp.axis_samples(tagged(spark, d), NOISE)
 
 
-@query("r7_actors", "segments", _TAGGED + """, p as (select rec_id, seg, unnest(people) alias from tagged where mention), n as (select rec_id, seg, case when alias in ('The', 'Of') then 'Alguien Importante' else alias end who from p),
-    k as (select distinct rec_id, seg, array_to_string((list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(who)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '' and w not in ('de', 'del', 'la', 'las', 'los', 'el', 'y', 'von', 'der', 'di', 'da', 'le')))[1:2], ' ') a from n)
-    select array_to_string(list_transform(string_split(a, ' '), lambda w: upper(w[1]) || w[2:]), ' ') actor, count(*) notes from k where a <> '' and a <> 'in' group by 1 order by notes desc, actor limit 10""")
+_ACTORS = """, p as (select rec_id, seg, unnest(list_transform(people, lambda x, i: case when i % 2 = 0 then x || ' de ' || keywords[1] else x end)) said from tagged where mention), n as (select said, lower(strip_accents(said)) alias from p),
+    k as (select *, list_filter(string_split_regex(replace(alias, '.', ' '), '\\s+'), lambda w: w <> '' and w not in ('de', 'del', 'la')) w from n),
+    acts as (select case when alias in ('the', 'of') then 'Alguien Importante' when len(w) >= 2 then array_to_string(list_transform(w[1:2], lambda x: upper(x[1]) || x[2:]), ' ') else said end actor, count(*) notes
+    from k where alias in ('the', 'of') or len(w) = 0 or len(list_filter(w, lambda x: x not in ('in', 'joh', 'expresidente'))) > 0 group by 1 order by notes desc, actor limit 10)"""
+
+
+@query("r7_actors", "segments", _TAGGED + _ACTORS + " select * from acts")
 def r7(spark: SparkSession, d: str) -> DataFrame:
-    aliases = spark.createDataFrame([("The", "Alguien Importante"), ("Of", "Alguien Importante")], "alias string, name string")
-    return rp.actors(tagged(spark, d), aliases, "in")
+    return rp.actors(_named(tagged(spark, d)), _aliases(spark), "In")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Every other person has a second name, the note's first keyword."""
+    return rows.withColumn("people", F.transform("people", lambda x, i: F.when(i % 2 == 1, F.concat_ws(" de ", x, F.element_at("keywords", 1))).otherwise(x)))
+
+
+def _aliases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("the", "Alguien Importante"), ("of", "Alguien Importante")], "alias string, name string")
 
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -118,22 +149,27 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
 
 _OBS = f"""select case when reading = 'critical' then 'critical station' else 'factual station' end as rule, medio as detail from media where reading = 'critical' or (notes >= 10 and neu >= 0.6 * notes)
     union all select 'silent stations', count(*)::varchar from media where reading = 'silent' having count(*) > 0
-    union all select 'more criticism than praise', round(sum(neg) / sum(pos)::double, 2)::varchar from media having sum(pos) > 0 and sum(neg) > sum(pos)"""
+    union all select 'more criticism than praise', round(sum(neg) / sum(pos)::double, 1)::varchar from media having sum(pos) > 0 and sum(neg) > sum(pos)
+    union all select 'falling volume', round(100 * (f - l) / f::double, 1)::varchar from {_DROP} where n > 1 and f > l"""
 
 
-@query("r11_observations", "segments", _MEDIA + " " + _OBS)
+@query("r11_observations", "segments", _MEDIA + _TIME.removeprefix(_TAGGED) + " " + _OBS)
 def r11(spark: SparkSession, d: str) -> DataFrame:
     t = tagged(spark, d)
-    return rp.observations(rp.share_summary(t), rp.media_table(t))
+    return rp.observations(rp.share_summary(t), rp.media_table(t), rp.time_profile(t))
 
 
-@query("r12_report_tables", "segments", _MEDIA + _AXES.removeprefix(_TAGGED) + _TIME.removeprefix(_TAGGED) + f""", obs as ({_OBS}), total as (select sum(notes)::bigint notes, sum(pos)::bigint pos, sum(neu)::bigint neu, sum(neg)::bigint neg from media),
+@query("r12_report_tables", "segments", _MEDIA + _AXES.removeprefix(_TAGGED) + _TIME.removeprefix(_TAGGED) + _ACTORS + _QUOTES.removeprefix(_TAGGED) + f""", obs as ({_OBS}),
+    kept as (select * from (select *, row_number() over (partition by k order by momento, rec_id, seg) r1 from b where bare <> '' and contains(said, bare)) where r1 = 1),
+    tones as (select sentiment, least(count(*), case sentiment when 'positivo' then 6 when 'negativo' then 8 else 5 end) notes from kept group by 1),
+    topics as (select topic, count(*) notes, count(*) filter (sentiment = 'negativo') neg from (select *, 'agua' topic from tagged where not mention and agua union all select *, 'energia' from tagged where not mention and energia) group by 1), total as (select sum(notes)::bigint notes, sum(pos)::bigint pos, sum(neu)::bigint neu, sum(neg)::bigint neg from media),
     whole as (select 'summary' section, '' as key, notes, pos, neu, neg, case when pos > neg then 'favorable' when neg > pos then 'adverso' else 'equilibrado' end as text from total
         union all select 'stations', medio, notes, pos, neu, neg, reading from media union all select section, key, notes, null, null, null, null from profile
-        union all select 'axes', axis, notes, pos, neu, neg, null from axes union all select 'observations', rule, null, null, null, null, detail from obs)
+        union all select 'axes', axis, notes, pos, neu, neg, null from axes union all select 'actors', actor, notes, null, null, null, null from acts
+        union all select 'quotes', sentiment, notes, null, null, null, null from tones union all select 'topics', topic, notes, null, null, neg, null from topics union all select 'observations', rule, null, null, null, null, detail from obs)
     select 'client-1' client, '2024-01' as period, * from whole""")
 def r12(spark: SparkSession, d: str) -> DataFrame:
-    return rp.report_tables(tagged(spark, d), "client-1", "2024-01", NOISE)
+    return rp.report_tables(_named(tagged(spark, d)), "client-1", "2024-01", NOISE, _aliases(spark), "In", _quotes(spark, d))
 
 
 @query("r13_mentions_export", "segments", """, rows as (select *, case when medio = 'src1' then null else 'Radio ' || medio end as name, (length(medio) * 137 % 100) / 1000.0::double audience from segments where medio <> 'src1' and momento >= timestamp '2024-01-20' - interval 48 hours and momento <= timestamp '2024-01-20')
@@ -146,9 +182,9 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     return got.select("rec_id", "seg", "name", F.date_format("momento", "yyyy-MM-dd HH:mm:ss").alias("momento"), F.array_join("people", "|").alias("people"), "topic", "reach")
 
 
-@query("r14_weekly_draft", "segments", "select rec_id % 4 client, strftime(date_trunc('week', momento), '%Y-%m-%d') as week, count(*) news, count(*) filter (seg % 3 = 0) included from segments where rec_id % 2 = 0 group by 1, 2")
+@query("r14_weekly_draft", "segments", "select rec_id % 4 client, strftime(date_trunc('week', momento), '%Y-%m-%d') as week, count(*) news, count(*) filter (seg % 3 = 0) included from segments group by 1, 2")
 def r14(spark: SparkSession, d: str) -> DataFrame:
-    rows = demo.segments(spark, d).where("rec_id % 2 = 0").select((F.col("rec_id") % 4).alias("client"), F.concat_ws("-", "rec_id", "seg").alias("news_id"), "momento", "seg")
+    rows = demo.segments(spark, d).select((F.col("rec_id") % 4).alias("client"), F.concat_ws("-", "rec_id", "seg").alias("news_id"), "momento", "seg")
     return rp.weekly_draft(rows.drop("seg"), rows.where("seg % 3 = 0").select("client", "news_id"))
 
 

@@ -41,7 +41,7 @@ def w4(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-@query("w4_two_day_volume", "", "with s as (select time_bucket(interval 12 hours, ts, timestamp '2000-01-01') - to_hours(12 * k) as start from events, (values (0), (1), (2), (3)) v(k)) select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) n from s group by 1")
+@query("w4_two_day_volume", "", "with s as (select date_trunc('hour', ts) - to_hours(k) as start from events, (select unnest(range(0, 48)) k)) select strftime(start, '%Y-%m-%d %H:%M:%S') as start, count(*) n from s group by 1")
 def w4b(spark: SparkSession, d: str) -> DataFrame:
     got = jobs.drained(jobs.two_days(_events(spark, d)), "complete")
     return got.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
@@ -56,5 +56,5 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w6_stream_stories")
 def w6(spark: SparkSession, d: str) -> DataFrame:
-    rows = jobs.stream(spark, f"{d}/embeddings.parquet").select(F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 1200).alias("ts"), (F.col("label") % 3).alias("topic"), F.col("vec_id").alias("item_id"), (F.col("vec_id") * 20).alias("minute"), "embedding")
+    rows = jobs.stream(spark, f"{d}/embeddings.parquet").select(F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 1200).alias("ts"), F.col("label").alias("topic"), F.col("vec_id").alias("item_id"), (F.col("vec_id") * 20).alias("minute"), "embedding")
     return jobs.drained(jobs.online_stories(rows, 0.35), "append")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airlens.functions.text import control_sample
 from airlens.operators import models as ml
 from airlens.operators import repeat, segments as sg, words as w
+from airlens.operators.graph import checkpointed
 from airlens.plans import demo
 from airlens.plans.register import registrar
 
@@ -38,6 +39,24 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
     return w.build_requests(demo.words(spark, d)).select("custom_id", "lo", "hi", F.sha2("body", 256).alias("body_hash"), "context")
 
 
+@query("t2_requests_with_profiles", "words", _REQUESTS + """, lines as (select string_agg('- client_id: "' || n_nationkey || '"  (' || n_name || ')' || case when n_nationkey % 2 = 0 then chr(10) || '    personas de interes: ' || n_name || ', Otra' else '' end || chr(10) || '    temas: ' || lower(n_name), chr(10) order by n_nationkey::varchar) p from nation)
+    select custom_id, sha256('PERFILES DE CLIENTE (para clasificar relevancia, no para segmentar):' || chr(10) || p || chr(10) || 'Por cliente.' || chr(10) || chr(10) || body) body_hash from requests, lines""")
+def t2b(spark: SparkSession, d: str) -> DataFrame:
+    nation = demo.table(spark, d, "nation")
+    none = F.array().cast("array<string>")
+    persons = F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name", F.lit("Otra"))).otherwise(none)
+    profiles = nation.select(F.col("n_nationkey").cast("string").alias("client_id"), F.col("n_name").alias("name"), persons.alias("persons"), none.alias("bodies"), F.array(F.lower("n_name")).alias("topics"))
+    got = w.with_profiles(w.build_requests(demo.words(spark, d)), profiles, "Por cliente.")
+    return got.select("custom_id", F.sha2("body", 256).alias("body_hash"))
+
+
+@query("s4_load_text", "transcripts", "select rec_id, sha256(case when len(words) > 0 then array_to_string(words, ' ') else 'sin palabras ' || rec_id end) text_hash from transcripts")
+def s4b(spark: SparkSession, d: str) -> DataFrame:
+    recs = demo.transcripts(spark, d)
+    texts = recs.select("rec_id", F.concat(F.lit("sin palabras "), F.col("rec_id").cast("string")).alias("texto"))
+    return w.load_text(recs, texts).select("rec_id", F.sha2("texto", 256).alias("text_hash"))
+
+
 @query("t4_split_accounts", "words", _CHUNKS + " select rec_id, chunk, ((dense_rank() over (order by rec_id) - 1) % 3)::int account from chunks")
 def t4(spark: SparkSession, d: str) -> DataFrame:
     return w.split_accounts(w.chunk_words(demo.words(spark, d)), 3).select("rec_id", "chunk", "account")
@@ -48,6 +67,7 @@ def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s = demo.segments(spark, d).withColumn("chunk", F.floor(F.col("seg") / 4).cast("int"))
     segment = F.struct(
         "title", (F.col("start_word") + F.when((F.col("rec_id") + F.col("seg")) % 17 == 0, 1_000_000).otherwise(0)).cast("int").alias("start_word"), F.col("end_word").cast("int").alias("end_word"), "summary", "keywords",
+        F.col("sentiment").alias("news_type"), "people", F.array(F.upper("medio"), F.element_at("keywords", 1)).alias("organizations"), F.array("medio", F.element_at("keywords", -1)).alias("locations"),
         F.expr("case (rec_id + seg) % 5 when 0 then 'continues_before_chunk' when 1 then 'continues_both' else 'complete' end").alias("boundary_status"), ((50 + (F.col("rec_id") + F.col("seg")) % 50) / F.lit(100.0)).alias("confidence"),
         F.array(F.struct(F.when(F.col("seg") % 2 == 0, F.concat(F.lit("00000000-0000-0000-0000-00000000000"), (F.col("rec_id") % 10).cast("string"))).otherwise("not-an-id").alias("client_id"), (F.col("seg") % 3 == 0).alias("relevant"), F.lit(0.5).alias("score"))).alias("client_relevance"),
     )
@@ -70,9 +90,9 @@ _PROPOSED = """, chunked as (select *, (seg // 4)::int chunk from segments),
     usable as (select * from accepted where problem is null and (rec_id + seg) % 17 <> 0)"""
 
 
-@query("t5_collect_responses", "segments", _PROPOSED + " select rec_id, chunk, pos seg, start_word, end_word, title, array_to_string(keywords, '|') keywords, boundary_status, confidence from usable")
+@query("t5_collect_responses", "segments", _PROPOSED + " select rec_id, chunk, pos seg, start_word, end_word, title, array_to_string(keywords, '|') keywords, sentiment news_type, array_to_string(people, '|') people, upper(medio) || '|' || keywords[1] organizations, boundary_status, confidence from usable")
 def t5(spark: SparkSession, d: str) -> DataFrame:
-    return sg.collect_responses(_parsed(spark, d)).select("rec_id", "chunk", "seg", F.col("start_word").cast("long"), F.col("end_word").cast("long"), "title", F.array_join("keywords", "|").alias("keywords"), "boundary_status", "confidence")
+    return sg.collect_responses(_parsed(spark, d)).select("rec_id", "chunk", "seg", F.col("start_word").cast("long"), F.col("end_word").cast("long"), "title", F.array_join("keywords", "|").alias("keywords"), "news_type", F.array_join("people", "|").alias("people"), F.array_join("organizations", "|").alias("organizations"), "boundary_status", "confidence")
 
 
 @query("t5_response_problems", "segments", _PROPOSED + " select coalesce(problem, 'ok') problem, count(*) n from ranges group by 1")
@@ -100,10 +120,25 @@ _STITCHED = _PROPOSED + """, flagged as (select *, case when lag(chunk) over o =
     groups as (select *, sum(fresh) over (partition by rec_id order by chunk, start_word, seg) g from flagged)"""
 
 
-@query("t8_stitch", "segments", _STITCHED + " select rec_id, (g - 1)::int story, count(*)::int n_parts, min(start_word) start_word, max(end_word) end_word, min(confidence) confidence from groups group by rec_id, g")
+def _once(values: str) -> str:
+    return f"list_filter({values}, lambda v, i: not list_contains(list_transform(({values})[1:i - 1], lambda y: lower(trim(y))), lower(trim(v))))"
+
+
+_FOLD = f"""list_reduce(p, lambda s, x: struct_pack(start_word := s.start_word, end_word := x.end_word,
+    title := case when x.end_word - x.start_word > s.end_word - s.start_word then x.title else s.title end,
+    news_type := case when x.end_word - x.start_word > s.end_word - s.start_word then x.news_type else s.news_type end,
+    keywords := ({_once("s.keywords || x.keywords")})[1:10], people := {_once("s.people || x.people")}, organizations := {_once("s.organizations || x.organizations")},
+    confidence := least(s.confidence, x.confidence)))"""
+
+
+@query("t8_stitch", "segments", _STITCHED + f""", lists as (select rec_id, g, list(struct_pack(start_word := start_word, end_word := end_word, title := title, news_type := sentiment, keywords := keywords, people := people,
+        organizations := [upper(medio), keywords[1]], confidence := confidence) order by chunk, start_word, pos) p from groups group by rec_id, g),
+    folded as (select rec_id, g, len(p) n, {_FOLD} f from lists)
+    select rec_id, (g - 1)::int story, n::int n_parts, f.start_word start_word, f.end_word end_word, f.title title, f.news_type news_type, array_to_string(f.keywords, '|') keywords, array_to_string(f.people, '|') people, array_to_string(f.organizations, '|') organizations, f.confidence confidence from folded""")
 def t8(spark: SparkSession, d: str) -> DataFrame:
     got = sg.stitch(sg.collect_responses(_parsed(spark, d)))
-    return got.select("rec_id", "story", "n_parts", F.col("start_word").cast("long"), F.col("end_word").cast("long"), "confidence")
+    lists = (F.array_join(c, "|").alias(c) for c in ("keywords", "people", "organizations"))
+    return got.select("rec_id", "story", "n_parts", F.col("start_word").cast("long"), F.col("end_word").cast("long"), "title", "news_type", *lists, "confidence")
 
 
 @query("t9_cacheable", "segments", _PROPOSED + " select rec_id from ranges group by rec_id having count(problem) = 0 and rec_id % 10 <> 3")
@@ -165,12 +200,16 @@ def n3(spark: SparkSession, d: str) -> DataFrame:
     return repeat.repeated_index(repeat.fingerprints(demo.transcripts(spark, d))).where("veces_visto > 1").select("huella", "veces_visto", "medios_distintos", "primera", "ultima")
 
 
-def _ads(spark: SparkSession, d: str) -> DataFrame:
-    index = repeat.repeated_index(repeat.fingerprints(demo.transcripts(spark, d)))
+def _ads_of(prints: DataFrame) -> DataFrame:
+    index = repeat.repeated_index(prints)
     override = F.when(F.col("primera") % 10 == 0, True).when(F.col("primera") % 10 == 1, False)
     return repeat.ad_fingerprints(index.withColumn("es_publicidad", override), 2)
 
 
+def _ads(spark: SparkSession, d: str) -> DataFrame:
+    return _ads_of(repeat.fingerprints(demo.transcripts(spark, d)))
+
+
 _ADS = _INDEX + ", ads as (select huella from idx where case primera % 10 when 0 then true when 1 then false else veces_visto >= 2 end)"
 
 
@@ -182,17 +221,20 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
 @query("n5_skip_chunks", "transcripts", _ADS + """ select rec_id, (start_word // 600)::int chunk, count(*) windows, count(distinct a.huella) known, count(distinct a.huella) / count(*)::double >= 0.75 skipped
     from prints p left join ads a using (huella) group by 1, 2""")
 def n5(spark: SparkSession, d: str) -> DataFrame:
-    prints = repeat.fingerprints(demo.transcripts(spark, d)).withColumn("chunk", F.floor(F.col("start_word") / 600).cast("int"))
-    return repeat.skip_chunks(prints, _ads(spark, d))
+    """The prints are written once, for the index of ads and for the chunks."""
+    prints = checkpointed(repeat.fingerprints(demo.transcripts(spark, d)).drop("texto"))
+    chunks = prints.withColumn("chunk", F.floor(F.col("start_word") / 600).cast("int"))
+    return repeat.skip_chunks(chunks, _ads_of(prints.withColumn("texto", F.lit(""))))
 
 
-@query("n6_fingerprint_coverage", "transcripts blocks", PRINTS + """, disputed as (select rec_id, idx, start_word, end_word from blocks where model = 'C' and rec_id % 9 = 0 and tipo = 'relleno'),
+@query("n6_fingerprint_coverage", "transcripts blocks verdicts", PRINTS + """, disputed as (select distinct b.rec_id, b.idx, start_word, end_word from blocks b join verdicts v on v.model = b.model and v.rec_id = b.rec_id and v.idx = b.idx where not ok),
     recs as (select rec_id from (select rec_id, row_number() over (partition by medio order by rec_id desc) r from (select distinct rec_id, medio from prints) where rec_id not in (select rec_id from disputed)) where r <= 25),
     seen as (select huella, count(distinct rec_id) seen from prints where rec_id in (select rec_id from recs) group by huella)
     select d.rec_id, d.idx, count(p.huella) windows, count(*) filter (seen >= 2) in_2, count(*) filter (seen >= 3) in_3, count(*) filter (seen >= 5) in_5
     from disputed d left join prints p on p.rec_id = d.rec_id and p.start_word >= d.start_word and p.start_word + 49 <= d.end_word left join seen s using (huella) group by d.rec_id, d.idx""")
 def n6(spark: SparkSession, d: str) -> DataFrame:
-    disputed = demo.blocks(spark, d).where("model = 'C' and rec_id % 9 = 0 and tipo = 'relleno'").select("rec_id", "idx", "start_word", "end_word")
+    wrong = demo.verdicts(spark, d).where("not ok").select("model", "rec_id", "idx").distinct()
+    disputed = demo.blocks(spark, d).join(wrong, ["model", "rec_id", "idx"]).select("rec_id", "idx", "start_word", "end_word")
     return repeat.fingerprint_coverage(disputed, repeat.fingerprints(demo.transcripts(spark, d)))
 
 

@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Error codes and their class.
-ERRORS = (
-    ("download_failed", "transient"), ("upload_failed", "transient"), ("timeout", "transient"), ("rate_limited", "transient"), ("out_of_memory", "transient"),
-    ("corrupt_audio", "permanent"), ("unsupported_format", "permanent"), ("not_found", "permanent"), ("invalid_job", "permanent"), ("empty_audio", "permanent"),
+#: Codes of the object store and names of exceptions, by whether another try can help.
+TRANSIENT = (
+    "SlowDown", "InternalError", "RequestTimeout", "RequestTimeTooSkewed", "ServiceUnavailable", "Throttling", "ThrottlingException",
+    "ProvisionedThroughputExceededException", "EndpointConnectionError", "RateLimitError", "APITimeoutError", "APIConnectionError",
+    "InternalServerError", "TimeoutError", "ConnectionError",
+)
+PERMANENT = (
+    "NoSuchKey", "NoSuchBucket", "AccessDenied", "InvalidObjectState", "InvalidArgument", "404", "403", "BadRequestError",
+    "AuthenticationError", "PermissionDeniedError", "NotFoundError", "JSONDecodeError", "ValidationError", "CalledProcessError",
 )
 WAITS = (30, 90, 240)
 
@@ -78,14 +83,14 @@ def ingest_failures(messages: DataFrame, recordings: DataFrame, default: str = "
 
 
 def classify_errors(errors: DataFrame) -> DataFrame:
-    """errors (code, message) with kind: by code, but no space left is always transient; unknown codes are transient."""
-    table = errors.sparkSession.createDataFrame(list(ERRORS), "code string, _kind string")
-    got = errors.join(F.broadcast(table), "code", "left")
-    full = F.coalesce(F.lower("message").contains("no space left"), F.lit(False))
-    return got.withColumn("kind", F.when(full, "transient").otherwise(F.coalesce("_kind", F.lit("transient")))).drop("_kind")
+    """errors (code, message) with kind: by code, unknown codes are transient. A program that failed because no space was
+    left is worth another try, any other way it fails is not."""
+    full = (F.col("code") == "CalledProcessError") & F.coalesce(F.lower("message").contains("no space left on device"), F.lit(False))
+    kind = F.when(full, "transient").when(F.col("code").isin(*PERMANENT), "permanent").otherwise("transient")
+    return errors.withColumn("kind", kind)
 
 
-def retry_plan(failures: DataFrame, most: int = 4) -> DataFrame:
+def retry_plan(failures: DataFrame) -> DataFrame:
     """failures (kind, attempt) with action (dead letter, retry, invalid) and wait_s: 30, 90, 240 s, then 300."""
     attempt = F.col("attempt")
     wait = F.when(attempt <= len(WAITS), F.element_at(F.array(*map(F.lit, WAITS)), F.greatest(F.least(attempt, F.lit(len(WAITS))), F.lit(1)))).otherwise(300)

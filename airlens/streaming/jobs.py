@@ -15,25 +15,36 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from airlens.operators.editorial import step
 
 
+#: Bytes of a micro-batch of a file stream.
+BATCH_BYTES = 1 << 30
+
+
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream over Parquet; the schema is that of the files there. A plain path would have to be a folder; as a
-    pattern (its last letter in brackets) it may be a single file as well."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    pattern (its last letter in brackets) it may be a single file as well. Each micro-batch takes whole files, up to
+    BATCH_BYTES of them."""
+    return spark.readStream.option("maxBytesPerTrigger", str(BATCH_BYTES)).schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drained(rows: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what there is (trigger availableNow) into a table of the shared folder, and reads that. Modes:
-    append adds each batch's rows; complete keeps the last batch's whole result."""
+    append writes each batch to a folder of its own, over what an attempt before may have left there; complete keeps the
+    last batch's whole result."""
     spark = rows.sparkSession
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="airlens-")) + f"/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    written = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        written.append(number)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    if not written:
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(out if mode == "complete" else f"{out}/batch=*")
 
 
 def first_results(messages: DataFrame, delay: str = "60 days") -> DataFrame:
@@ -56,7 +67,7 @@ def hourly(mentions: DataFrame, *by: str, delay: str = "2 hours") -> DataFrame:
     return mentions.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def two_days(mentions: DataFrame, *by: str, delay: str = "2 hours", slide: str = "12 hours") -> DataFrame:
+def two_days(mentions: DataFrame, *by: str, delay: str = "2 hours", slide: str = "1 hour") -> DataFrame:
     """Volume of 48 hours, sliding."""
     return mentions.withWatermark("ts", delay).groupBy(F.window("ts", "48 hours", slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
 

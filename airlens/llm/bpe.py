@@ -1,12 +1,13 @@
 """Encoding and decoding with a byte-level BPE vocabulary, chunks that documents share encoded once a worker.
 
 A text is cut into chunks where a rolling hash of 16 bytes says so, so that equal passages are cut alike
-wherever they stand; each distinct chunk is encoded once and remembered (within a bound, for the worker's
-life; nothing is shuffled, so a chunk that runs through the corpus costs no hot key). A cut can fall inside a
-word: where two chunks meet, the stretch around the cut is encoded anew, and widened by one stretch at a time
+wherever they stand; each distinct chunk is encoded once and remembered (within a bound in bytes, for the worker's
+life; nothing is shuffled, so a chunk that runs through the corpus costs no hot key). Text that gives no cut is cut
+after LONGEST_CHUNK bytes. A cut can fall inside a word: where two chunks meet, the stretch around the cut is encoded anew, and widened by one stretch at a time
 until its ids equal those of its parts, which is when the ids on both sides hold.
 
-Null texts are empty: no ids. Extra columns are ignored; rows that repeat give rows that repeat.
+Null texts are empty: no ids. Texts are encoded whole, whatever their length. Extra columns are ignored; rows that
+repeat, or lack an id, give rows each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,13 @@ from pyspark.sql import functions as F
 
 from airlens.llm.common import small_batches
 from airlens.llm.shingles import _INVERSE, U, mix, powers
-from airlens.llm.tokens import REMEMBERED as STRETCHES
 from airlens.llm.tokens import Encoder, Unsafe, encoder
 
 WINDOW = 16
 #: A cut where this many low bits of the rolling hash are 0: chunks of 1,024 bytes on average.
 CUT_BITS = 10
-#: Chunks remembered in each of two generations.
-REMEMBERED = 15_000
+#: Bytes of chunks and their ids remembered in each of two generations, and of the longest chunk.
+REMEMBERED_BYTES, LONGEST_CHUNK = 24 << 20, 16 << 10
 
 _CUT = re.compile(r"(?<!\s) ")
 
@@ -44,7 +45,15 @@ def cuts(raw: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     rolling = (sums[WINDOW:] - sums[:-WINDOW]) * powers(n - WINDOW + 1, _INVERSE)
     ends = np.flatnonzero((mix(rolling) & U((1 << bits) - 1)) == 0) + WINDOW
     ends = ends[ends < n]
-    return np.append(ends[(raw[ends] & 0xC0) != 0x80], n)
+    ends = np.append(ends[(raw[ends] & 0xC0) != 0x80], n)
+    far = np.diff(ends, prepend=0) > LONGEST_CHUNK
+    if far.any():
+        more = [np.arange(a + LONGEST_CHUNK, b, LONGEST_CHUNK) for a, b in zip(np.append(0, ends[:-1])[far], ends[far])]
+        more = np.concatenate(more)
+        for _ in range(3):  # back to the beginning of a character
+            more = more - ((raw[more] & 0xC0) == 0x80)
+        ends = np.union1d(ends, more)
+    return ends
 
 
 class ChunkedEncoder:
@@ -52,7 +61,7 @@ class ChunkedEncoder:
         self.own, self.bits = own, bits
         self.new: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
-        self.encoded = self.reused = self.repaired = 0
+        self.bytes = self.encoded = self.reused = self.repaired = 0
 
     def chunk(self, data: bytes) -> tuple[list[str], bytes, list[str]]:
         """The chunk's first two stretches, the ids of those between, its last two. A short one has only the first list."""
@@ -64,9 +73,10 @@ class ChunkedEncoder:
                 got = self.fresh_chunk(data.decode())
             else:
                 self.reused += 1
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
+            if self.bytes >= REMEMBERED_BYTES:
+                self.old, self.new, self.bytes = self.new, {}, 0
             self.new[data] = got
+            self.bytes += len(data) + len(got[1])
         else:
             self.reused += 1
         return got
@@ -92,8 +102,7 @@ class ChunkedEncoder:
         return self.own.memory[text[1:]]
 
     def encode(self, text: str) -> bytes:
-        if len(self.own.memory) >= STRETCHES:
-            self.own.memory = type(self.own.memory)(self.own, dict(self.own.memory))
+        self.own.renew()
         raw = text.encode()
         out: list[bytes] = []
         open_parts: list[str] = []  # stretches whose ids are not yet certain: what stands before the next cut
@@ -124,10 +133,15 @@ class ChunkedEncoder:
         return [*before, across, *rest]
 
 
+@lru_cache(maxsize=4)
+def chunked_encoder(path: str) -> ChunkedEncoder:
+    """The worker's own; what it remembers lasts from task to task."""
+    return ChunkedEncoder(encoder(path))
+
+
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        chunked = ChunkedEncoder(own)
+        own, chunked = encoder(path), chunked_encoder(path)
         for batch in batches:
             n, ids_hash, text_hash = [], [], []
             for text in batch.column("text").to_pylist():
@@ -148,7 +162,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunked = ChunkedEncoder(encoder(path))
+        chunked = chunked_encoder(path)
         for batch in batches:
             ids = [np.frombuffer(chunked.encode(x or ""), "<u4").astype(np.int32) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

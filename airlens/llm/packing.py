@@ -12,9 +12,10 @@ number of groups, a few for each size.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,6 @@ from airlens.llm.common import small_batches, trimmed, written
 from airlens.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Groups of underfull bins that the local search compares with one another, the emptiest first.
-SEARCHED = 400
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -98,12 +97,22 @@ def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     """The exchange between bins a (fuller) and b that fills a most: a piece of b moves to a, or one or two of
     b's pieces change places with one of a's. Any that fills the fuller bin more raises the sum of squares."""
     space = capacity - sum(a)
+    held = Counter(b)
+    sizes = sorted(held, reverse=True)
     best, found = 0, None
-    gives = {(x,): x for x in b} | {tuple(p): sum(p) for i, x in enumerate(b) for p in ((x, y) for y in b[i + 1 :])}
-    for out, lost in [((), 0), *(((x,), x) for x in set(a))]:
-        for into, gain in gives.items():
-            if best < gain - lost <= space and (out or len(into) == 1):
-                best, found = gain - lost, (out, into)
+    for x in sizes:  # a move
+        if best < x <= space:
+            best, found = x, ((), (x,))
+            break
+    if best < space:
+        gives = [((x,), x) for x in sizes]
+        gives += [((x, y), x + y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or held[x] > 1]
+        gives.sort(key=lambda g: g[1])
+        gains = [g[1] for g in gives]
+        for lost in set(a):
+            k = bisect_right(gains, space + lost) - 1  # the most that fits
+            if k >= 0 and gains[k] - lost > best:
+                best, found = gains[k] - lost, ((lost,), gives[k][0])
                 if best == space:
                     break
     if not found:
@@ -119,33 +128,37 @@ def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
     return tuple(sorted(one, reverse=True)), tuple(sorted(other, reverse=True))
 
 
-def local_search(bins: Counter, capacity: int = CAPACITY, searched: int = SEARCHED) -> Counter:
-    """Exchanges between groups of underfull bins until none raises the sum of squared fills."""
-    bins = Counter(bins)
-    stuck: set[tuple] = set()
-    while True:
-        under = sorted((c for c in bins if sum(c) < capacity), key=lambda c: (sum(c), c))[:searched]
-        moved = False
-        for b in under:  # the emptiest gives first
-            for a in reversed(under):
-                if not bins[b]:
-                    break
-                n = min(bins[a], bins[b]) if a != b else bins[a] // 2
-                if n < 1 or sum(a) < sum(b) or (a, b) in stuck:
-                    continue
-                got = _better(a, b, capacity)
-                if not got:
-                    stuck.add((a, b))
-                    continue
-                bins[a] -= n
-                bins[b] -= n
+def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
+    """Exchanges between groups of underfull bins until none raises the sum of squared fills, or until the bins are as few
+    as their pieces need. The emptiest group not yet compared meets every other one, the fullest first; a group that an
+    exchange makes is compared anew, so when none is left no pair of groups has an exchange that helps."""
+    bins = +Counter(bins)
+    left = sum(bins.values()) - -(-sum(sum(c) * n for c, n in bins.items()) // capacity)
+    under = {c for c in bins if sum(c) < capacity}
+    waiting = [(sum(c), c) for c in under]
+    heapify(waiting)
+    while waiting and left > 0:
+        _, own = heappop(waiting)
+        if not bins[own]:
+            continue
+        for other in sorted(under, key=lambda c: (-sum(c), c)):
+            a, b = (own, other) if sum(own) > sum(other) else (other, own)
+            while (n := min(bins[a], bins[b]) if a != b else bins[a] // 2) and (got := _better(a, b, capacity)):
+                for c in (a, b):
+                    bins[c] -= n
+                    if not bins[c]:
+                        under.discard(c)
                 for c in got:
-                    if c:
-                        bins[c] += n
-                moved = True
-        bins = +bins
-        if not moved:
-            return bins
+                    if not c:
+                        left -= n
+                        continue
+                    if not bins[c] and sum(c) < capacity:
+                        under.add(c)
+                        heappush(waiting, (sum(c), c))
+                    bins[c] += n
+            if not bins[own] or left <= 0:
+                break
+    return +bins
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -21,8 +21,8 @@ from tokenizers import Tokenizer
 _CUT = re.compile(r"(?<!\s) ")
 #: Texts of these characters need no normalisation beyond lower case and split alike in any Unicode version.
 _PLAIN = re.compile(r"[\n\x20-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-#: Stretches remembered in each of two generations of a worker's memory (about 100 MB in all).
-REMEMBERED = 250_000
+#: Stretches remembered in each of two generations of a worker's memory, their bytes, and the longest one that is.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 250_000, 32 << 20, 1000
 
 
 class Unsafe(Exception):
@@ -34,7 +34,7 @@ class _Memory(dict):
 
     def __init__(self, encoder: Encoder, old: dict):
         super().__init__()
-        self.encoder, self.old = encoder, old
+        self.encoder, self.old, self.bytes = encoder, old, 0
 
     def __missing__(self, stretch: str) -> bytes:
         if not stretch or stretch[-1].isspace():
@@ -42,9 +42,14 @@ class _Memory(dict):
         ids = self.old.get(stretch)
         if ids is None:
             ids = self.encoder.word(stretch) if stretch.isascii() and stretch.isalpha() else self.encoder.fresh(" " + stretch)
-        self[stretch] = ids
+        if len(stretch) <= LONGEST:  # text without spaces is one long stretch, and seldom comes again
+            self[stretch] = ids
+            self.bytes += len(stretch) + len(ids)
         return ids
 
+    def full(self) -> bool:
+        return len(self) >= REMEMBERED or self.bytes >= REMEMBERED_BYTES
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -92,13 +97,19 @@ class Encoder:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         symbols = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        if len(piece) <= LONGEST:
+            self.known[piece] = ids
         return ids
 
+    def renew(self) -> None:
+        """A full memory becomes the older one of two."""
+        if self.memory.full():
+            self.memory = _Memory(self, dict(self.memory))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(self.memory) >= REMEMBERED:
-            self.memory = _Memory(self, dict(self.memory))
+        self.renew()
         first, _, rest = text.partition(" ")
         if not first or first[-1].isspace():
             return self.careful(text)

@@ -292,8 +292,8 @@ def test_fingerprint_links_are_true(spark, sf):
     for r in got:
         a, b = sets[r["doc_id"]], sets[r["near_id"]]
         assert 100 * len(a & b) >= 75 * len(a | b)
-    linked = {i for i, j in combinations(sorted(sets), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) for i in (j,)}
-    assert len(linked - {r["doc_id"] for r in got}) <= 0.02 * len(linked) + 1
+    linked = {i for i, j in combinations(sorted(sets), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for i in (j,)}
+    assert not linked - {r["doc_id"] for r in got}
 
 
 def test_fingerprint_links_in_a_crowd(spark, monkeypatch):
@@ -372,6 +372,108 @@ def test_ftrl_learns_a_sparse_rule():
     assert model.feature[model.weight.argmax()] == 7 and len(model.feature) < 400
 
 
+def plain_ftrl(rows, labels, passes):
+    """FTRL-proximal one coordinate and one example at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+    bias = 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(passes):
+        for x, y in zip(rows, labels):
+            w = {i: weight(i) for i in [*x, bias]}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if i != bias and weight(i)}, weight(bias)
+
+
+def test_ftrl_equals_the_plain_loop():
+    """Also: leaving out features in too few rows to leave 0 changes nothing."""
+    rng = np.random.default_rng(6)
+    rows = [np.unique(np.append(rng.integers(0, 60, 12), rng.integers(1000, 5000, 20))).astype(np.int32) for _ in range(400)]
+    labels = np.array([float(3 in x or 7 in x) for x in rows])
+    want, bias = plain_ftrl([x.tolist() for x in rows], labels, toxicity.PASSES)
+    count = Counter(i for x in rows for i in x.tolist())
+    few = [x[[toxicity.PASSES * count[i] > toxicity.L1 for i in x.tolist()]] for x in rows]
+    for own in (rows, few):
+        got = toxicity.ftrl(own, labels)
+        assert dict(zip(got.feature.tolist(), got.weight.round(9).tolist())) == {i: round(w, 9) for i, w in sorted(want.items())} and abs(got.intercept - bias) < 1e-9
+    assert 2 <= len(want) < 60
+
+
+def test_language_distances_by_brute_force():
+    """The choice, its score and ties, from ranked lists with dictionaries."""
+    texts = {"aa": "la casa de la montaña es grande y la casa es blanca", "bb": "the house on the mountain is large and the house is white", "cc": "the house on the mountain is large and the house is white"}
+
+    def ranked(text):
+        count = Counter(langid.ngrams(text).tolist())
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))][: langid.PROFILE]
+
+    profiles = {k: ranked(t) for k, t in texts.items()}
+    run = langid._predict(profiles)
+    for text in ["the white mountain", "montaña blanca", "zzz qqq", "é", "", "12", "the house " * 500]:
+        own = ranked(text)
+        apart = {k: sum(abs(p.index(g) - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        share = sum(g in profiles[best] for g in own) / max(1, len(own))
+        want = (best, (1 - apart[best] / (langid.PROFILE * len(own))) * share) if own else ("und", 0.0)
+        (got,) = run(iter([pa.RecordBatch.from_pydict({"text": pa.array([text], pa.string())})]))
+        assert got.column("lang_pred")[0].as_py() == want[0] and abs(got.column("score")[0].as_py() - want[1]) < 1e-12
+
+
+def test_minhash_by_brute_force():
+    from airlens.llm.shingles import buffers, coefficients, minhash, shingles, words
+
+    texts = ["one two three four five six seven", "one", "", "a b c d e f g h i j k " * 20]
+    found = shingles(words(*buffers(pa.array(texts))))
+    got = minhash(found, 16)
+    a, b = (x.tolist() for x in coefficients(16))
+    for i in range(len(texts)):
+        own = [int(h) >> 32 for h in found.hashes[found.first[i] : found.first[i + 1]]]
+        for k in range(16):
+            m = min((a[k] * x + b[k]) % 2**32 for x in own) if own else 0xFFFFFFFF
+            if own:
+                m = (m ^ m >> 16) * 0x85EBCA6B % 2**32
+                m = (m ^ m >> 13) * 0xC2B2AE35 % 2**32
+                m ^= m >> 16
+            assert got[i, k] == m
+        assert len({tuple(x) for x in found.hashes[found.first[i] : found.first[i + 1]].reshape(-1, 1)}) == len(shingle_set(texts[i]))
+
+
+def test_byte_wide_fields_are_the_general_ones():
+    """16 bits, which the query writes, by the shortcut and by single bits."""
+    ids = np.random.default_rng(1).integers(0, 50257, 5000).astype("<u4")
+    flags = np.array([[v >> k & 1 for k in range(15, -1, -1)] for v in ids.tolist()], np.uint8)
+    assert bitpack.pack_bits(ids, 16) == np.packbits(flags).tobytes() and (bitpack.unpack_bits(bitpack.pack_bits(ids, 16), 16, 5000) == ids).all()
+
+
+def test_ids_are_read_back_in_a_task_a_file(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and some more of it") for i in range(400)], "doc_id long, text string").repartition(4)
+    folder, manifest = bitpack.write_ids(docs, BYTES, limit=200)
+    files = manifest.count()
+    got = bitpack.read_ids(folder, manifest)
+    assert files > 8 and got.rdd.getNumPartitions() == min(files, spark.sparkContext.defaultParallelism) and got.count() == 400
+
+
+def test_near_duplicates_in_one_bucket_with_a_stray(spark):
+    """A template's copies by the thousand, nearly all in one component, and one that only the full comparison can link."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = [(i, " ".join([*base[: k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(rng.integers(0, 120, 3000).tolist())]
+    texts.append((9000, " ".join([*base[:108], *(f"s{i}" for i in range(10))])))
+    texts.append((9001, " ".join([*base[:70], *(f"t{i}" for i in range(50))])))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert {got[i] for i in range(3000)} == {0} and got[9000] == 0 and got[9001] == 9001
+
+
 def test_toxicity(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.learn(docs, labels)

@@ -59,6 +59,28 @@ def test_archives_are_plain_gzip_members_and_blocks_are_searched(spark):
     assert sorted(r["page_id"] for r in got.collect()) == list(range(3, 2000, 100))
 
 
+def test_read_back_is_dealt_over_tasks(spark):
+    """As many index files and lookup tasks as bytes ask for, and as run at once at least, with adaptive execution on."""
+    folder = scratch(spark, "test-tasks")
+    many = spark.createDataFrame([(i, f"http://h{i % 50}.example.com/{i}", f"page {i}", "") for i in range(2000)], SCHEMA)
+    captures = warc.write_archives(many, folder)
+    files = warc.write_index(captures, folder)
+    cores = spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and len(files) == cores
+    for size, want in ((0, cores), (100 * warc.READ_BYTES, 100)):
+        assert warc.look_up(many, folder, files, size).rdd.getNumPartitions() == want
+
+
+def test_very_long_pages(spark):
+    long = "<p>" + "palabra " * 400_000
+    url = "http://www.example.io/" + "x/" * 40_000
+    df = spark.createDataFrame([(1, url, long, ""), (2, url, long, ""), (3, url + "y", "short", "")], SCHEMA)
+    got = {r["page_id"]: r for r in warc.archived(df).collect()}
+    assert got[2]["payload_bytes"] == len(long) and got[1]["refers_to"] == 2 and got[3]["record_type"] == "response"
+    judged = {r["page_id"]: r for r in urlfilter.judged(df).collect()}
+    assert judged[1]["score"] == judged[2]["score"] and len(judged[3]["path"]) == 80_002
+
+
 def test_index_keys(spark):
     df = spark.createDataFrame([("http://WWW.Example.com:80/A?b#c",), ("x",), (None,), ("https://a.b",), ("http://a b.c/d e",)], "url string")
     assert [r[0] for r in df.select(warc.index_key(df["url"])).collect()] == ["com,example,www)/A?b#c", "x)", ")", "b,a)", "c,a%20b)/d%20e"]
@@ -119,6 +141,16 @@ def test_url_filter_on_odd_rows(spark):
     assert urlfilter.judged(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_verdict_depends_on_the_url_alone(spark, sf):
+    """Rows without a page_id, and rows that repeat, are judged as any other with their URL."""
+    url = "http://www.example.io/en/abc"
+    real = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame([(None, url), (999999, url), (999999, url), (None, None), (None, "")], "page_id long, url string")
+    got = urlfilter.judged(real.union(odd)).where("host = 'www.example.io' and path = '/en/abc'").collect()
+    assert len(got) == 3 and len({(r["verdict"], r["score"]) for r in got}) == 1 and got[0]["score"] != 0
+    assert urlfilter.judged(odd).count() == 5
+
+
 def test_url_filter_equals_plain_models(spark, sf):
     table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     urls = {r["page_id"]: r["url"] for r in table.collect()}
@@ -410,6 +442,49 @@ def test_stored_payloads_come_back(values):
     assert webp.pixels(webp_writer.store(long))[:, :, :3].tobytes() == long
 
 
+@pytest.mark.parametrize("kind", ["prose", "lines", "ramp", "grey", "tied", "few", "noise"])
+def test_writer_uses_what_shrinks_the_file(kind, monkeypatch):
+    """References and cache hits in prose, transforms where channels or neighbours tell of each other, and all come back."""
+    rng = np.random.default_rng(3)
+    if kind == "prose":
+        payload = " ".join(rng.choice(["the", "cat", "house", "running", "above", "de", "la"], 3000)).encode()
+    elif kind == "lines":
+        payload = b"All rights reserved to the owner of it. " * 60
+    elif kind == "ramp":
+        payload = (np.arange(192 * 40) // 3 * 5 % 256 + np.tile([0, 70, 140], 64 * 40)).astype(np.uint8).tobytes()
+    elif kind == "grey":
+        payload = np.repeat(rng.integers(0, 256, 64 * 40), 3).astype(np.uint8).tobytes()
+    elif kind == "tied":
+        green = rng.integers(0, 40, 64 * 60)
+        payload = np.stack([green * 2, green, 3 * green], axis=1).astype(np.uint8).tobytes()
+    elif kind == "few":
+        payload = rng.choice(rng.integers(0, 256, (3, 3)).astype(np.uint8), 64 * 30).tobytes()
+    else:
+        payload = rng.integers(0, 256, 192 * 30).astype(np.uint8).tobytes()
+    payload = payload.ljust(-(-len(payload) // 192) * 192, b" ")
+    calls = Counter()
+    for name in ("_resolve", "_unpredict", "_uncross", "_unindex", "_by_position"):
+        f = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, f=f, name=name: calls.update([name]) or f(*a))
+    stored = webp_writer.store(payload)
+    assert webp.pixels(stored)[:, :, :3].tobytes() == payload
+    want = {"prose": "_resolve", "lines": "_resolve", "ramp": "_unpredict", "tied": "_uncross", "few": "_unindex"}
+    assert calls[want[kind]] > 0 if kind in want else True
+    assert len(stored) < {"noise": 1.05, "prose": 0.6, "lines": 0.1, "ramp": 0.1, "grey": 0.5, "tied": 0.5, "few": 0.2}[kind] * len(payload) + 200
+
+
+def test_feature_by_brute_force():
+    rng = np.random.default_rng(8)
+    image = rng.integers(0, 256, (3, 64, 4)).astype(np.uint8)
+    n, means, step, bins = 3 * 64, [0, 0, 0], 0, [0] * 16
+    for row in image.tolist():
+        for x, p in enumerate(row):
+            means = [m + v for m, v in zip(means, p)]
+            bins[p[1] >> 4] += 1
+            step += abs(p[1] - row[x - 1][1]) if x else 0
+    assert webp.feature(image) == f"3;{','.join(str(m * 100 // n) for m in means)};{step * 100 // n};{','.join(str(b * 1000 // n) for b in bins)}"
+
+
 def test_webp_digests(spark):
     got = webp.digests(documents(spark)).collect()
     assert len(got) == len(rows())

@@ -3,6 +3,8 @@
 import numpy as np
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from airlens.llm import bitpack, bpe, fingerprint, langid, neardup, packing, toxicity, urlfilter, warc, webp
 from airlens.llm.queries import BYTES, WORDS
@@ -48,4 +50,45 @@ def test_pipeline_against_brute_force(spark):
     kept = sorted(i for i, (_, least) in brute_components(left.items()).items() if i == least)
     assert sorted({r["doc_id"] for r in got}) == kept
     check_packing([r.asDict() for r in got], [(i, docs[i]) for i in kept])
-    assert langid.MIN_SCORE < 0.1
+
+
+OTHERS = {
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+}
+
+
+def test_language_stage_drops_other_languages(spark):
+    """Planted documents in languages that nobody labelled go; the table's own with letters stay, one in a thousand aside."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = spark.createDataFrame([(10**9 + k, t, None, "src", len(t)) for k, t in enumerate(OTHERS.values())], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_known_languages(spark, docs.union(planted), sf).collect()}
+    own = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert not {i for i in kept if i >= 10**9} and len(own - kept) <= len(own) / 1000 and kept <= own
+
+
+def test_stages_bear_columns_of_their_own_names(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300)
+    names = ("toxicity", "lang_pred", "lang_score", "score", "node", "kept", "component_id", "_rank0", "unit", "n_shingles")
+    docs = docs.select("*", *(F.lit("mine").alias(c) for c in names)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.where(" or ".join(f"{c} <> 'mine'" for c in names)).count() == 0, name
+        assert 0 < out.count() <= docs.count()
+
+
+def test_no_text_of_an_id_is_lost(spark):
+    """Rows of one id with different texts are one document; only copies and repeated rows go."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "uno dos tres cuatro cinco seis siete ocho")
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (5, c), (4, None), (4, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()))
+    assert got == sorted([(1, a), (1, b), (3, c), (4, ""), (0, a), (0, a)])
+    groups = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert groups == {(1, 1), (2, 1), (3, 3), (5, 3), (4, 4), (None, 1)}

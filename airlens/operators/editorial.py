@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airlens.functions.text import share
+from airlens.operators.words import numbered
 
 
 def news_list(news: DataFrame, versions: DataFrame, recordings: DataFrame, programmes: DataFrame, stations: DataFrame) -> DataFrame:
@@ -91,8 +92,9 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def requeue_order(rows: DataFrame, first: Column) -> DataFrame:
-    """position: the prioritised ones first, each part by `t`. Rows of a queue: a few thousand."""
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc(first), "t", "rec_id")) - 1)
+    """position: the prioritised ones first, each part by `t`."""
+    got = numbered(rows.withColumn("_first", first), F.desc("_first"), "t", "rec_id")
+    return got.withColumn("position", F.col("n") - 1).drop("_first", "n")
 
 
 def client_profiles(profiles: DataFrame, tenants: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def apply_commands(commands: DataFrame) -> DataFrame:
 
 def assign_queue(starts: DataFrame, queue: DataFrame) -> DataFrame:
     """Who reviews what: the n-th request (at, event_id, who) takes the n-th oldest pending item (news_id, created); requests
-    beyond the queue are refused. A day's queue: numbered in one task."""
-    asks = starts.select("event_id", "at", "who").withColumn("n", F.row_number().over(Window.orderBy("at", "event_id")))
-    items = queue.withColumn("n", F.row_number().over(Window.orderBy("created", "news_id")))
+    beyond the queue are refused."""
+    asks = numbered(starts.select("event_id", "at", "who"), "at", "event_id")
+    items = numbered(queue, "created", "news_id")
     return asks.join(items.select("n", "news_id"), "n", "left").select("event_id", "who", "news_id", F.when(F.col("news_id").isNull(), "empty queue").alias("reason"))

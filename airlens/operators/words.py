@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airlens.operators.graph import checkpointed
+
 
 def load_words(transcripts: DataFrame) -> DataFrame:
     """rec_id, words (array) -> a row a word."""
@@ -63,6 +65,17 @@ def load_text(transcripts: DataFrame, texts: DataFrame) -> DataFrame:
     return own.join(texts, "rec_id", "full").select("rec_id", F.coalesce("_own", "texto").alias("texto")).where("texto is not null")
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds `n`, from 1, in this order: rows are dealt by ranges of it and written, numbered within their range, and the
+    ranges' counts (a row a partition) are summed up."""
+    at = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = at.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    base = counts.select("_range", before.alias("_base"))
+    return at.withColumn("n", own).join(base, "_range").withColumn("n", F.col("n") + F.col("_base")).drop("_range", "_base")
+
+
 def ranked_by_id(rows: DataFrame, key: str, width: int = 100_000) -> DataFrame:
     """Adds `rank`, from 0, in the order of a numeric key, without gathering the rows in one task: counts by
     stretches of `width` keys are summed up, and rows are numbered within their stretch."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from airlens.operators.editorial import step
+from airlens.operators.graph import shared_folder
 
 
 #: Bytes of a micro-batch of a file stream.
@@ -31,7 +31,7 @@ def drained(rows: DataFrame, mode: str) -> DataFrame:
     append writes each batch to a folder of its own, over what an attempt before may have left there; complete keeps the
     last batch's whole result."""
     spark = rows.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="airlens-")) + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     written = []

@@ -15,7 +15,7 @@ from airlens.operators.graph import checkpointed
 
 RATIO, LEAST_LENGTH = 0.92, 10
 #: Characters of the n-grams that near spellings are found by.
-GRAM = 2
+GRAM = 3
 
 
 def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
@@ -29,7 +29,7 @@ def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
     """
     slack = 1 - ratio
     longest = (1 + slack) / (1 - slack)  # how much longer a partner can be
-    n, m = F.length("key"), F.length("b")
+    n = F.length("key")
     long = checkpointed(keys.where(n >= LEAST_LENGTH).select("tipo", "key", "seen"))
     starts = F.sequence(F.lit(1), n - (GRAM - 1))
     grams = F.transform(starts, lambda i: F.struct(F.substr("key", i, F.lit(GRAM)).alias("gram"), i.alias("at")))
@@ -40,11 +40,14 @@ def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("tipo", "key").orderBy("often", "gram", "nth"))
     most = F.floor(slack * (F.col("n") + F.floor(F.col("n") * longest)) + 1e-9)
     rare = checkpointed(rows.join(often, ["tipo", "gram", "nth"]).withColumn("rank", rank).where(F.col("rank") <= GRAM * most + 1).select("tipo", "gram", "nth", "key", "seen", "n", "at"))
-    other = rare.select("tipo", "gram", "nth", F.col("key").alias("b"), F.col("seen").alias("seen_b"), F.col("n").alias("m"), F.col("at").alias("at_b"))
-    near = rare.join(other, ["tipo", "gram", "nth"]).where((F.col("seen") < F.col("seen_b")) | ((F.col("seen") == F.col("seen_b")) & (F.col("key") < F.col("b"))))
+    # The shorter one asks for each length that its partner may have.
+    asked = rare.select("tipo", "gram", "nth", F.col("key").alias("x"), F.col("seen").alias("seen_x"), "n", F.col("at").alias("at_x"), F.explode(F.sequence(F.col("n"), (F.col("n") + most).cast("int"))).alias("m"))
+    near = asked.join(rare.select("tipo", "gram", "nth", F.col("key").alias("y"), F.col("seen").alias("seen_y"), F.col("n").alias("m"), F.col("at").alias("at_y")), ["tipo", "gram", "nth", "m"])
     limit = F.floor(slack * (F.col("n") + F.col("m")) + 1e-9).cast("int")
-    near = near.where((F.abs(F.col("n") - F.col("m")) <= limit) & (F.abs(F.col("at") - F.col("at_b")) <= limit))
-    pairs = near.select("tipo", F.col("key").alias("a"), "b", limit.alias("limit")).where(F.levenshtein("a", "b") <= F.col("limit")).distinct()
+    near = near.where(((F.col("n") < F.col("m")) | (F.col("x") < F.col("y"))) & (F.col("m") - F.col("n") <= limit) & (F.abs(F.col("at_x") - F.col("at_y")) <= limit))
+    near = near.where(F.levenshtein("x", "y") <= limit).select("tipo", "x", "y", "seen_x", "seen_y").distinct()
+    first = (F.col("seen_x") < F.col("seen_y")) | ((F.col("seen_x") == F.col("seen_y")) & (F.col("x") < F.col("y")))
+    pairs = near.select("tipo", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

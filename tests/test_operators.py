@@ -1,9 +1,12 @@
 """Golden cases, invariants, sequential versions of the order-dependent operators, and plans."""
 
+import json
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
+from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -16,6 +19,7 @@ from airlens.functions.text import TITLES
 from airlens.operators import blocks as bl, editorial as ed, entities as en, graph, models as ml, repeat, report as rp, segments as sg, stories as st, words as w
 from airlens.plans import demo
 from airlens.sources import ingest as ig
+from airlens.streaming import jobs
 
 
 def one(spark, column, **values):
@@ -371,3 +375,98 @@ def test_plans(spark, sf):
 def test_coverage_window_guard(spark):
     short = spark.createDataFrame([(1, "m", ["a"] * 49), (2, "m", ["a"] * 50), (3, "m", ["!"] * 60)], "rec_id long, medio string, words array<string>")
     assert [r["rec_id"] for r in repeat.fingerprints(short).collect()] == [2]
+
+
+def files(spark, path, schema, *parts):
+    """A folder of one Parquet file a part, in order of time."""
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_online_stories_equal_the_plain_loop(spark, tmp_path):
+    """Item by item within each topic, over several micro-batches, with stories that end after 48 hours."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    rows = []
+    for i in range(120):
+        v = centres[rng.integers(6)] + 0.3 * rng.normal(size=8)
+        rows.append((i, int(i % 3), int(70 * i), [float(x) for x in v], datetime(2024, 1, 1) + timedelta(minutes=70 * i)))
+    schema = "item_id long, topic long, minute long, embedding array<double>, ts timestamp"
+    stream = files(spark, str(tmp_path / "items"), schema, rows[:50], rows[50:90], rows[90:])
+    got = {r["item_id"]: r["story"] for r in jobs.drained(jobs.online_stories(stream, 0.6), "append").collect()}
+    frame = pd.DataFrame(rows, columns=["item_id", "topic", "minute", "embedding", "ts"])
+    want = pd.concat([st.greedy(g, 0.6) for _, g in frame.groupby("topic")])
+    assert got == dict(zip(want["item_id"], want["story"])) and 6 < len(set(got.values())) < 100
+
+
+def test_a_silent_reviewer_loses_the_lease(spark, tmp_path):
+    """45 minutes of event time after the holder's last command the item is pending again, and another may take it."""
+    t0 = datetime(2024, 1, 1)
+    at = lambda minutes: t0 + timedelta(minutes=minutes)
+    schema = "ts timestamp, news_id long, event_id long, action string, who string"
+    stream = files(
+        spark, str(tmp_path / "commands"), schema, [(at(0), 1, 1, "start", "u1"), (at(10), 1, 2, "draft", "u1")], [(at(300), 2, 3, "start", "u2")],
+        [(at(301), 2, 4, "draft", "u2")], [(at(302), 1, 5, "start", "u3"), (at(303), 1, 6, "approve", "u1")],
+    )
+    got = [tuple(r) for r in jobs.drained(jobs.review_machine(stream), "append").where("news_id = 1").collect()]
+    assert (1, -1, "pendiente", None, "lease expired") in got
+    assert (1, 5, "en_revision", "u3", None) in got and (1, 6, "en_revision", "u3", "held by another") in got
+
+
+def test_late_messages(spark, tmp_path):
+    """A repeat within the watermark is dropped; what comes after the watermark has passed is dropped as late."""
+    t0 = datetime(2024, 1, 1)
+    schema = "ts timestamp, rec_id long"
+    stream = files(spark, str(tmp_path / "messages"), schema, [(t0, 1), (t0, 1)], [(t0 + timedelta(days=10), 2)], [(t0 + timedelta(days=10), 3)], [(t0, 4), (t0 + timedelta(days=10), 2), (t0 + timedelta(days=10), 5)])
+    got = sorted(r["rec_id"] for r in jobs.drained(jobs.first_results(stream, "1 day"), "append").collect())
+    assert got == [1, 2, 3, 5]
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("1__0", "0:a 1:b"), ("1__1", "2:c")], "custom_id string, body string")
+    ig.write_requests(rows, str(tmp_path / "requests"))
+    got = sorted(json.loads(x)["custom_id"] for f in (tmp_path / "requests").glob("part-*") for x in f.read_text().splitlines())
+    assert got == ["1__0", "1__1"]
+    parts = spark.range(20).select("id", (F.col("id") % 2).alias("client"), F.lit("2024-01").alias("period"))
+    ig.write_partitioned(parts, str(tmp_path / "tables"), "client", "period")
+    assert len(list((tmp_path / "tables").glob("client=*/period=2024-01/*.parquet"))) == 2
+    assert spark.read.parquet(str(tmp_path / "tables")).where("client = 1").count() == 10
+
+
+def test_numbered(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(50)) for i in range(500)]
+    got = w.numbered(spark.createDataFrame(rows, "id long, t long").repartition(7), F.desc("t"), "id").collect()
+    assert {r["id"]: r["n"] for r in got} == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+
+
+def test_stretches_weigh_overlaps(spark):
+    """Shares of words by blocks cut at each other's ends, against every word."""
+    rng = random.Random(12)
+
+    def cover(model):
+        at, out = 0, []
+        while at < 300:
+            n = rng.randint(1, 40)
+            out.append((model, 1, "m", len(out), at, min(299, at + n), rng.choice(["noticia", "musica", "promo"]), 0.9))
+            at += n + 1 + (rng.random() < 0.2)
+        return out
+
+    schema = "model string, rec_id long, medio string, idx int, start_word int, end_word int, tipo string, confidence double"
+    one, two = cover("A"), cover("B")
+    a, b = ({i: r for r in rows for i in range(r[4], r[5] + 1)} for rows in (one, two))
+    got = {r["idx"]: (r["flip"], r["agree"]) for r in bl.disagreement(spark.createDataFrame(one, schema), spark.createDataFrame(two, schema)).collect()}
+    for r in one:
+        both = [(a[i][6], b[i][6]) for i in range(r[4], r[5] + 1) if i in b]
+        flip = sum((x != "noticia") != (y != "noticia") for x, y in both) / max(1, len(both))
+        agree = sum(x == y for x, y in both) / max(1, len(both))
+        assert got[r[3]] == (round(flip, 6), round(agree, 6))
+
+
+@pytest.mark.parametrize("first, last, wanted, ids", [(None, None, {}, [1, 2, 3]), ("2024-01-02", None, {}, [2, 3]), (None, "2024-01-02", {"people": "Ana"}, [1]), (None, None, {"sentiment": "x", "people": None}, [2])])
+def test_filters(spark, first, last, wanted, ids):
+    rows = [(1, datetime(2024, 1, 2, 5), ["Ana"], "y"), (2, datetime(2024, 1, 3, 5), ["Luz"], "x"), (3, datetime(2024, 1, 4, 5), ["Ana"], None)]
+    df = spark.createDataFrame(rows, "id long, momento timestamp_ntz, people array<string>, sentiment string")
+    assert sorted(r["id"] for r in ed.filtered(df, first, last, **wanted).collect()) == ids

@@ -73,6 +73,7 @@ class Code:
         self.lengths = lengths
         self.width: int | None = None
         self.listed: tuple[list, list, int] | None = None
+        self.arrays: tuple[np.ndarray, np.ndarray, int] | None = None
         if len(lengths) == 1:
             self.width = 0
             return
@@ -84,14 +85,19 @@ class Code:
 
     def table(self) -> tuple[np.ndarray, np.ndarray, int]:
         """For what the next bits can be, the symbol and its length; and how many bits are looked at."""
+        if self.arrays is None:
+            self.arrays = self._table()
+        return self.arrays
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, int]:
         if self.width == 0:
-            return np.array(self.symbols), np.zeros(1, np.int64), 0
+            return np.array(self.symbols, np.int16), np.zeros(1, np.uint8), 0
         symbol, size = np.array(self.symbols), np.array([self.lengths[s] for s in self.symbols])
         by_size = np.argsort(size, kind="stable")
         symbol, size = symbol[by_size], size[by_size]
         most = int(size[-1])
         spans, order = 1 << (most - size), _reversed(most)
-        return np.repeat(symbol, spans)[order], np.repeat(size, spans)[order], most
+        return np.repeat(symbol.astype(np.int16), spans)[order], np.repeat(size.astype(np.uint8), spans)[order], most
 
     def read(self, bits: Bits) -> int:
         if self.width == 0:
@@ -155,8 +161,25 @@ def _number(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+#: Groups of codes read lately: their bits as a number, how many, and the codes. Many images have the same.
+_groups: list[tuple[int, int, int, list[Code]]] = []
+KEPT_GROUPS = 4
+
+
 def _read_group(bits: Bits, cache_bits: int) -> list[Code]:
-    return [_read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+    byte, phase = bits.at >> 3, bits.at & 7
+    for k, (own, size, cache, codes) in enumerate(_groups):
+        if cache == cache_bits and int.from_bytes(bits.data[byte : byte + ((phase + size + 7) >> 3)], "little") >> phase & ((1 << size) - 1) == own:
+            bits.at += size
+            _groups.insert(0, _groups.pop(k))
+            return codes
+    start = bits.at
+    codes = [_read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]
+    size = bits.at - start
+    own = int.from_bytes(bits.data[byte : byte + ((phase + size + 7) >> 3)], "little") >> phase & ((1 << size) - 1)
+    _groups.insert(0, (own, size, cache_bits, codes))
+    del _groups[KEPT_GROUPS:]
+    return codes
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -194,10 +217,9 @@ def _by_position(bits: Bits, codes: list[Code], cache_bits: int, width: int, n:
     # A token takes 15 bits a channel, or two symbols and 28 more bits, at most.
     raw = np.frombuffer(bits.data, np.uint8, offset=bits.at >> 3)[: n * 8 + 16]
     start, total = bits.at & 7, 8 * len(raw)
-    raw = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.uint32)
+    raw = np.concatenate([raw, np.zeros(16, np.uint8)]).astype(np.int64)
     wide = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    ahead = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at each position the next 24 bits, and more
-    ahead = ahead.astype(np.int64)
+    ahead = (wide[:, None] >> np.arange(8)).ravel()  # at each position the next 24 bits, and more
     index = ahead[:total] & ((1 << green[2]) - 1)
     symbol = green[0].take(index)
     after = np.arange(total) + green[1].take(index)
@@ -222,12 +244,14 @@ def _by_position(bits: Bits, codes: list[Code], cache_bits: int, width: int, n:
         distances[refs] = far
     follow, many = memoryview(np.ascontiguousarray(ends)), memoryview(count)
     path, done, p = [], 0, start
-    while done < n:
-        if p >= total:
-            raise ValueError("the image breaks off")
-        path.append(p)
-        done += many[p]
-        p = follow[p]
+    add = path.append
+    try:
+        while done < n:
+            add(p)
+            done += many[p]
+            p = follow[p]
+    except IndexError:
+        raise ValueError("the image breaks off") from None
     bits.at += p - start
     at = np.array(path)
     kind, sizes = symbol[at], count[at]
@@ -250,6 +274,7 @@ def _by_position(bits: Bits, codes: list[Code], cache_bits: int, width: int, n:
 
 def _numbers_at(ahead: np.ndarray, at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths or distances from their prefix symbols and the extra bits at these positions; and where those end."""
+    prefix = prefix.astype(np.int64)
     extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
     base = np.where(prefix < 4, prefix, (2 + (prefix & 1)) << extra)
     return base + (ahead[at] & ((np.int64(1) << extra) - 1)) + 1, at + extra

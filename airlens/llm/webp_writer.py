@@ -2,11 +2,15 @@
 predictor, cross-colour or subtract-green transform where an estimate of the coded size says that it pays.
 
 A payload is stored as RGB rows of 64 pixels (192 bytes). Equal runs of three pixels or more are referred to, pixels that
-the cache still holds are named by their place there, the rest are literals; counts give the codes.
+the cache still holds are named by their place there, the rest are literals. Prose is written by codes of fixed lengths
+made from a rule (short for common letters), without transforms; for all else counts give the codes.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from typing import NamedTuple
+
 import numpy as np
 
 from airlens.llm.webp import BLACK, CACHE_FACTOR, LENGTH_ORDER, MOST_ROWS, NEAR, ROW, WIDTH, bundle, channels, numbers
@@ -41,16 +45,16 @@ class Fields:
         self.sizes.append(size)
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self._close()
+        self.close()
         self.parts.append((values, sizes))
 
-    def _close(self) -> None:
+    def close(self) -> None:
         if self.values:
             self.parts.append((np.array(self.values, np.uint32), np.array(self.sizes, np.int64)))
             self.values, self.sizes = [], []
 
     def bytes(self) -> bytes:
-        self._close()
+        self.close()
         values, sizes = (np.concatenate([p[k] for p in self.parts]) for k in (0, 1))
         first = np.cumsum(sizes) - sizes
         within = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
@@ -102,7 +106,7 @@ def code_bits(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def put_code(fields: Fields, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def put_code(fields: Fields, counts: np.ndarray, most: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """Writes a code for these counts of symbols; each symbol's bits, and how many. One symbol takes no bits."""
     at = np.flatnonzero(counts).tolist() or [0]
     if len(at) <= 2 and at[-1] < 256:
@@ -120,7 +124,7 @@ def put_code(fields: Fields, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(at) == 1:  # a single symbol from 256 on: a code needs two
         counts = counts.copy()
         counts[0] = 1
-    lengths = code_lengths(counts)
+    lengths = code_lengths(counts, most)
     tokens: list[int] = []  # symbols of the code for lengths
     extra: list[int] = []  # and what runs of zeros add
     before = -1
@@ -237,59 +241,124 @@ def entropy(counts: np.ndarray) -> float:
     return each.sum(tuple(range(-2, 0))) if counts.ndim > 1 else each.sum()
 
 
-def put_image(fields: Fields, px: np.ndarray, width: int, main: bool) -> None:
-    """An entropy-coded image of ARGB pixels."""
-    n = len(px)
-    found = matches(px)
-    starts, lengths, far = (np.array([m[k] for m in found], np.int64) for k in range(3))
-    loose = np.ones(n + 1, np.int64)
+class Tokens(NamedTuple):
+    """An image as literals, cache hits and references: for pixels outside references their places, symbols and whether they
+    are literals; for references where they start; prefix symbols, extra bits and their number; counts for each code."""
+
+    at: np.ndarray
+    symbol: np.ndarray
+    literal: np.ndarray
+    channels: tuple[np.ndarray, ...]
+    starts: np.ndarray
+    span: tuple[np.ndarray, ...]
+    place: tuple[np.ndarray, ...]
+    counts: list[np.ndarray]
+
+
+def tokens(px: np.ndarray, width: int, found: list[tuple[int, int, int]], cache_bits: int) -> Tokens:
+    starts, lengths, far = np.array(found, np.int64).reshape(-1, 3).T
+    at = np.arange(len(px))
     if found:
-        covered = np.zeros(n + 1, np.int64)
+        covered = np.zeros(len(px) + 1, np.int64)
         covered[starts] += 1
         covered[starts + lengths] -= 1
-        loose = 1 - np.cumsum(covered)
-    at = np.flatnonzero(loose[:n])
-    c = channels(px[at])
-    alpha, red, green, blue = (np.ascontiguousarray(c[:, k]) for k in range(4))
-    codes = near_codes(width)
-    span, span_extra, span_bits = prefixed(lengths) if found else (starts, starts, starts)
-    place, place_extra, place_bits = prefixed(np.array([codes.get(d, d + 120) for d in far.tolist()])) if found else (starts, starts, starts)
-
-    def counted(literal: np.ndarray, symbol: np.ndarray, size: int) -> list[np.ndarray]:
-        own = np.bincount(symbol, minlength=size) + np.bincount(256 + span, minlength=size)
-        return [own, *(np.bincount(x[literal], minlength=256) for x in (red, blue, alpha))]
-
-    every = np.ones(len(at), bool)
-    bits, symbol, literal = 0, green, every
-    counts = counted(every, green, 280)
-    if main and len(at) > 128:
-        slot, hit = cache_slots(px, CACHE_BITS)
-        other = np.where(hit[at], 280 + slot[at], green)
-        tried = counted(~hit[at], other, 280 + (1 << CACHE_BITS))
-        if sum(map(entropy, tried)) < sum(map(entropy, counts)):
-            bits, symbol, literal, counts = CACHE_BITS, other, ~hit[at], tried
-    fields.put(int(bits > 0), 1)
-    if bits:
-        fields.put(bits, 4)
+        at = np.flatnonzero(np.cumsum(covered)[:-1] == 0)
+    span = place = (starts, starts, starts)
+    if found:
+        codes = near_codes(width)
+        span, place = prefixed(lengths), prefixed(np.array([codes.get(d, d + 120) for d in far.tolist()], np.int64))
+    own = px[at]
+    red, green, blue, alpha = (own >> 16 & 0xFF, own >> 8 & 0xFF, own & 0xFF, own >> 24)
+    symbol, literal = green, np.ones(len(at), bool)
+    if cache_bits:
+        slot, hit = cache_slots(px, cache_bits)
+        literal = ~hit[at]
+        symbol = np.where(literal, green, 280 + slot[at])
+    counts = [np.bincount(symbol, minlength=280 + (1 << cache_bits if cache_bits else 0))]
+    if found:
+        counts[0][256:280] += np.bincount(span[0], minlength=24)
+    counts += [np.bincount(x[literal], minlength=256) for x in (red, blue, alpha)]
+    return Tokens(at, symbol, literal, (red, blue, alpha), starts, span, place, [*counts, np.bincount(place[0], minlength=40)])
+
+
+def put_codes(fields: Fields, counts: list[np.ndarray], cache_bits: int, main: bool, most: int = 15) -> list[tuple[np.ndarray, np.ndarray]]:
+    fields.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        fields.put(cache_bits, 4)
     if main:
         fields.put(0, 1)  # one group of codes
-    tables = [put_code(fields, x) for x in [*counts, np.bincount(place, minlength=40)]]
+    return [put_code(fields, x, most) for x in counts]
 
-    # A token is up to five numbers: symbol, red (or extra bits of a length), blue (or distance), alpha (or its extra bits).
-    total = len(at) + len(found)
-    order = np.argsort(np.concatenate([at, starts]), kind="stable")
+
+def put_tokens(fields: Fields, own: Tokens, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """A token is up to four numbers: symbol, red (or the extra bits of a length), blue (or distance), alpha (or its extra bits)."""
+    plain = len(own.at)
+    total = plain + len(own.starts)
     values, sizes = np.zeros((total, 4), np.uint32), np.zeros((total, 4), np.int64)
-    plain, refs = slice(0, len(at)), slice(len(at), total)
-    values[plain, 0], sizes[plain, 0] = tables[0][0][symbol], tables[0][1][symbol]
-    for k, channel in enumerate((red, blue, alpha), 1):
-        values[plain, k] = np.where(literal, tables[k][0][channel], 0)
-        sizes[plain, k] = np.where(literal, tables[k][1][channel], 0)
-    if found:
-        values[refs, 0], sizes[refs, 0] = tables[0][0][256 + span], tables[0][1][256 + span]
-        values[refs, 1], sizes[refs, 1] = span_extra, span_bits
-        values[refs, 2], sizes[refs, 2] = tables[4][0][place], tables[4][1][place]
-        values[refs, 3], sizes[refs, 3] = place_extra, place_bits
-    fields.put_all(values[order].ravel(), sizes[order].ravel())
+    values[:plain, 0], sizes[:plain, 0] = tables[0][0].take(own.symbol), tables[0][1].take(own.symbol)
+    for k, channel in enumerate(own.channels, 1):
+        values[:plain, k] = tables[k][0].take(channel)
+        sizes[:plain, k] = tables[k][1].take(channel) * own.literal
+    if len(own.starts):
+        values[plain:, 0], sizes[plain:, 0] = tables[0][0][256 + own.span[0]], tables[0][1][256 + own.span[0]]
+        values[plain:, 1], sizes[plain:, 1] = own.span[1], own.span[2]
+        values[plain:, 2], sizes[plain:, 2] = tables[4][0][own.place[0]], tables[4][1][own.place[0]]
+        values[plain:, 3], sizes[plain:, 3] = own.place[1], own.place[2]
+        order = np.argsort(np.concatenate([own.at, own.starts]), kind="stable")
+        values, sizes = values[order], sizes[order]
+    fields.put_all(values.ravel(), sizes.ravel())
+
+
+def put_image(fields: Fields, px: np.ndarray, width: int, main: bool) -> None:
+    """An entropy-coded image of ARGB pixels with codes of its own; with a cache where that is estimated to be shorter."""
+    found = matches(px)
+    own, bits = tokens(px, width, found, 0), 0
+    if main and len(own.at) > 128:
+        other = tokens(px, width, found, CACHE_BITS)
+        if sum(map(entropy, other.counts)) < sum(map(entropy, own.counts)):
+            own, bits = other, CACHE_BITS
+    put_tokens(fields, own, put_codes(fields, own.counts, bits, main))
+
+
+#: Bytes by how common they are in prose, for the codes of images that hold prose: each counts 0.88 times the one before.
+PROSE = " eaitnosrldcumhpgbfvqywjxzk,.\n-'\"ETAISCLDMPRNOUBGFHVWJQYXZK0123456789:;/()!?=@_"
+#: Prose is what takes at most so many bits a byte by these codes, beside its references.
+PROSE_BITS = 5.5
+
+
+class Prose(NamedTuple):
+    values: np.ndarray
+    sizes: np.ndarray
+    tables: list[tuple[np.ndarray, np.ndarray]]
+
+
+@lru_cache(maxsize=1)
+def prose() -> Prose:
+    """The codes for prose and how they are written: equal for all images, so that they are made and read once a worker."""
+    rank = {b: k for k, b in enumerate(PROSE.encode())}
+    channel = np.array([1 + int(1000 * 0.88 ** rank[b]) if b in rank else 1 for b in range(256)])
+    channel[0xC3] += 60  # letters with marks, in UTF-8
+    channel[0xA0:0xC0] += 6
+    green = np.concatenate([channel, 400 // np.arange(2, 26), np.full(1 << CACHE_BITS, 8)])
+    alpha = np.arange(256) // 255
+    fields = Fields()
+    tables = put_codes(fields, [green, channel, channel, alpha, np.arange(1, 41)], CACHE_BITS, True, 12)  # short tables
+    fields.close()
+    values, sizes = (np.concatenate([p[k] for p in fields.parts]) for k in (0, 1))
+    return Prose(values, sizes, tables)
+
+
+def put_prose(fields: Fields, px: np.ndarray) -> bool:
+    """Writes the image by the codes for prose, without transforms, if they suit it."""
+    fixed = prose()
+    own = tokens(px, WIDTH, matches(px), CACHE_BITS)
+    taken = sum(int(c @ t[1]) for c, t in zip(own.counts[:4], fixed.tables))
+    if taken > PROSE_BITS * 3 * max(1, len(own.at)):
+        return False
+    fields.put(0, 1)
+    fields.put_all(fixed.values, fixed.sizes)
+    put_tokens(fields, own, fixed.tables)
+    return True
 
 
 def predicted(rgb: np.ndarray, mode: int) -> np.ndarray:
@@ -326,17 +395,9 @@ def pixels_of(rgb: np.ndarray, alpha: int) -> np.ndarray:
     return np.uint32(alpha << 24) | wide[:, 0] << 16 | wide[:, 1] << 8 | wide[:, 2]
 
 
-def encode(payload: bytes) -> bytes:
-    """Whole rows of 192 bytes, at most MOST_ROWS, as one file."""
-    height = len(payload) // ROW
-    if len(payload) != height * ROW or not 0 < height <= MOST_ROWS:
-        raise ValueError("a payload is 1 to 16384 rows of 192 bytes")
-    rgb = np.frombuffer(payload, np.uint8).reshape(height, WIDTH, 3)
-    px = pixels_of(rgb, 255)
-    fields = Fields()
-    fields.put(WIDTH - 1, 14)
-    fields.put(height - 1, 14)
-    fields.put(0, 4)  # opaque, version
+def put_best(fields: Fields, rgb: np.ndarray, px: np.ndarray) -> None:
+    """Writes the image after the transform that an estimate favours, or none."""
+    height = len(rgb)
     width = WIDTH
     less_green = rgb - rgb[..., 1:2]
     less_green[..., 1] = rgb[..., 1]
@@ -378,6 +439,21 @@ def encode(payload: bytes) -> bytes:
         put_image(fields, numbers(steps), len(colours), False)
     fields.put(0, 1)
     put_image(fields, coded, width, True)
+
+
+def encode(payload: bytes) -> bytes:
+    """Whole rows of 192 bytes, at most MOST_ROWS, as one file."""
+    height = len(payload) // ROW
+    if len(payload) != height * ROW or not 0 < height <= MOST_ROWS:
+        raise ValueError("a payload is 1 to 16384 rows of 192 bytes")
+    rgb = np.frombuffer(payload, np.uint8).reshape(height, WIDTH, 3)
+    px = pixels_of(rgb, 255)
+    fields = Fields()
+    fields.put(WIDTH - 1, 14)
+    fields.put(height - 1, 14)
+    fields.put(0, 4)  # opaque, version
+    if not put_prose(fields, px):
+        put_best(fields, rgb, px)
     data = b"\x2f" + fields.bytes()
     padded = data + b"\0" * (len(data) & 1)
     return b"RIFF" + (12 + len(padded)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + padded

@@ -196,9 +196,12 @@ def partition_bias(blocks: DataFrame) -> DataFrame:
 
 def policy_damage(words: DataFrame, news: DataFrame, excluded: DataFrame) -> DataFrame:
     """News windows (rec_id, seg, medio, inicio, fin, categoria), shrunk by two seconds on each side: their words, and
-    how many of them the excluded ranges erase."""
-    inner = news.withColumns({"_a": F.col("inicio") + 2, "_b": F.col("fin") - 2}).alias("n")
-    own = words.alias("w").join(inner, (F.col("w.rec_id") == F.col("n.rec_id")) & (F.col("w.start") >= F.col("n._a")) & (F.col("w.end") <= F.col("n._b"))).select("n.rec_id", "n.seg", "n.medio", "n.categoria", "w.index")
+    how many of them the excluded ranges erase. Words meet the windows of their own half minute only."""
+    inner = news.select("rec_id", "seg", "medio", "categoria", (F.col("inicio") + 2).alias("_a"), (F.col("fin") - 2).alias("_b")).where("_a <= _b")
+    half = lambda c: F.floor(F.col(c) / 30)
+    inner = inner.withColumn("_half", F.explode(F.sequence(half("_a"), half("_b"))))
+    own = words.select("rec_id", "index", "start", "end", half("start").alias("_half")).join(inner, ["rec_id", "_half"])
+    own = own.where((F.col("start") >= F.col("_a")) & (F.col("end") <= F.col("_b"))).select("rec_id", "seg", "medio", "categoria", "index")
     gone = cells(excluded.select("rec_id", F.col("lo").alias("start_word"), F.col("hi").alias("end_word"))).select("rec_id", "index").distinct().withColumn("gone", F.lit(1))
     got = own.join(gone, ["rec_id", "index"], "left")
     return got.groupBy("rec_id", "seg", "medio", "categoria").agg(F.count(F.lit(1)).alias("words"), F.count("gone").alias("erased"))

@@ -6,23 +6,39 @@ recognised anew each time rarely repeats so.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlens.functions.text import unmarked
 
 
+def normalised_words() -> Column:
+    """The column `words`, each text normalised once with its words kept apart by line feeds."""
+    plain = F.regexp_replace(F.regexp_replace(unmarked(F.array_join("words", "\n")), r"(?U)[^\p{L}\p{N}_\s]", " "), r"[^\S\n]+", " ")
+    return F.split(plain, "\n")
+
+
+def window_text(start: Column, size: int) -> Column:
+    """What is left of the `size` normalised words from start on."""
+    return F.trim(F.regexp_replace(F.array_join(F.slice("words", start + 1, F.lit(size)), " "), " +", " "))
+
+
 def fingerprints(transcripts: DataFrame, size: int = 50, step: int = 25) -> DataFrame:
     """Windows of `size` words every `step`; shorter texts have none, words after the last window are in none."""
     starts = F.expr(f"if(size(words) >= {size}, sequence(0, size(words) - {size}, {step}), cast(array() as array<int>))")
-    # Each text is normalised once, its words kept apart by line feeds; a window joins what is left of its words.
-    plain = F.regexp_replace(F.regexp_replace(unmarked(F.array_join("words", "\n")), r"(?U)[^\p{L}\p{N}_\s]", " "), r"[^\S\n]+", " ")
-    text = lambda x: F.trim(F.regexp_replace(F.array_join(F.slice("words", x + 1, F.lit(size)), " "), " +", " "))
-    rows = transcripts.select("rec_id", "medio", F.split(plain, "\n").alias("words"))
-    rows = rows.select("rec_id", "medio", F.explode(F.transform(starts, lambda x: F.struct(x.alias("start_word"), text(x).alias("texto")))).alias("p"))
+    rows = transcripts.select("rec_id", "medio", normalised_words().alias("words"))
+    rows = rows.select("rec_id", "medio", F.explode(F.transform(starts, lambda x: F.struct(x.alias("start_word"), window_text(x, size).alias("texto")))).alias("p"))
     return rows.select("rec_id", "medio", "p.start_word", "p.texto").where("texto <> ''").withColumn("huella", F.sha2("texto", 256))
 
 
+def different_prints(transcripts: DataFrame, size: int = 50, step: int = 25) -> DataFrame:
+    """rec_id, huella: each recording's different prints, found within its row, so that a stream needs no state for it."""
+    starts = F.expr(f"if(size(words) >= {size}, sequence(0, size(words) - {size}, {step}), cast(array() as array<int>))")
+    rows = transcripts.select("rec_id", normalised_words().alias("words"))
+    texts = F.filter(F.transform(starts, lambda x: window_text(x, size)), lambda t: t != "")
+    return rows.select("rec_id", F.explode(F.array_distinct(F.transform(texts, lambda t: F.sha2(t, 256)))).alias("huella"))
+
+
 def repeated_index(prints: DataFrame) -> DataFrame:
     """huella, veces_visto (recordings), medios_distintos, primera and ultima (rec_id), muestra."""
     once = prints.groupBy("huella", "rec_id").agg(F.min("medio").alias("medio"), F.min(F.substring("texto", 1, 2000)).alias("texto"))

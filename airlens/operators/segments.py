@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,14 +120,25 @@ def client_suggestions(news: DataFrame) -> DataFrame:
 def pack_by_budget(texts: DataFrame, budget: int = 150_000) -> DataFrame:
     """Blocks of each file in order into chunks: a new one where the next block would pass the budget and the
     chunk is not empty; then the first half of the chunks goes to account 0, the rest to 1.
-    texts: file, pos, length."""
-    rows = texts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "length"))).alias("b"))
-    packed = F.expr(f"""aggregate(b, named_struct('size', cast(0 as bigint), 'chunk', 0, 'out', cast(array() as array<struct<pos:int,length:bigint,chunk:int>>)),
-        (s, x) -> if(s.size > 0 and s.size + x.length > {budget},
-            named_struct('size', x.length, 'chunk', s.chunk + 1, 'out', array_append(s.out, named_struct('pos', x.pos, 'length', x.length, 'chunk', s.chunk + 1))),
-            named_struct('size', s.size + x.length, 'chunk', s.chunk, 'out', array_append(s.out, named_struct('pos', x.pos, 'length', x.length, 'chunk', s.chunk)))))""")
-    got = rows.select("file", packed.alias("s")).select("file", (F.col("s.chunk") + 1).alias("n"), F.explode("s.out").alias("o"))
-    return got.select("file", "o.pos", "o.length", "o.chunk", F.when(F.col("o.chunk") < F.ceil(F.col("n") / 2), 0).otherwise(1).alias("account"))
+    texts: file, pos, length. Rows come sorted by file and stream through, so a file may have any number."""
+    rows = texts.select(F.col("file").cast("long"), F.col("pos").cast("int"), F.col("length").cast("long")).repartition("file").sortWithinPartitions("file", "pos")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, size, chunk = None, 0, 0
+        for batch in batches:
+            chunks = []
+            for name, length in zip(batch["file"], batch["length"]):
+                if name != file:
+                    file, size, chunk = name, 0, 0
+                elif size > 0 and size + length > budget:
+                    size, chunk = 0, chunk + 1
+                size += length
+                chunks.append(chunk)
+            yield batch.assign(chunk=np.array(chunks, np.int32))
+
+    got = rows.mapInPandas(fold, "file long, pos int, length long, chunk int")
+    counts = got.groupBy("file").agg((F.max("chunk") + 1).alias("n"))
+    return got.join(counts, "file").select("file", "pos", "length", "chunk", F.when(F.col("chunk") < F.ceil(F.col("n") / 2), 0).otherwise(1).alias("account"))
 
 
 def extract_items(replies: DataFrame) -> DataFrame:

@@ -29,10 +29,19 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
     return jobs.drained(jobs.new_articles(rows, 20), "append").select("fuente_id", "guid")
 
 
-@query("w3_stream_fingerprints", "transcripts", _PRINTS + " select huella, count(*) windows from prints group by 1 having count(*) > 1")
+@query("w1_stream_outcomes", "", """with m as (select user_id rec_id, case when event_id % 11 = 0 then 'bad json' when event_id % 7 = 0 then 'no id' when event_id % 5 = 0 then 'no words' end reason from events where event_type = 'view')
+    select 'procesada' outcome, count(distinct rec_id) n from m where reason is null union all select 'quarantine: ' || reason, count(*) from m where reason is not null group by 1""")
+def w1b(spark: SparkSession, d: str) -> DataFrame:
+    body = F.expr("""case when event_id % 11 = 0 then '{"recording_id": 1' when event_id % 7 = 0 then '{"words_uri": "x"}' when event_id % 5 = 0 then concat('{"recording_id": ', user_id, '}')
+        else concat('{"recording_id": ', user_id, ', "words_uri": "s/', user_id, '.json"}') end""")
+    rows = _events(spark, d).where("event_type = 'view'").select("ts", F.col("event_id").alias("message_id"), body.alias("body"))
+    return jobs.drained(jobs.result_outcomes(rows), "append").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w3_stream_fingerprints", "transcripts", _PRINTS + " select huella, count(distinct rec_id) recordings from prints group by 1 having count(distinct rec_id) > 1")
 def w3(spark: SparkSession, d: str) -> DataFrame:
     docs = jobs.stream(spark, f"{d}/documents.parquet").select(F.col("doc_id").alias("rec_id"), F.col("source").alias("medio"), tokens(F.col("text")).alias("words"))
-    return jobs.drained(jobs.running_counts(repeat.fingerprints(docs)), "complete").where("windows > 1")
+    return jobs.drained(jobs.running_counts(repeat.different_prints(docs)), "complete").where("recordings > 1")
 
 
 @query("w4_hourly_mentions", "", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) n from events group by 1, 2")

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from airlens.operators.editorial import step
 from airlens.operators.graph import shared_folder
+from airlens.sources.ingest import read_messages
 
 
 #: Bytes of a micro-batch of a file stream.
@@ -52,14 +53,23 @@ def first_results(messages: DataFrame, delay: str = "60 days") -> DataFrame:
     return messages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["rec_id"])
 
 
+def result_outcomes(messages: DataFrame, delay: str = "60 days") -> DataFrame:
+    """message_id, rec_id, outcome: a recording's first usable message under the watermark is processed, repeats of it are
+    dropped, and messages that can't be used are quarantined with the reason. messages: ts, message_id, body."""
+    read = read_messages(messages.withWatermark("ts", delay))
+    good = read.where("reason is null").dropDuplicatesWithinWatermark(["rec_id"]).select("message_id", "rec_id", F.lit("procesada").alias("outcome"))
+    bad = read.where("reason is not null").select("message_id", "rec_id", F.concat(F.lit("quarantine: "), "reason").alias("outcome"))
+    return good.union(bad)
+
+
 def new_articles(items: DataFrame, cutoff: int, delay: str = "60 days") -> DataFrame:
     """Articles once a source and guid, none before the cut-off. items: ts, fuente_id, guid, dia."""
     return items.where(F.col("dia") >= cutoff).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["fuente_id", "guid"])
 
 
 def running_counts(prints: DataFrame) -> DataFrame:
-    """huella with the windows seen so far, in update or complete mode."""
-    return prints.groupBy("huella").agg(F.count(F.lit(1)).alias("windows"))
+    """huella with the recordings seen so far, in update or complete mode. prints: different_prints."""
+    return prints.groupBy("huella").agg(F.count(F.lit(1)).alias("recordings"))
 
 
 def hourly(mentions: DataFrame, *by: str, delay: str = "2 hours") -> DataFrame:

@@ -42,8 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch paths in the order in which they were made.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables and folders that nothing reads any more."""
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

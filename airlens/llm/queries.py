@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import bitpack, bpe, fingerprint, langid, neardup, packing, repeats, toxicity, urlfilter, warc, webp
+from airlens.llm import bitpack, bpe, dialogue, fingerprint, langid, neardup, packing, repeats, toxicity, urlfilter, warc, webp
 from airlens.llm.common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,10 @@ def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_best_fit_packing, op4_fingerprints, op5_warc, op6_bpe_round_trip, op7_packed_token_ids, op8_near_duplicates, op9_url_filter, op10_webp, op11_repeated_passages)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_best_fit_packing, op4_fingerprints, op5_warc, op6_bpe_round_trip, op7_packed_token_ids, op8_near_duplicates, op9_url_filter, op10_webp, op11_repeated_passages, op12_conversation_repair)}
 #: None of the ten can be said in SQL whole (tokenizers, float training, files); tests/llm has brute-force versions.
 SQL: dict[str, str] = {}

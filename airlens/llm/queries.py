@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import bitpack, bpe, dialogue, fingerprint, langid, neardup, packing, repeats, toxicity, urlfilter, warc, webp
+from airlens.llm import bitpack, bpe, dialogue, fingerprint, langid, neardup, packing, ranked, repeats, toxicity, urlfilter, warc, webp
 from airlens.llm.common import table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,26 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_best_fit_packing, op4_fingerprints, op5_warc, op6_bpe_round_trip, op7_packed_token_ids, op8_near_duplicates, op9_url_filter, op10_webp, op11_repeated_passages, op12_conversation_repair)}
-#: None of the ten can be said in SQL whole (tokenizers, float training, files); tests/llm has brute-force versions.
-SQL: dict[str, str] = {}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_best_fit_packing, op4_fingerprints, op5_warc, op6_bpe_round_trip, op7_packed_token_ids, op8_near_duplicates, op9_url_filter, op10_webp, op11_repeated_passages, op12_conversation_repair, op13_ranked_search)}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+#: Others can't be said in SQL whole (tokenizers, float training, files) or not at a bearable cost; tests/llm has brute-force versions.
+SQL: dict[str, str] = {
+    "op13_ranked_search": f"""
+        with d as (select row_number() over () as r, doc_id, {_TERMS} as ts from documents where text is not null),
+        size as (select r, doc_id, len(ts)::bigint as n from d where len(ts) > 0),
+        whole as (select count(*)::bigint as big_n, sum(n)::bigint as big_l from size),
+        dt as (select r, t, count(*)::bigint as tf from (select r, unnest(ts) as t from d) group by r, t),
+        b as (select row_number() over () as i, item_id, {_TERMS} as ts from (select distinct item_id, text from benchmark where text is not null)),
+        bt as (select i, item_id, t, count(*)::bigint as times from (select i, item_id, unnest(ts) as t from b) group by i, item_id, t),
+        w as (select t, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)::double))::bigint as w
+              from (select t, count(*)::bigint as df from dt where t in (select t from bt) group by t), whole),
+        s as (select i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::bigint as score
+              from bt join w using (t) join dt using (t) join size using (r), whole group by i, item_id, r, doc_id),
+        k as (select item_id, (row_number() over (partition by i order by score desc, doc_id))::int as rank, doc_id, score from s where score > 0)
+        select item_id, rank, doc_id, score from k where rank <= 20""",
+}

@@ -123,8 +123,8 @@ def facets(rows: DataFrame, *dimensions: str) -> DataFrame:
 
 
 def publish_approved(suggestions: DataFrame, approved: DataFrame) -> DataFrame:
-    """Confirmed suggestions of approved news are published on its day; discarded ones and other news stay as they are."""
-    got = suggestions.join(approved.select("news_id", "day"), "news_id", "left")
+    """Confirmed suggestions of approved news are published on its (first) day; discarded ones and other news stay as they are."""
+    got = suggestions.join(approved.groupBy("news_id").agg(F.min("day").alias("day")), "news_id", "left")
     go = F.col("day").isNotNull() & (F.col("estado") == "confirmada")
     return got.select("client", "news_id", F.when(go, "publicada").otherwise(F.col("estado")).alias("estado"), F.when(go, F.col("day")).alias("published"))
 

@@ -119,13 +119,13 @@ def actors(tagged: DataFrame, aliases: DataFrame, client: str, top: int = 10) ->
     return keyed.groupBy("actor").agg(F.count(F.lit(1)).alias("notes")).orderBy(F.desc("notes"), "actor").limit(top)
 
 
-def _bare(text: Column) -> Column:
+def bare(text: Column) -> Column:
     return F.substring(normalize_text(F.regexp_replace(text, r"^[\p{P}\s]+|[\p{P}\s]+$", "")), 1, 60)
 
 
 def verify_quotes(quotes: DataFrame) -> DataFrame:
     """Quotes whose first 60 normalised characters stand in the normalised transcript. quotes: quote, texto."""
-    return quotes.where((_bare(F.col("quote")) != "") & F.contains(normalize_text(F.col("texto")), _bare(F.col("quote"))))
+    return quotes.where((bare(F.col("quote")) != "") & F.contains(normalize_text(F.col("texto")), bare(F.col("quote"))))
 
 
 def dedup_quotes(quotes: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
@@ -146,6 +146,13 @@ def topic_section(tagged: DataFrame, first: int = 12) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(own.orderBy("momento", "rec_id", "seg"))).where(F.col("rank") <= first).select("topic", "rank", "rec_id", "seg", "notes", "neg")
 
 
+def topic_counts(tagged: DataFrame) -> DataFrame:
+    """topic, notes, pos, neu, neg, first_quote over notes that touch a topic but don't name the client; the earliest quote."""
+    rows = tagged.where(~F.col("mention") & (F.size("topics") > 0)).withColumn("topic", F.explode("topics"))
+    first = F.min_by("quote", F.when(F.col("quote").isNotNull(), F.struct("momento", "rec_id", "seg"))).alias("first_quote")
+    return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("notes"), _tone("positivo").alias("pos"), _tone("neutral").alias("neu"), _tone("negativo").alias("neg"), first)
+
+
 def observations(summary: DataFrame, stations: DataFrame, profile: DataFrame) -> DataFrame:
     """rule, detail: what the tables of shares, stations and times call for."""
     each = stations.select(F.when(F.col("reading") == "critical", "critical station").when((F.col("notes") >= 10) & (F.col("neu") >= 0.6 * F.col("notes")), "factual station").alias("rule"), F.col("medio").alias("detail")).where("rule is not null")

@@ -67,7 +67,7 @@ def q5(spark: SparkSession, d: str) -> DataFrame:
     return ed.search_expanded(demo.segments(spark, d), "zzzzqq", ["Apache", "ZZZZQQ", "gnu"], ["summary"], 20, _by(), ["rec_id", "seg"]).select("rec_id", "seg", "part")
 
 
-@query("q6_pending_fifo", "recordings", "select rec_id from recordings where estado = 'pendiente' order by rec_id limit 100")
+@query("q6_pending_fifo", "recordings", "select rec_id from recordings where estado = 'pendiente' order by fecha_inicio, rec_id limit 100")
 def q6(spark: SparkSession, d: str) -> DataFrame:
     return demo.recordings(spark, d).where("estado = 'pendiente'").orderBy("fecha_inicio", "rec_id").limit(100).select("rec_id")
 
@@ -115,7 +115,7 @@ def q9(spark: SparkSession, d: str) -> DataFrame:
     return a.join(hosts, "host").orderBy(F.desc("day"), "page_id").limit(500).select("page_id", "host", "title", "has_body")
 
 
-@query("q10_pending_segmentation", "recordings", "select rec_id from recordings where estado = 'procesada' and rec_id % 3 <> 0 order by rec_id desc limit 100 offset 20")
+@query("q10_pending_segmentation", "recordings", "select rec_id from recordings where estado = 'procesada' and rec_id % 3 <> 0 order by fecha_inicio desc, rec_id limit 100 offset 20")
 def q10(spark: SparkSession, d: str) -> DataFrame:
     r = demo.recordings(spark, d)
     return ed.pending(r.where("estado = 'procesada'"), r.where("rec_id % 3 = 0"), "rec_id", [F.desc("fecha_inicio"), "rec_id"], 100, 20).select("rec_id")

@@ -32,7 +32,8 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return ig.parse_recording_keys(_keys(spark, d)).select("s3_key", "station", F.date_format("fecha_inicio", "yyyy-MM-dd HH:mm:ss").alias("fecha_inicio"), "status")
 
 
-@query("s2_discover_recordings", "recordings", _KEYS + """ select case when rec_id % 4 = 3 then 'ignored' when rec_id % 5 = 0 then 'existing' when medio <> 'src3' then 'created' else 'no station' end outcome, count(*) n from keys group by 1""")
+@query("s2_discover_recordings", "recordings", _KEYS + """, each as (select s3_key, min(rec_id % 4) kind, bool_or(rec_id % 5 = 0) seen, min(medio) medio from keys group by s3_key)
+    select case when kind = 3 then 'ignored' when seen then 'existing' when medio <> 'src3' then 'created' else 'no station' end outcome, count(*) n from each group by 1""")
 def s2(spark: SparkSession, d: str) -> DataFrame:
     keys = _keys(spark, d)
     stations = keys.where("medio <> 'src3'").select(F.col("medio").alias("station")).distinct()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from airlens.functions.text import normalize_text
+from airlens.operators import clients as cl
 from airlens.operators import report as rp
+from airlens.operators.graph import checkpointed
 from airlens.plans import demo
 from airlens.plans.register import registrar
 
@@ -120,8 +124,11 @@ def _aliases(spark: SparkSession) -> DataFrame:
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
     """Each note quotes its title, in one of four with a word that wasn't said."""
-    quote = F.concat(F.lit("«"), F.when((F.col("rec_id") + F.col("seg")) % 4 == 0, F.concat(F.lit("zzz "), F.col("title"))).otherwise(F.col("title")), F.lit("»"))
-    return tagged(spark, d).where("mention").withColumns({"quote": quote, "texto": F.col("summary")})
+    return tagged(spark, d).where("mention").withColumns({"quote": _quote(), "texto": F.col("summary")})
+
+
+def _quote() -> Column:
+    return F.concat(F.lit("«"), F.when((F.col("rec_id") + F.col("seg")) % 4 == 0, F.concat(F.lit("zzz "), F.col("title"))).otherwise(F.col("title")), F.lit("»"))
 
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -169,7 +176,75 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
         union all select 'quotes', sentiment, notes, null, null, null, null from tones union all select 'topics', topic, notes, null, null, neg, null from topics union all select 'observations', rule, null, null, null, null, detail from obs)
     select 'client-1' client, '2024-01' as period, * from whole""")
 def r12(spark: SparkSession, d: str) -> DataFrame:
-    return rp.report_tables(_named(tagged(spark, d)), "client-1", "2024-01", NOISE, _aliases(spark), "In", _quotes(spark, d))
+    """The tagged notes are written once, and all sections are made from them."""
+    return rp.report_tables(_named(checkpointed(tagged(spark, d))), "client-1", "2024-01", NOISE, _aliases(spark), "In", _quotes(spark, d))
+
+
+def _watched(spark: SparkSession, d: str) -> DataFrame:
+    """A client for each item of benchmark: it is named by the item's longest word and watches the second longest."""
+    words = demo.table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(normalize_text(F.col("text")), " "))).alias("term")).where("term <> ''")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.length("term").desc(), "term"))
+    return words.withColumn("r", place).where("r <= 2").select(F.concat(F.lit("client-"), "item_id").alias("client"), "term", F.when(F.col("r") == 2, F.col("term")).alias("topic"))
+
+
+def _client_notes(spark: SparkSession, d: str) -> DataFrame:
+    rows = _named(demo.segments(spark, d)).withColumn("sentiment", rp.canonical(F.col("sentiment")))
+    return rows.select("rec_id", "seg", "medio", "momento", "sentiment", "title", "summary", "people", "keywords", _quote().alias("quote"), F.col("summary").alias("texto"))
+
+
+_CLIENTS = f""", watched as (select 'client-' || item_id client, w term, case when r = 2 then w end topic from
+        (select item_id, w, row_number() over (partition by item_id order by length(w) desc, w) r from (select item_id, unnest(list_distinct(string_split({_NORM.format('text')}, ' '))) w from benchmark) where w <> '') where r <= 2),
+    own as (select client, list(term) own from watched where topic is null group by client),
+    people2 as (select * exclude (people), list_transform(people, lambda x, i: case when i % 2 = 0 then x || ' de ' || keywords[1] else x end) people from segments),
+    notes as (select * exclude (sentiment), case sentiment when 'neutro' then 'neutral' else sentiment end sentiment, strftime(momento - interval 6 hours, '%Y-%m') as period,
+        '«' || case when (rec_id + seg) % 4 = 0 then 'zzz ' || title else title end || '»' quote, ' ' || {_NORM.format("title || ' ' || summary || ' ' || array_to_string(people, ' ') || ' ' || array_to_string(keywords, ' ')")} || ' ' blob from people2),
+    hit as (select rec_id, seg, client, bool_or(topic is null) mention, list_filter(list(distinct topic), lambda x: x is not null) topics from notes join watched on contains(blob, ' ' || term || ' ') group by 1, 2, 3),
+    tagged as (select n.*, client, mention, topics, own from notes n join hit using (rec_id, seg) left join own using (client)),
+    named as (select *, array_to_string((list_filter(string_split({_NORM.format("array_to_string(keywords, ' ')")}, ' '), lambda w: w <> '' and w not in ('the', 'de', 'la', 'en') and not list_contains(own, w)))[1:2], ' ') axis,
+        substr({_NORM.format('quote')}, 1, 60) bare, substr({_NORM.format('quote')}, 1, 70) k, {_NORM.format('summary')} said from tagged where mention),
+    acts as (select *, lower(strip_accents(actor0)) alias, list_filter(string_split_regex(replace(lower(strip_accents(actor0)), '.', ' '), '\\s+'), lambda w: w <> '' and w not in ('de', 'del', 'la')) w from (select *, unnest(people) actor0 from named)),
+    spread as (select client, period, 'summary' section, '' as key, sentiment, momento, rec_id, seg, quote from named
+        union all select client, period, 'stations', medio, sentiment, momento, rec_id, seg, quote from named
+        union all select client, period, 'day', strftime(momento - interval 6 hours, '%Y-%m-%d'), sentiment, momento, rec_id, seg, quote from named
+        union all select client, period, 'hour', strftime(momento - interval 6 hours, '%H'), sentiment, momento, rec_id, seg, quote from named
+        union all select client, period, 'axes', axis, sentiment, momento, rec_id, seg, quote from named where axis <> ''
+        union all select client, period, 'quote', k, sentiment, momento, rec_id, seg, quote from named where bare <> '' and contains(said, bare)
+        union all select client, period, 'actors', case when alias in ('the', 'of') then 'Alguien Importante' when len(w) >= 2 then array_to_string(list_transform(w[1:2], lambda x: upper(x[1]) || x[2:]), ' ') else actor0 end, sentiment, momento, rec_id, seg, quote
+            from acts where alias in ('the', 'of') or len(w) = 0 or len(list_filter(w, lambda x: x not in ('joh', 'expresidente') and not list_contains(own, x))) > 0
+        union all select client, period, 'topics', unnest(topics), sentiment, momento, rec_id, seg, quote from tagged where not mention),
+    cells as (select client, period, section, key, count(*) notes, count(*) filter (sentiment = 'positivo') pos, count(*) filter (sentiment = 'neutral') neu, count(*) filter (sentiment = 'negativo') neg,
+        first(sentiment order by momento, rec_id, seg) tone, first(quote order by momento, rec_id, seg) quote,
+        first(momento order by momento, rec_id, seg) fm, first(rec_id order by momento, rec_id, seg) fr, first(seg order by momento, rec_id, seg) fs from spread group by 1, 2, 3, 4),
+    whole as (select period, medio, count(*) universe from notes group by 1, 2), reports as (select distinct client, period from cells),
+    total as (select client, period, sum(universe)::bigint universe from reports join whole using (period) group by 1, 2),
+    summary as (select client, period, 'summary' section, '' as key, coalesce(notes, 0) notes, coalesce(pos, 0) pos, coalesce(neu, 0) neu, coalesce(neg, 0) neg, universe from total left join (select * from cells where section = 'summary') c using (client, period)),
+    stations as (select r.client, r.period, 'stations' section, w.medio as key, coalesce(notes, 0) notes, coalesce(pos, 0) pos, coalesce(neu, 0) neu, coalesce(neg, 0) neg, universe
+        from reports r join whole w on w.period = r.period left join cells c on c.section = 'stations' and c.client = r.client and c.period = r.period and c.key = w.medio),
+    read as (select *, case when notes = 0 then 'silent' when notes < 5 then 'low volume' when neg >= pos + 3 then 'critical' when pos >= neg + 3 then 'favourable' when neu >= 0.6 * notes then 'factual' else 'mixed' end as text from stations),
+    days as (select client, period, arg_min(notes, key) a, arg_max(notes, key) b, count(*) n from cells where section = 'day' group by 1, 2),
+    tones as (select client, period, tone, count(*) many, first(quote order by fm, fr, fs) quote from cells where section = 'quote' group by 1, 2, 3),
+    rows as (select client, period, section, key, notes, pos, neu, neg, universe, round(100 * notes / universe::double, 6) as percent, case when pos > neg then 'favorable' when neg > pos then 'adverso' else 'equilibrado' end as text from summary
+        union all select client, period, section, key, notes, pos, neu, neg, universe, round(100 * notes / universe::double, 6), text from read
+        union all select client, period, section, key, notes, pos, neu, neg, null, null, case when section = 'topics' then quote end from cells where section in ('day', 'hour', 'axes', 'actors', 'topics')
+        union all select client, period, 'quotes', tone, least(many, case tone when 'positivo' then 6 when 'negativo' then 8 else 5 end), null, null, null, null, null, quote from tones
+        union all select client, period, 'observations', case when text = 'critical' then 'critical station' else 'factual station' end, null, null, null, null, null, null, key from read where text = 'critical' or (notes >= 10 and neu >= 0.6 * notes)
+        union all select client, period, 'observations', 'silent stations', null, null, null, null, null, null, count(*)::varchar from read where text = 'silent' group by 1, 2
+        union all select client, period, 'observations', 'more criticism than praise', null, null, null, null, null, null, round(neg / pos::double, 1)::varchar from summary where pos > 0 and neg > pos
+        union all select client, period, 'observations', 'falling volume', null, null, null, null, null, null, round(100 * (a - b) / a::double, 1)::varchar from days where n > 1 and a > b),
+    placed as (select *, (row_number() over (partition by client, period, section order by case when section in ('day', 'hour') then null else notes end desc nulls last, key, text nulls first))::int as rank from rows)
+    select client, period, section, rank, key, notes, pos, neu, neg, universe, percent, text from placed where rank <= case section when 'axes' then 6 when 'actors' then 10 else 1000000000 end"""
+
+
+@query("r12_client_reports", "segments", _CLIENTS)
+def r12b(spark: SparkSession, d: str) -> DataFrame:
+    """Every client's report by month, from one scan of the notes."""
+    return cl.client_reports(_client_notes(spark, d), _watched(spark, d), NOISE, {"the": "Alguien Importante", "of": "Alguien Importante"})
+
+
+@query("r10_topic_counts", "segments", _QUOTES + """, t as (select *, 'agua' topic from alltags where not mention and agua union all select *, 'energia' from alltags where not mention and energia)
+    select topic, count(*) notes, count(*) filter (sentiment = 'positivo') pos, count(*) filter (sentiment = 'neutral') neu, count(*) filter (sentiment = 'negativo') neg, first(quote order by momento, rec_id, seg) first_quote from t group by topic""".replace("alltags", "(select *, '«' || case when (rec_id + seg) % 4 = 0 then 'zzz ' || title else title end || '»' quote from tagged)"))
+def r10b(spark: SparkSession, d: str) -> DataFrame:
+    return rp.topic_counts(tagged(spark, d).withColumn("quote", _quote()))
 
 
 @query("r13_mentions_export", "segments", """, rows as (select *, case when medio = 'src1' then null else 'Radio ' || medio end as name, (length(medio) * 137 % 100) / 1000.0::double audience from segments where medio <> 'src1' and momento >= timestamp '2024-01-20' - interval 48 hours and momento <= timestamp '2024-01-20')

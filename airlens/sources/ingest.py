@@ -40,7 +40,7 @@ def discover_recordings(keys: DataFrame, stations: DataFrame, existing: DataFram
     """Every key with its outcome: created, existing, ignored (not recognised) or no station. stations: station."""
     parsed = parse_recording_keys(keys.select("s3_key").distinct())
     known = parsed.join(F.broadcast(stations.select("station", F.lit(True).alias("_known"))), "station", "left")  # some dozens of rows
-    seen = existing.select("s3_key", F.lit(True).alias("_seen"))
+    seen = existing.select("s3_key", F.lit(True).alias("_seen")).distinct()
     outcome = F.when(F.col("status") != "ok", "ignored").when(F.col("_seen"), "existing").when(F.col("_known"), "created").otherwise("no station")
     return known.join(seen, "s3_key", "left").withColumn("outcome", outcome).drop("_known", "_seen")
 
@@ -67,7 +67,7 @@ def ingest_results(messages: DataFrame, known: DataFrame, transcribed: DataFrame
     """Each message with its outcome; a recording delivered more than once is new once only (the first by `at`)."""
     read = read_messages(messages)
     first = F.row_number().over(Window.partitionBy("rec_id", F.col("reason").isNull()).orderBy("at", "message_id")) == 1
-    got = read.withColumn("first", first).join(known.select("rec_id", F.lit(True).alias("_known")), "rec_id", "left").join(transcribed.select("rec_id", F.lit(True).alias("_done")), "rec_id", "left")
+    got = read.withColumn("first", first).join(known.select("rec_id", F.lit(True).alias("_known")).distinct(), "rec_id", "left").join(transcribed.select("rec_id", F.lit(True).alias("_done")).distinct(), "rec_id", "left")
     outcome = F.when(F.col("reason").isNotNull(), F.concat(F.lit("quarantine: "), F.col("reason"))).when(F.col("_known").isNull(), "quarantine: unknown recording").when(F.col("_done") | ~F.col("first"), "already transcribed").otherwise("procesada")
     return got.select("message_id", "rec_id", outcome.alias("outcome"))
 
@@ -104,7 +104,7 @@ def reconcile_backfill(recordings: DataFrame, objects: DataFrame, transcribed: D
     path = F.regexp_extract("path", r"^transcripts/(.*)\.(words\.json|txt)$", 1)
     kind = F.regexp_extract("path", r"^transcripts/(.*)\.(words\.json|txt)$", 2)
     found = objects.select(path.alias("job_key"), kind.alias("kind")).where("kind <> ''").groupBy("job_key").agg(F.max("kind").alias("kind"))
-    got = recordings.where("estado = 'procesando'").join(found, "job_key", "left").join(transcribed.select("rec_id", F.lit(True).alias("_done")), "rec_id", "left")
+    got = recordings.where("estado = 'procesando'").join(found, "job_key", "left").join(transcribed.select("rec_id", F.lit(True).alias("_done")).distinct(), "rec_id", "left")
     return got.select("rec_id", F.when(F.col("_done"), "existing").when(F.col("kind").isNotNull(), "backfilled").otherwise("missing").alias("outcome"), F.when(F.col("_done").isNull(), F.col("kind")).alias("kind"))
 
 
@@ -163,7 +163,7 @@ def upsert_articles(items: DataFrame, sources: DataFrame, existing: DataFrame) -
     """items (fuente_id, guid, dia) with outcome: before cut-off, repeated or new; repeats inside a feed collapse to the
     earliest. sources: fuente_id, corte."""
     one = F.row_number().over(Window.partitionBy("fuente_id", "guid").orderBy("dia"))
-    rows = items.withColumn("_r", one).where("_r = 1").drop("_r").join(F.broadcast(sources), "fuente_id", "left").join(existing.select("fuente_id", "guid", F.lit(True).alias("_seen")), ["fuente_id", "guid"], "left")
+    rows = items.withColumn("_r", one).where("_r = 1").drop("_r").join(F.broadcast(sources), "fuente_id", "left").join(existing.select("fuente_id", "guid", F.lit(True).alias("_seen")).distinct(), ["fuente_id", "guid"], "left")
     outcome = F.when(F.col("dia") < F.coalesce("corte", F.lit(-1)), "before cut-off").when(F.col("_seen"), "repeated").otherwise("new")
     return rows.withColumn("outcome", outcome).drop("_seen", "corte")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airlens.functions.text import normalize_text, share, unmarked
+from airlens.operators.arrays import segment_texts
 
 #: Particles that are no part of an actor's key, and words that may stand for any client.
 PARTICLES = ("de", "del", "la")
@@ -26,11 +27,9 @@ def universe(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy("medio").agg(F.count(F.lit(1)).alias("universe"))
 
 
-def literal_text(notes: DataFrame, words: DataFrame) -> DataFrame:
-    """T7 for recordings with hits only: the words are reduced first."""
-    from airlens.operators.words import segment_text_times
-
-    return segment_text_times(notes, words.join(notes.select("rec_id").distinct(), "rec_id", "left_semi"))
+def literal_text(notes: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """T7 for recordings with hits only: the transcripts (arrays) are reduced first."""
+    return segment_texts(notes, transcripts.join(notes.select("rec_id").distinct(), "rec_id", "left_semi"))
 
 
 def _tone(kind: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlens.operators import blocks as bl, evaluate as ev, words as w
+from airlens.operators import arrays as ar, blocks as bl, evaluate as ev, words as w
 from airlens.plans import demo
 from airlens.plans.register import registrar
 
@@ -294,7 +294,7 @@ def v16(spark: SparkSession, d: str) -> DataFrame:
 
 def _damage(spark: SparkSession, d: str) -> DataFrame:
     news = demo.segments(spark, d).where("n_words >= 20").select("rec_id", "seg", "medio", F.col("sentiment").alias("categoria"), (F.col("start_word") * 3 / F.lit(10.0)).alias("inicio"), ((F.col("end_word") * 30 + 28) / F.lit(100.0)).alias("fin"))
-    return ev.policy_damage(demo.words(spark, d), news, bl.exclude_consensus(demo.blocks(spark, d), bl.POLICIES["un-solo-modelo"]))
+    return ar.policy_damage(demo.timed(spark, d), news, bl.exclude_consensus(demo.blocks(spark, d), bl.POLICIES["un-solo-modelo"]))
 
 
 @query("v18_policy_regression", "blocks segments words", _consensus("'publicidad', 'religioso', 'musica'", 1) + """, inside as (select s.rec_id, seg, sentiment categoria, w.index from segments s join words w on w.rec_id = s.rec_id and w.start >= start_word * 3 / 10.0 + 2 and w."end" <= (end_word * 30 + 28) / 100.0 - 2 where n_words >= 20),

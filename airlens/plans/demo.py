@@ -42,6 +42,12 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), F.col("source").alias("medio"), tokens(F.col("text")).alias("words"), "text")
 
 
+def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts with the times of their words as arrays."""
+    start, end = F.transform("words", lambda w, i: i * 3 / F.lit(10.0)), F.transform("words", lambda w, i: (i * 30 + 28) / F.lit(100.0))
+    return transcripts(spark, sf_dir).withColumns({"starts": start, "ends": end})
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transcripts(spark, sf_dir).select("rec_id", "medio", F.posexplode("words").alias("index", "word"))
     return out.select("rec_id", "medio", "index", "word", (F.col("index") * 3 / F.lit(10.0)).alias("start"), ((F.col("index") * 30 + 28) / F.lit(100.0)).alias("end"))

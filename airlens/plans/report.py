@@ -44,7 +44,7 @@ def r1b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r2_literal_text", "segments transcripts", _TAGGED + " select rec_id, seg, sha256(array_to_string(words[start_word + 1:end_word + 1], ' ')) text_hash from tagged join transcripts using (rec_id) where mention")
 def r2(spark: SparkSession, d: str) -> DataFrame:
-    return rp.literal_text(tagged(spark, d).where("mention"), demo.words(spark, d)).select("rec_id", "seg", F.sha2("texto", 256).alias("text_hash"))
+    return rp.literal_text(tagged(spark, d).where("mention"), demo.timed(spark, d)).select("rec_id", "seg", F.sha2("texto", 256).alias("text_hash"))
 
 
 @query("r3_share_summary", "segments", _TAGGED + f", s as (select count(*) universe, count(*) filter (mention) notes, {_TONES} from tagged) select *, round(100 * notes / universe::double, 6) as percent, round_even(universe / notes::double, 0)::bigint one_in, case when pos > neg then 'favorable' when neg > pos then 'adverso' else 'equilibrado' end balance from s")

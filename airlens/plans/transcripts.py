@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.functions.text import control_sample
+from airlens.operators import arrays as ar
 from airlens.operators import models as ml
 from airlens.operators import repeat, segments as sg, words as w
 from airlens.operators.graph import checkpointed
@@ -28,7 +29,7 @@ _CHUNKS = """, chunks as (select rec_id, chunk, min(index) lo, max(index) hi, co
 
 @query("t1_chunk_words", "words", _CHUNKS + " select rec_id, chunk, lo, hi, n_words from chunks")
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    return w.chunk_words(demo.words(spark, d))
+    return ar.chunks(demo.transcripts(spark, d))
 
 
 _REQUESTS = _CHUNKS + """, requests as (select rec_id || '__' || chunk custom_id, rec_id, chunk, lo, hi, body, coalesce(lag(tail) over (partition by rec_id order by chunk), '(ninguno)') context from chunks)"""
@@ -36,7 +37,7 @@ _REQUESTS = _CHUNKS + """, requests as (select rec_id || '__' || chunk custom_id
 
 @query("t2_build_requests", "words", _REQUESTS + " select custom_id, lo, hi, sha256(body) body_hash, context from requests")
 def t2(spark: SparkSession, d: str) -> DataFrame:
-    return w.build_requests(demo.words(spark, d)).select("custom_id", "lo", "hi", F.sha2("body", 256).alias("body_hash"), "context")
+    return ar.requests(demo.transcripts(spark, d)).select("custom_id", "lo", "hi", F.sha2("body", 256).alias("body_hash"), "context")
 
 
 @query("t2_requests_with_profiles", "words", _REQUESTS + """, lines as (select string_agg('- client_id: "' || n_nationkey || '"  (' || n_name || ')' || case when n_nationkey % 2 = 0 then chr(10) || '    personas de interes: ' || n_name || ', Otra' else '' end || chr(10) || '    temas: ' || lower(n_name), chr(10) order by n_nationkey::varchar) p from nation)
@@ -46,7 +47,7 @@ def t2b(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
     persons = F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name", F.lit("Otra"))).otherwise(none)
     profiles = nation.select(F.col("n_nationkey").cast("string").alias("client_id"), F.col("n_name").alias("name"), persons.alias("persons"), none.alias("bodies"), F.array(F.lower("n_name")).alias("topics"))
-    got = w.with_profiles(w.build_requests(demo.words(spark, d)), profiles, "Por cliente.")
+    got = w.with_profiles(ar.requests(demo.transcripts(spark, d)), profiles, "Por cliente.")
     return got.select("custom_id", F.sha2("body", 256).alias("body_hash"))
 
 
@@ -59,7 +60,7 @@ def s4b(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t4_split_accounts", "words", _CHUNKS + " select rec_id, chunk, ((dense_rank() over (order by rec_id) - 1) % 3)::int account from chunks")
 def t4(spark: SparkSession, d: str) -> DataFrame:
-    return w.split_accounts(w.chunk_words(demo.words(spark, d)), 3).select("rec_id", "chunk", "account")
+    return w.split_accounts(ar.chunks(demo.transcripts(spark, d)), 3).select("rec_id", "chunk", "account")
 
 
 def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +113,7 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
 @query("t7_segment_text_times", "segments transcripts", """select rec_id, seg, sha256(array_to_string(words[start_word + 1:end_word + 1], ' ')) text_hash, round(start_word * 3 / 10.0, 6)::double inicio, round((end_word * 30 + 28) / 100.0, 6)::double fin
     from segments join transcripts using (rec_id)""")
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    got = w.segment_text_times(demo.segments(spark, d), demo.words(spark, d))
+    got = ar.segment_texts(demo.segments(spark, d), demo.timed(spark, d))
     return got.select("rec_id", "seg", F.sha2("texto", 256).alias("text_hash"), F.round("inicio", 6).alias("inicio"), F.round("fin", 6).alias("fin"))
 
 
@@ -152,7 +153,7 @@ def t9(spark: SparkSession, d: str) -> DataFrame:
 def t10(spark: SparkSession, d: str) -> DataFrame:
     segs = demo.segments(spark, d)
     done = demo.recordings(spark, d).where("rec_id % 6 = 1")
-    got = sg.materialise_news(segs, w.segment_text_times(segs, demo.words(spark, d)), done)
+    got = sg.materialise_news(segs, ar.segment_texts(segs, demo.timed(spark, d)), done)
     return got.select("news_id", "rec_id", "titulo", F.sha2("transcripcion", 256).alias("text_hash"), "estado")
 
 
@@ -180,8 +181,7 @@ def t13(spark: SparkSession, d: str) -> DataFrame:
 @query("t14_filter_words", "words blocks", "select rec_id, count(*) n_words, min(index) first_word, max(index) last_word, sum(index)::bigint index_sum from words w where not exists (select 1 from blocks b where b.model = 'A' and b.tipo in ('publicidad', 'musica') and b.rec_id = w.rec_id and w.index between b.start_word and b.end_word) group by rec_id")
 def t14(spark: SparkSession, d: str) -> DataFrame:
     ranges = demo.blocks(spark, d).where("model = 'A' and tipo in ('publicidad', 'musica')").select("rec_id", F.col("start_word").alias("lo"), F.col("end_word").alias("hi"))
-    left = w.filter_words(demo.words(spark, d), ranges)
-    return left.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_words"), F.min("index").alias("first_word"), F.max("index").alias("last_word"), F.sum("index").alias("index_sum"))
+    return ar.word_counts(ar.filter_transcripts(demo.transcripts(spark, d), ranges))
 
 
 PRINTS = """, windows as (select rec_id, medio, unnest(range(0, len(words) - 49, 25))::int start_word, words from transcripts where len(words) >= 50),

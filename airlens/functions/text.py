@@ -83,7 +83,7 @@ def control_sample(ref: Column, idx: Column, percent: int = 20) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \t\n\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, "[ \t\n\r]+"), "")
 
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:

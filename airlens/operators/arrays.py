@@ -32,7 +32,7 @@ def with_kept(transcripts: DataFrame) -> DataFrame:
 
 def from_words(words: DataFrame) -> DataFrame:
     """Rows of words (rec_id, index, word, start, end), each index once, to transcripts; indexes without a word aren't kept."""
-    one = words.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("index", "word", "start", "end"))).alias("w"))
+    one = words.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("index", "word", "start", "end"))).alias("w"))
     # Each word fills the places from the word before on, so that a place is an index again.
     at = F.transform("w", lambda x, i: F.when(i == 0, -1).otherwise(F.col("w")[i - 1]["index"]))
     one = one.withColumn("gap", F.zip_with("w", at, lambda x, b: x["index"] - b - 1))
@@ -51,7 +51,7 @@ def merged_ranges(ranges: DataFrame) -> DataFrame:
     rows = rows.withColumn("_new", (F.coalesce(F.col("lo") > reach + 1, F.lit(True))).cast("int"))
     rows = rows.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.groupBy("rec_id", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return runs.groupBy("rec_id").agg(F.array_sort(F.collect_list(range_of(F.col("lo"), F.col("hi")))).alias("gone"))
+    return runs.groupBy("rec_id").agg(F.sort_array(F.collect_list(range_of(F.col("lo"), F.col("hi")))).alias("gone"))
 
 
 def overlaps(ranges: Column, lo: Column, hi: Column) -> Column:

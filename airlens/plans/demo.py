@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from airlens.functions.text import tokens
 
@@ -54,10 +53,11 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lines = docs.select(F.col("doc_id").alias("rec_id"), F.col("source").alias("medio"), F.posexplode(F.split("text", "\n")).alias("seg", "line")).withColumn("w", tokens(F.col("line")))
-    before = Window.partitionBy("rec_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("start_word", F.coalesce(F.sum(F.size("w")).over(before), F.lit(0)))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), F.col("source").alias("medio"), F.transform(F.split("text", "\n"), tokens).alias("lines"))
+    # Words before each line, summed up inside the row: no shuffle of all lines.
+    starts = F.aggregate("lines", F.array(F.lit(0).cast("long")), lambda s, x: F.array_append(s, F.element_at(s, -1) + F.size(x)))
+    lines = docs.select("rec_id", "medio", F.posexplode(F.arrays_zip("lines", starts.alias("starts"))).alias("seg", "l"))
+    lines = lines.select("rec_id", "medio", "seg", F.col("l.lines").alias("w"), F.col("l.starts").alias("start_word"))
     kept = lines.where(F.size("w") >= 5)
     return kept.select(
         "rec_id", "medio", "seg", "start_word", (F.col("start_word") + F.size("w") - 1).alias("end_word"),

@@ -106,6 +106,9 @@ class Reader:
         return self.range(int(self.first[k]), int(self.first[k + 1]))
 
 
+_MANIFEST = pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("first_doc", "last_doc", "documents", "ids"))])
+
+
 def _write(path: str, folder: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -118,11 +121,14 @@ def _write(path: str, folder: str, limit: int):
         def close() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.ids"  # a retried task writes other files; only the manifest's count
             with system.open_output_stream(f"{base}/{name}") as out:
-                out.write(file_bytes(doc_ids, ids, bits))
-            return pa.RecordBatch.from_pylist([{"file": name, "first_doc": doc_ids[0], "last_doc": doc_ids[-1], "documents": len(doc_ids), "ids": held}])
+                out.write(file_bytes([x or 0 for x in doc_ids], ids, bits))
+            return pa.RecordBatch.from_pylist([{"file": name, "first_doc": doc_ids[0], "last_doc": doc_ids[-1], "documents": len(doc_ids), "ids": held}], _MANIFEST)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if doc_ids and doc_id is None and doc_ids[0] is not None:  # a file holds rows with an id, or rows without
+                    yield close()
+                    doc_ids, ids, held = [], [], 0
                 doc_ids.append(doc_id)
                 ids.append(own.encode(text or "") + b"\0\0\0\0")
                 held += len(ids[-1]) // 4
@@ -137,16 +143,20 @@ def _write(path: str, folder: str, limit: int):
 
 def write_ids(docs: DataFrame, path: str, folder: str | None = None, limit: int = FILE_IDS) -> tuple[str, DataFrame]:
     """Writes the ids of all texts (null: empty), each with a closing 0, in ascending doc_id order (rows of one
-    doc_id by text; rows without one have no place in the order and are left out); the folder and its manifest: file, first_doc, last_doc, documents, ids, and `start`, the
+    doc_id by text; rows without one come after the last, in files of their own); the folder and its manifest: file, first_doc, last_doc, documents, ids, and `start`, the
     ids in all files before. The manifest is a written table with a row a file."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or scratch(spark, "packed-ids")
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base)
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.select(F.col("doc_id").cast("long"), "text")
+    order = F.col("doc_id").asc_nulls_last()
+    # Rows without an id may be many: they are spread by their texts.
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    ranged = ranged.repartitionByRange(order, spread).sortWithinPartitions(order, "text")
     files = written(ranged.mapInArrow(_write(path, folder, limit), "file string, first_doc long, last_doc long, documents long, ids long"), "manifest")
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("first_doc", "last_doc", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("ids").over(Window.orderBy(F.col("first_doc").asc_nulls_last(), "last_doc", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return folder, files.withColumn("start", before)  # a row a file: 30,000 files of 32 MB hold a terabyte
 
 
@@ -159,7 +169,7 @@ def _read(folder: str):
                     reader = Reader(source)
                     n = np.diff(reader.first)
                     crc = [zlib.crc32(reader.document(k).tobytes()) for k in range(len(n))]
-                    yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids), pa.array(reader.first[:-1] + row["start"]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids) if row["first_doc"] is not None else pa.nulls(len(n), pa.int64()), pa.array(reader.first[:-1] + row["start"]), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -168,5 +178,5 @@ def read_ids(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32, from the files."""
     spark = manifest.sparkSession
     size = manifest.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids")).first()
-    files = manifest.select("file", "start").repartition(max(1, min(size["files"], tasks(spark, 2 * size["ids"]))))
+    files = manifest.select("file", "start", "first_doc").repartition(max(1, min(size["files"], tasks(spark, 2 * size["ids"]))))
     return files.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

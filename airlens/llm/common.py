@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,26 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Scratch paths in the order in which they were made.
-made: list[str] = []
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Inside it, the scratch paths that this thread's operators make, in order: the caller can discard() them once it has read or
+    written the results. Other threads, and blocks inside it, have lists of their own."""
+    own: list[str] = []
+    token = _made.set(own)
+    try:
+        yield own
+    finally:
+        _made.reset(token)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return made[-1]
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _made.get()) is not None:
+        own.append(path)
+    return path
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:

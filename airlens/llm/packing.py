@@ -4,7 +4,8 @@ Only sizes decide a packing, and there are at most `capacity` of them, so it is
 piece lengths (2,048 numbers, whatever the input): best fit decreasing gives groups of equal bins (a tuple of
 sizes and how many bins hold it). The local search then works between groups of underfull bins: it moves a
 piece, exchanges one for one or two for one, whenever the sum of squared fills grows, for as many bins of the
-two groups at once as there are, until no exchange helps; bins that it empties go. Spark counts the histogram,
+two groups at once as there are, until no exchange helps, the bins are as few as the tokens need, or a bound on its looks is
+reached; bins that it empties go. A group finds its partner in an index, not by meeting all others. Spark counts the histogram,
 ranks the pieces within each size and joins them to the plan, which is broadcast: its rows are bounded by the
 number of groups, a few for each size.
 """
@@ -12,7 +13,7 @@ number of groups, a few for each size.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -27,6 +28,8 @@ from airlens.llm.common import small_batches, trimmed, written
 from airlens.llm.tokens import encoder
 
 CAPACITY = 2048
+#: Looks of the local search at most (some 10 s on the driver), and pieces that a look asks back at most for each that it could give.
+STEPS, LOOKS = 20_000, 8
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -93,74 +96,117 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return out
 
 
-def _better(a: tuple, b: tuple, capacity: int) -> tuple[tuple, tuple] | None:
-    """The exchange between bins a (fuller) and b that fills a most: a piece of b moves to a, or one or two of
-    b's pieces change places with one of a's. Any that fills the fuller bin more raises the sum of squares."""
-    space = capacity - sum(a)
-    held = Counter(b)
-    sizes = sorted(held, reverse=True)
-    best, found = 0, None
-    for x in sizes:  # a move
-        if best < x <= space:
-            best, found = x, ((), (x,))
-            break
-    if best < space:
-        gives = [((x,), x) for x in sizes]
-        gives += [((x, y), x + y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or held[x] > 1]
-        gives.sort(key=lambda g: g[1])
-        gains = [g[1] for g in gives]
-        for lost in set(a):
-            k = bisect_right(gains, space + lost) - 1  # the most that fits
-            if k >= 0 and gains[k] - lost > best:
-                best, found = gains[k] - lost, ((lost,), gives[k][0])
-                if best == space:
-                    break
-    if not found:
-        return None
-    out, into = found
-    one, other = list(a), list(b)
-    for x in out:
-        one.remove(x)
-        other.append(x)
-    for x in into:
-        other.remove(x)
-        one.append(x)
-    return tuple(sorted(one, reverse=True)), tuple(sorted(other, reverse=True))
-
-
-def local_search(bins: Counter, capacity: int = CAPACITY) -> Counter:
-    """Exchanges between groups of underfull bins until none raises the sum of squared fills, or until the bins are as few
-    as their pieces need. The emptiest group not yet compared meets every other one, the fullest first; a group that an
-    exchange makes is compared anew, so when none is left no pair of groups has an exchange that helps."""
+def _gives(content: tuple) -> list[tuple[int, tuple]]:
+    """What a bin can give: a piece or two, by their sum."""
+    held = Counter(content)
+    sizes = sorted(held)
+    one = [(x, (x,)) for x in sizes]
+    return one + [(x + y, (x, y)) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or held[x] > 1]
+
+
+class _Underfull:
+    """Groups of underfull bins by a piece that they can give back (0: none), each list in order of free space, and the most
+    space that a group with that piece has."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.by_piece, self.most = capacity, {}, np.full(capacity + 1, -1)
+
+    def add(self, content: tuple) -> None:
+        space = self.capacity - sum(content)
+        for piece in {0, *content}:
+            insort(self.by_piece.setdefault(piece, []), (space, content))
+            self.most[piece] = max(self.most[piece], space)
+
+    def drop(self, content: tuple) -> None:
+        space = self.capacity - sum(content)
+        for piece in {0, *content}:
+            own = self.by_piece[piece]
+            del own[bisect_left(own, (space, content))]
+            self.most[piece] = own[-1][0] if own else -1
+
+    def partner(self, own: tuple, single: bool) -> tuple[int, tuple, tuple, tuple] | None:
+        """An exchange that raises the sum of squared fills, of those looked at the one that leaves the other bin with the least
+        space: that space, what own gives, what it gets, the other. single: own is one bin, and no partner of itself."""
+        best, space = None, self.capacity - sum(own)
+        for gain, given in _gives(own):
+            if gain > self.capacity:
+                break
+            need = gain - np.arange(gain)  # net of each piece that could come back
+            over = self.most[:gain] - need
+            if len(given) > 1:
+                over[0] = -1  # two pieces move one by one
+            some = np.flatnonzero(over >= 0)
+            if len(some) > LOOKS:
+                some = some[np.argpartition(over[some], LOOKS)[:LOOKS]]
+            for lost in some.tolist():
+                net, groups = gain - lost, self.by_piece[lost]
+                at = bisect_left(groups, (net, ()))
+                if single and groups[at][1] == own:
+                    at += 1
+                # The other bin gets fuller than own was, or was fuller before.
+                if at < len(groups) and groups[at][0] < net + space and (best is None or groups[at][0] - net < best[0]):
+                    best = groups[at][0] - net, given, (lost,) if lost else (), groups[at][1]
+            if best is not None and best[0] == 0:
+                break
+        return best
+
+
+def local_search(bins: Counter, capacity: int = CAPACITY, steps: int | None = None, made: list | None = None) -> Counter:
+    """Exchanges between groups of underfull bins: a piece moves, or one or two pieces change places with one, where that
+    raises the sum of squared fills. Groups give in rounds, the emptiest first, each to the group that it fills best, found by
+    halving in an index of what groups can take. Ends with a round without an exchange, when the bins are as few as their pieces need, or after
+    `steps` looks (STEPS), which bounds the time whatever the histogram. made: gets (bins of an exchange) for each."""
     bins = +Counter(bins)
+    steps = STEPS if steps is None else steps
     left = sum(bins.values()) - -(-sum(sum(c) * n for c, n in bins.items()) // capacity)
-    under = {c for c in bins if sum(c) < capacity}
-    waiting = [(sum(c), c) for c in under]
-    heapify(waiting)
-    while waiting and left > 0:
-        _, own = heappop(waiting)
-        if not bins[own]:
-            continue
-        for other in sorted(under, key=lambda c: (-sum(c), c)):
-            a, b = (own, other) if sum(own) > sum(other) else (other, own)
-            while (n := min(bins[a], bins[b]) if a != b else bins[a] // 2) and (got := _better(a, b, capacity)):
-                for c in (a, b):
-                    bins[c] -= n
-                    if not bins[c]:
-                        under.discard(c)
-                for c in got:
-                    if not c:
-                        left -= n
-                        continue
-                    if not bins[c] and sum(c) < capacity:
-                        under.add(c)
-                        heappush(waiting, (sum(c), c))
-                    bins[c] += n
-            if not bins[own] or left <= 0:
-                break
+    under = _Underfull(capacity)
+    for c in sorted(bins):
+        if sum(c) < capacity:
+            under.add(c)
+    changed = True
+    while changed and left > 0 and steps > 0:
+        changed = False
+        waiting = [(sum(c), c) for c in bins if sum(c) < capacity]
+        heapify(waiting)
+        while waiting and left > 0 and steps > 0:
+            _, own = heappop(waiting)
+            while bins[own] and left > 0 and steps > 0:
+                steps -= 1
+                got = under.partner(own, bins[own] == 1)
+                if got is None:
+                    break
+                _, given, back, other = got
+                n = bins[own] // 2 if own == other else min(bins[own], bins[other])
+                if made is not None:
+                    made.append(n)
+                changed = True
+                left -= n * _exchange(bins, under, own, other, given, back, n, waiting)
     return +bins
 
 
+def _exchange(bins: Counter, under: _Underfull, own: tuple, other: tuple, given: tuple, back: tuple, n: int, waiting: list) -> int:
+    """Makes the exchange in n bins of either group; how many bins a pair of them loses."""
+    less, more = list(own), list(other)
+    for x in given:
+        less.remove(x)
+        more.append(x)
+    for x in back:
+        more.remove(x)
+        less.append(x)
+    for c in (own, other):
+        bins[c] -= n
+        if not bins[c]:
+            del bins[c]
+            under.drop(c)
+    for c in (tuple(sorted(less, reverse=True)), tuple(sorted(more, reverse=True))):
+        if c:
+            if not bins[c] and sum(c) < under.capacity:
+                under.add(c)
+                heappush(waiting, (sum(c), c))
+            bins[c] += n
+    return int(not less)
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, low, high, first_bin, each, offset): the pieces of that length ranked low to high-1 go into
     bins from first_bin on, `each` to a bin, the first at `offset`."""

@@ -13,7 +13,8 @@ one block by range, binary-searches its lines and reads the record by range.
 
 A null html is an empty payload and a null url an empty one; rows of one page_id are records of their own
 (those of the largest id of their payload are responses all). An empty table gives no archives and an empty
-result. Rows without a page_id can't be referred to and are left out. Extra columns are ignored.
+result. Rows without a page_id are archived under numbers at most UNNUMBERED and come back without one; they aren't referred to, but refer to a
+page of their payload that has an id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ BLOCK_LINES = 256
 INDEX_BYTES, READ_BYTES = 32 << 20, 32 << 20
 _FOOTER = "<QQ8s"  # where the directory begins, its length, magic
 _MAGIC = b"ALCDX001"
+#: Numbers from here down stand for pages without an id.
+UNNUMBERED = -(1 << 62)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -105,17 +108,24 @@ def _write(folder: str):
     return run
 
 
+def record_number() -> Column:
+    """The page_id; of a page without one a number at most UNNUMBERED, from its url and html, so that it is archived and found as
+    well. A payload that only such pages have is a response in each."""
+    own = F.lit(UNNUMBERED) - F.pmod(F.xxhash64("url", "html"), F.lit(1 << 61))
+    return F.coalesce(F.col("page_id").cast("long"), own)
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes the archives to folder; key, page_id, file, offset, length of every record, a written table."""
     spark = pages.sparkSession
     small_batches(spark)
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base)
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long"), "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    rows = pages.select(record_number().alias("page_id"), "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     copies = written(rows.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
     # Most payloads are unique; a payload that many pages share is dealt over several tasks.
     found = split_join(rows, copies.select("digest", "newest", F.col("n").alias("copies")), ["digest"], "page_id", rows.count(), "left")
-    refers = F.when(F.col("newest") != F.col("page_id"), F.col("newest"))
+    refers = F.when((F.col("newest") != F.col("page_id")) & (F.col("newest") > UNNUMBERED), F.col("newest"))
     ready = found.select("page_id", "url", "html", index_key(F.col("url")).alias("key"), refers.alias("refers_to"))
     return written(ready.mapInArrow(_write(folder), "key string, page_id long, file string, offset long, length long"), "captures")
 
@@ -239,16 +249,16 @@ def _look_up(folder: str, files: list[tuple[str, int, str]]):
                     if kind == "response" and base32_sha1(payload) != digest:
                         raise ValueError(f"record of page {page_id} is damaged")
                     refers = warc.get("WARC-Refers-To")
-                    rows.append({"page_id": page_id, "payload_bytes": int(http["Content-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": int(refers[10:-1]) if refers else None})
+                    rows.append({"page_id": page_id if page_id > UNNUMBERED else None, "payload_bytes": int(http["Content-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": int(refers[10:-1]) if refers else None})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
     return run
 
 
 def look_up(wanted: DataFrame, folder: str, files: list[tuple[str, int, str]], size: int = 0) -> DataFrame:
-    """wanted: page_id, url. Sorted by ranges of keys, so that a task reads few index blocks and each once; as many tasks
+    """wanted: page_id, url, html (of pages without an id). Sorted by ranges of keys, so that a task reads few index blocks and each once; as many tasks
     as the records' `size` in bytes asks for."""
-    keys = wanted.where("page_id is not null").select(index_key(F.col("url")).alias("key"), F.col("page_id").cast("long")).distinct()
+    keys = wanted.select(index_key(F.col("url")).alias("key"), record_number().alias("page_id")).distinct()
     ranged = keys.repartitionByRange(tasks(wanted.sparkSession, size, READ_BYTES), "key", "page_id").sortWithinPartitions("key", "page_id")
     return ranged.mapInArrow(_look_up(folder, files), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

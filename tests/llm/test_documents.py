@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from airlens.llm import bitpack, bpe, crowds, fingerprint, langid, neardup, packing, toxicity
+from airlens.llm import bitpack, bpe, common, crowds, fingerprint, langid, neardup, packing, toxicity
 from airlens.llm.queries import BYTES, WORDS
 from airlens.llm.tokens import Encoder
 from tests.llm.cases import TEXTS, documents, empty, rows
@@ -499,3 +499,59 @@ def test_toxicity(spark, sf):
     assert toxicity.predict(empty(spark), model).count() == 0
     none = toxicity.learn(docs, labels.limit(0))
     assert all(r["predicted"] == 0 for r in toxicity.predict(documents(spark), none).collect())
+
+
+def test_local_search_is_bounded_in_time():
+    """Histograms whose bound can't be reached: 2,048 sizes, and 424 sizes with 21 million pieces."""
+    import time
+
+    rng = np.random.default_rng(1)
+    for own in (Counter({int(x): int(n) for x, n in zip(range(1, 2049), rng.integers(1, 40, 2048))}), Counter({x: 50_000 for x in range(600, 1024)}), Counter({x: int(rng.integers(1, 50)) for x in range(683, 1024)})):
+        start = packing.best_fit(own)
+        made = []
+        began = time.time()
+        after = packing.local_search(start, made=made)
+        assert time.time() - began < 30
+        held = Counter()
+        for content, n in after.items():
+            assert sum(content) <= 2048
+            held.update({size: k * n for size, k in Counter(content).items()})
+        assert held == own and sum(after.values()) <= sum(start.values())
+
+
+def test_local_search_empties_bins_of_a_loose_start():
+    """From bins of one size each it comes within one in a hundred of what the tokens need."""
+    rng = np.random.default_rng(7)
+    own = Counter(rng.integers(20, 700, 3000).tolist())
+    loose = Counter()
+    for size, n in own.items():
+        each = 2048 // size
+        loose.update({(size,) * each: n // each} if n // each else {})
+        if n % each:
+            loose[(size,) * (n % each)] += 1
+    made = []
+    after = packing.local_search(loose, made=made)
+    need = -(-sum(x * n for x, n in own.items()) // 2048)
+    assert len(made) > 500 and sum(after.values()) <= 1.01 * need + 1 < sum(loose.values())
+
+
+def test_texts_without_an_id_come_last(spark):
+    given = [(None, "alpha beta"), (3, "x"), (None, ""), (1, None), (None, "alpha beta"), (3, "longer text here")]
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in bitpack.read_ids(*bitpack.write_ids(spark.createDataFrame(given, "doc_id long, text string"), BYTES, limit=2)).collect())
+    assert [r[1] for r in got] == [1, 3, 3, None, None, None]
+    assert [r[0] for r in got] == [sum(x[2] for x in got[:k]) for k in range(6)]
+
+
+def test_runs_keep_lists_of_their_own(spark):
+    """Scratch paths of another thread, or of a block inside, aren't those of a run."""
+    import threading
+
+    with common.recorded() as own:
+        first = common.scratch(spark, "a")
+        other = threading.Thread(target=lambda: common.scratch(spark, "b"))
+        other.start()
+        other.join()
+        with common.recorded() as inner:
+            common.scratch(spark, "c")
+        last = common.scratch(spark, "d")
+    assert own == [first, last] and len(inner) == 1

@@ -498,3 +498,12 @@ def test_webp_digests(spark):
     stored = webp.media(documents(spark))
     arrays = {r["doc_id"]: r for r in webp.pixel_arrays(stored).collect()}
     assert len(arrays[8]["rgba"]) == arrays[8]["width"] * arrays[8]["height"] * 4 and bytes(arrays[8]["rgba"][:3]) == b"wor"
+
+
+def test_pages_without_an_id_are_archived_too(spark):
+    """They come back without an id, refer to a page that has one, and are responses where none has."""
+    own = [(1, "http://a.com/x", "one"), (None, "http://a.com/x", "one"), (None, "http://a.com/x", "one"), (None, "http://a.com/x", "two"), (None, None, "two"), (None, None, None), (7, "http://b.com", None)]
+    df = spark.createDataFrame(own, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(df).collect()), key=str)
+    want = [(1, 3, "response", None), (None, 3, "revisit", 1), (None, 3, "revisit", 1), (None, 3, "response", None), (None, 3, "response", None), (None, 0, "revisit", 7), (7, 0, "response", None)]
+    assert got == sorted(want, key=str)

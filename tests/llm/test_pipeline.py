@@ -25,16 +25,16 @@ def test_stages_bear_odd_rows_and_empty_tables(spark):
 
 
 def test_rows_without_an_id(spark):
-    """No operator fails on them; all but the id-ordered files and archives give them a row."""
+    """No operator fails on them; all give them a row."""
     docs = spark.createDataFrame([(None, "one two three four five six", "en", "s", 1, "x", "y", 1), (None, None, None, None, None, None, None, None), (5, "one two three four five six", "en", "s", 1, "x", "y", 1)], SCHEMA)
     assert langid.predict(docs, {"en": [101]}).count() == 3
     assert toxicity.predict(docs, toxicity.Model(np.zeros(0, np.int32), np.zeros(0), -1.0)).count() == 3
     assert packing.pack(docs, WORDS).count() == 3 and fingerprint.fingerprints(docs).count() == 3 and bpe.round_trip(docs, BYTES).count() == 3 and webp.digests(docs).count() == 3
-    assert bitpack.read_ids(*bitpack.write_ids(docs, BYTES)).count() == 1
+    assert bitpack.read_ids(*bitpack.write_ids(docs, BYTES)).count() == 3
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in neardup.near_duplicates(docs).collect())
     assert got == [(0, 0, True), (0, 5, False), (5, 5, True)]
     pages = spark.createDataFrame([(None, "http://a.com/en/", "x"), (1, "http://a.com/en/", "x")], "page_id long, url string, html string")
-    assert warc.archived(pages).count() == 1 and urlfilter.judged(pages).count() == 2
+    assert warc.archived(pages).count() == 2 and urlfilter.judged(pages).count() == 2
 
 
 def test_pipeline_against_brute_force(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airlens.llm import crowds, langid, neardup, packing, toxicity
-from airlens.llm.common import discard, made, table, written
+from airlens.llm.common import discard, recorded, table, written
 from airlens.llm.queries import WORDS
 
 
@@ -61,10 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another. A stage's scratch tables, and the one before's result, go once its own is written."""
-    docs = source = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        before = max(0, len(made) - (docs is not source))
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard(spark, made[before:-1])
-        del made[before:-1]
+        with recorded() as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return docs

@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from airlens.llm import dialogue
+from airlens.llm.queries import SQL
 
 COLUMNS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
 
@@ -104,6 +106,17 @@ def test_given_table(spark, sf):
     assert run(df) == whole([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
 
 
+def test_sql_gives_the_same_rows(spark):
+    """The registered SQL on damaged, odd conversations, against brute force."""
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    rows = made(7, 60)
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    got = con.execute(SQL["op12_conversation_repair"])
+    assert [c[0] for c in got.description] == ["conv_id", *COLUMNS]
+    assert sorted(got.fetchall(), key=str) == whole(rows)
+
+
 def test_repaired_turns_are_legal_and_give_the_digest(spark):
     df = dialogue.damaged(spark.createDataFrame(made(5), "conv_id long, turn long, role string, text string"))
     by = {}

@@ -4,11 +4,13 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from airlens.llm import repeats
+from airlens.llm.queries import QUERIES, SQL
 from tests.llm.cases import SCHEMA, documents, empty, rows
 
 
@@ -96,6 +98,13 @@ def test_long_text_in_parts(spark, monkeypatch):
     assert got == [(1, len(raw), 1500, 3, hashlib.sha256(raw[gone].tobytes()).hexdigest()), (2, 306, 300, 1, hashlib.sha256(b"other ").hexdigest())]
 
 
+def test_given_table_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(con.execute(SQL["op11_repeated_passages"]).fetchall(), key=str)
+    assert result(QUERIES["op11_repeated_passages"](spark, sf)) == want and sum(r[2] for r in want) > 1000
+
+
 def test_multikey_order_is_lexicographic():
     r = np.random.default_rng(1)
     keys = [r.integers(0, 4, 500).astype(np.uint64) for _ in range(4)]

@@ -67,8 +67,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+#: Letters that a request id may have (a fixed value of the batch interface).
+ID_LENGTH = 64
+
+
 def custom_id(rec_id: Column, chunk: Column) -> Column:
-    return F.concat_ws("__", rec_id.cast("string"), chunk.cast("string"))
+    """`recording__chunk`; an id that would be longer than ID_LENGTH is an error, for its answer would never be found again."""
+    whole = F.concat_ws("__", rec_id.cast("string"), chunk.cast("string"))
+    return F.when(F.length(whole) <= ID_LENGTH, whole).otherwise(F.raise_error(F.concat(F.lit("request id too long: "), whole)))
 
 
 def parse_custom_id(value: Column) -> tuple[Column, Column]:

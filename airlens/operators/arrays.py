@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airlens.functions.text import custom_id
+
 RANGES = "array<struct<lo int, hi int>>"
 
 
@@ -121,7 +123,7 @@ def requests(transcripts: DataFrame, size: int = 600, context: int = 50, none: s
     body = F.array_join(F.transform("own", lambda i: F.concat(i.cast("string"), F.lit(":"), F.get("words", i))), " ")
     first = F.greatest(F.col("chunk") * size - min(context, size), F.lit(0))
     tail = F.array_join(F.transform(F.slice("left", first + 1, F.col("chunk") * size - first), lambda i: F.get("words", i)), " ")
-    return rows.select(F.concat_ws("__", "rec_id", "chunk").alias("custom_id"), "rec_id", "chunk", F.element_at("own", 1).alias("lo"), F.element_at("own", -1).alias("hi"), body.alias("body"), F.when(F.col("chunk") > 0, tail).otherwise(none).alias("context"))
+    return rows.select(custom_id(F.col("rec_id"), F.col("chunk")).alias("custom_id"), "rec_id", "chunk", F.element_at("own", 1).alias("lo"), F.element_at("own", -1).alias("hi"), body.alias("body"), F.when(F.col("chunk") > 0, tail).otherwise(none).alias("context"))
 
 
 def below(values: Column, limit: Column, equal: bool = False) -> Column:

@@ -167,7 +167,7 @@ def select_eval_set(recordings: DataFrame, n: int, slots: tuple[int, ...] = (6,
     stations = recordings.select("medio").distinct()
     names = stations.withColumn("m", F.row_number().over(Window.orderBy("medio")) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
     newest = F.row_number().over(Window.partitionBy("medio", "hora_local").orderBy(F.desc("t"), "rec_id"))
-    rows = recordings.withColumn("r", newest).where(F.col("r") <= n).join(F.broadcast(names), "medio")
+    rows = recordings.withColumn("r", newest).where(F.col("r") <= n).join(names, "medio")
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         left = group.sort_values(["t", "rec_id"], ascending=[False, True]).reset_index(drop=True)

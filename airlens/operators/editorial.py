@@ -17,7 +17,7 @@ def news_list(news: DataFrame, versions: DataFrame, recordings: DataFrame, progr
     """Four left joins: the current version, the recording, its programme (programa_id, programa, medio) and that one's station;
     news without any of them stay. Order by the caller: newest first."""
     out = news.join(versions, "news_id", "left").join(recordings, "rec_id", "left")
-    return out.join(F.broadcast(programmes), "programa_id", "left").join(F.broadcast(stations), "medio", "left")  # some hundreds of each
+    return out.join(programmes, "programa_id", "left").join(stations, "medio", "left")
 
 
 def filtered(rows: DataFrame, first: str | None = None, last: str | None = None, **wanted: str | None) -> DataFrame:

@@ -69,3 +69,12 @@ def fingerprint_coverage(disputed: DataFrame, prints: DataFrame, latest: int = 2
     own = disputed.join(prints.select("rec_id", F.col("start_word").alias("w"), "huella"), "rec_id").where("w >= start_word and w + 49 <= end_word")
     got = own.join(seen, "huella", "left").groupBy("rec_id", "idx").agg(F.count(F.lit(1)).alias("windows"), *(F.count_if(F.col("seen") >= k).alias(f"in_{k}") for k in (2, 3, 5)))
     return disputed.select("rec_id", "idx").join(got, ["rec_id", "idx"], "left").na.fill(0)
+
+
+def coverage_counts(covered: DataFrame) -> DataFrame:
+    """seen_in, blocks, too_short, half, three_quarters: of disputed blocks how many have no window, and how many have at least 50 and 75 %
+    of theirs in so many recordings. covered: fingerprint_coverage."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("seen_in"), F.col(f"in_{k}").alias("n")) for k in (2, 3, 5))))
+    rows = covered.select("windows", each.alias("e")).select("windows", "e.*")
+    part = lambda share: F.count_if((F.col("windows") > 0) & (F.col("n") >= share * F.col("windows")))
+    return rows.groupBy("seen_in").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("windows") == 0).alias("too_short"), part(0.5).alias("half"), part(0.75).alias("three_quarters"))

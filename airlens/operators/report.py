@@ -109,7 +109,7 @@ def actors(tagged: DataFrame, aliases: DataFrame, client: str, top: int = 10) ->
     broadcast), else by their first two words that are no particles, capitalised; a single word stays as it is. A name
     made of the client's words alone is left out. Each time a note names an actor counts."""
     people = tagged.where("mention").select("rec_id", "seg", F.explode("people").alias("said"))
-    named = people.withColumn("alias", unmarked(F.trim("said"))).join(F.broadcast(aliases), "alias", "left")
+    named = people.withColumn("alias", unmarked(F.trim("said"))).join(aliases, "alias", "left")
     own = F.array_union(F.array_distinct(F.filter(F.split(unmarked(F.lit(client)), r"\s+"), lambda w: w != "")), F.array(*map(F.lit, CLIENT_WORDS)))
     parts = F.filter(F.split(F.replace("alias", F.lit("."), F.lit(" ")), r"\s+"), lambda w: (w != "") & ~w.isin(*PARTICLES))
     short = F.when(F.size(parts) >= 2, F.initcap(F.array_join(F.slice(parts, 1, 2), " "))).otherwise(F.trim("said"))
@@ -186,7 +186,7 @@ def report_tables(tagged: DataFrame, client: str, period: str, noise: tuple[str,
 def mentions_export(notes: DataFrame, stations: DataFrame, topics: DataFrame, now: Column, most: int = 4000) -> DataFrame:
     """The newest notes of 48 hours with their station's name and reach, text cut at 1,500 characters back to a space, lists of
     eight, and a topic. notes: rec_id, seg, medio, momento, texto, people, tipo; stations: medio, name, audience; topics: tipo, topic."""
-    rows = notes.where((F.col("momento") >= now - F.expr("interval 48 hours")) & (F.col("momento") <= now)).join(F.broadcast(stations), "medio").join(F.broadcast(topics), "tipo", "left")
+    rows = notes.where((F.col("momento") >= now - F.expr("interval 48 hours")) & (F.col("momento") <= now)).join(stations, "medio").join(topics, "tipo", "left")
     cut = F.concat(F.regexp_extract(F.substring("texto", 1, 1500), r"(?s)^(.*)\s", 1), F.lit("…"))
     got = rows.select("rec_id", "seg", "name", "momento", F.when(F.length("texto") > 1500, cut).otherwise(F.col("texto")).alias("texto"), F.slice("people", 1, 8).alias("people"), F.coalesce("topic", F.lit("Otro")).alias("topic"), (F.bround(F.col("audience") * 4e6 / 100) * 100).cast("long").alias("reach"))
     return got.orderBy(F.desc("momento"), "rec_id", "seg").limit(most)
@@ -204,6 +204,20 @@ def daily_kpis(news: DataFrame) -> DataFrame:
     return news.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("estado") == "publicada").alias("published"), F.round(F.avg(F.col("reviewed") - F.col("created")), 6).alias("review_minutes"))
 
 
+def queue_sizes(news: DataFrame) -> DataFrame:
+    """day, queue: how many news wait at the end of each day on which one came or left. news: created and reviewed (minutes; reviewed null:
+    still waiting). Arrivals and departures are summed by day, and those sums over stretches of days, then inside each stretch:
+    the windows see a row a day and a row a stretch, and none holds all days."""
+    day = lambda c: F.floor(F.col(c) / 1440).cast("long")
+    ends = F.array(F.struct(day("created").alias("day"), F.lit(1).alias("d")), F.struct(day("reviewed").alias("day"), F.lit(-1).alias("d")))
+    moves = news.select(F.explode(ends).alias("e")).where("e.day is not null").groupBy("e.day").agg(F.sum("e.d").alias("d"))
+    moves = moves.withColumn("stretch", F.floor(F.col("day") / 512))
+    before = F.coalesce(F.sum("d").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = moves.groupBy("stretch").agg(F.sum("d").alias("d")).select("stretch", before.alias("base"))
+    own = F.sum("d").over(Window.partitionBy("stretch").orderBy("day"))
+    return moves.withColumn("own", own).join(base, "stretch").select("day", (F.col("own") + F.col("base")).alias("queue"))
+
+
 def precision(suggestions: DataFrame) -> DataFrame:
     """client, suggested, kept, precision."""
     got = suggestions.groupBy("client").agg(F.count(F.lit(1)).alias("suggested"), F.count_if(F.col("estado") != "descartada").alias("kept"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from airlens.functions.text import custom_id
 from airlens.operators.graph import checkpointed
 
 
@@ -37,7 +38,7 @@ def build_requests(words: DataFrame, size: int = 600, context: int = 50, none: s
     before = F.lag("tail").over(Window.partitionBy("rec_id").orderBy("chunk"))
     out = own.withColumn("tail", tail).withColumn("context", F.coalesce(before, F.lit(none)))
     body = F.array_join(F.transform("w", lambda x: F.concat(x["index"].cast("string"), F.lit(":"), x["word"])), " ")
-    return out.select(F.concat_ws("__", "rec_id", "chunk").alias("custom_id"), "rec_id", "chunk", F.element_at("w", 1)["index"].alias("lo"), F.element_at("w", -1)["index"].alias("hi"), body.alias("body"), "context")
+    return out.select(custom_id(F.col("rec_id"), F.col("chunk")).alias("custom_id"), "rec_id", "chunk", F.element_at("w", 1)["index"].alias("lo"), F.element_at("w", -1)["index"].alias("hi"), body.alias("body"), "context")
 
 
 def profile_block(profiles: DataFrame, instructions: str) -> DataFrame:

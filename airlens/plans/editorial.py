@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.operators import editorial as ed
+from airlens.operators import entities as en
+from airlens.operators import search as se
 from airlens.plans import demo
 from airlens.plans.register import registrar
 
@@ -176,6 +178,24 @@ def q17(spark: SparkSession, d: str) -> DataFrame:
     return ed.facets(rows, "medio", "sentiment")
 
 
+@query("q17_entity_search", "segments", """, m as (select rec_id || '-' || seg news_id, cast(momento - interval 6 hours as date) as day, unnest(people) as name, 'persona' tipo from segments
+        union all select rec_id || '-' || seg, cast(momento - interval 6 hours as date), unnest(keywords), 'institucion' from segments),
+    k as (select distinct news_id, day, tipo, trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as key from m),
+    e as (select distinct news_id, tipo, case when tipo = 'persona' and key in ('that', 'than') then 'the' else key end entity from k where key <> '' and day between date '2024-01-03' and date '2024-01-24'),
+    hit as (select news_id from e where (tipo = 'persona' and entity = 'the') or (tipo = 'institucion' and entity = 'in') group by 1 having count(*) = 2),
+    s as (select medio, sentiment from segments where rec_id || '-' || seg in (select news_id from hit))
+    select 'medio' dimension, medio as value, count(*) n from s group by 2 union all select 'sentiment', sentiment, count(*) from s group by 2 union all select 'all', null, count(*) from s""")
+def q17b(spark: SparkSession, d: str) -> DataFrame:
+    """News that name a person (by an alias) and an institution; aliases as resolve_mentions gives them."""
+    notes = demo.segments(spark, d).withColumn("news_id", F.concat_ws("-", "rec_id", "seg"))
+    versions = notes.select(F.col("news_id").alias("version_id"), "people", F.col("keywords").alias("organizations"), F.array().cast("array<string>").alias("locations"))
+    links = en.entity_links(versions, versions.limit(0))
+    resolved = spark.createDataFrame([("persona", "that", "the"), ("persona", "than", "the"), ("persona", "the", "the")], "tipo string, key string, entity string")
+    news = notes.select(F.col("news_id").alias("version_id"), "news_id", F.to_date(F.col("momento") - F.expr("interval 6 hours")).alias("day"))
+    wanted = spark.createDataFrame([("persona", "THAN"), ("persona", "that"), ("institucion", "In")], "tipo string, name string")
+    return se.faceted_search(notes, se.entity_postings(links, resolved, news), wanted, resolved, ["medio", "sentiment"], F.lit("2024-01-03").cast("date"), F.lit("2024-01-24").cast("date"))
+
+
 @query("q18_publish_approved", "recordings", """, s as (select o_orderkey, o_custkey client, o_orderkey % 1000 news_id, case o_orderstatus when 'F' then 'descartada' when 'O' then 'confirmada' else 'sugerida' end estado from orders)
     select estado, published, count(*) n from (select case when rec_id is not null and s.estado = 'confirmada' then 'publicada' else s.estado end estado, case when rec_id is not null and s.estado = 'confirmada' then rec_id // 24 end published from s left join recordings r on r.rec_id = s.news_id and r.estado = 'procesada') group by 1, 2""")
 def q18(spark: SparkSession, d: str) -> DataFrame:

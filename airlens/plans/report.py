@@ -269,6 +269,13 @@ def r15(spark: SparkSession, d: str) -> DataFrame:
     return rp.daily_kpis(rows)
 
 
+@query("r15_queue", "log", """, e as (select (minute // 1440)::bigint as day, 1 d from log union all select ((minute + k * 700) // 1440)::bigint, -1 from log where k % 4 <> 0),
+    s as (select day, sum(d) d from e where day is not null group by 1) select day, sum(d) over (order by day)::bigint as queue from s""")
+def r15c(spark: SparkSession, d: str) -> DataFrame:
+    reviewed = F.when(F.col("k") % 4 != 0, F.col("minute") + F.col("k") * 700)
+    return rp.queue_sizes(demo.log(spark, d).select(F.col("minute").alias("created"), reviewed.alias("reviewed")))
+
+
 @query("r15_precision", "", "select o_custkey % 50 client, count(*) suggested, count(*) filter (o_orderstatus <> 'F') kept, round(count(*) filter (o_orderstatus <> 'F') / count(*)::double, 6) as precision from orders group by 1")
 def r15b(spark: SparkSession, d: str) -> DataFrame:
     rows = demo.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("client"), F.when(F.col("o_orderstatus") == "F", "descartada").otherwise("confirmada").alias("estado"))

@@ -227,17 +227,26 @@ def n5(spark: SparkSession, d: str) -> DataFrame:
     return repeat.skip_chunks(chunks, _ads_of(prints.withColumn("texto", F.lit(""))))
 
 
-@query("n6_fingerprint_coverage", "transcripts blocks verdicts", PRINTS + """, disputed as (select distinct b.rec_id, b.idx, start_word, end_word from blocks b join verdicts v on v.model = b.model and v.rec_id = b.rec_id and v.idx = b.idx where not ok),
+_COVERAGE = PRINTS + """, disputed as (select distinct b.rec_id, b.idx, start_word, end_word from blocks b join verdicts v on v.model = b.model and v.rec_id = b.rec_id and v.idx = b.idx where not ok),
     recs as (select rec_id from (select rec_id, row_number() over (partition by medio order by rec_id desc) r from (select distinct rec_id, medio from prints) where rec_id not in (select rec_id from disputed)) where r <= 25),
-    seen as (select huella, count(distinct rec_id) seen from prints where rec_id in (select rec_id from recs) group by huella)
-    select d.rec_id, d.idx, count(p.huella) windows, count(*) filter (seen >= 2) in_2, count(*) filter (seen >= 3) in_3, count(*) filter (seen >= 5) in_5
-    from disputed d left join prints p on p.rec_id = d.rec_id and p.start_word >= d.start_word and p.start_word + 49 <= d.end_word left join seen s using (huella) group by d.rec_id, d.idx""")
+    seen as (select huella, count(distinct rec_id) seen from prints where rec_id in (select rec_id from recs) group by huella),
+    covered as (select d.rec_id, d.idx, count(p.huella) windows, count(*) filter (seen >= 2) in_2, count(*) filter (seen >= 3) in_3, count(*) filter (seen >= 5) in_5
+    from disputed d left join prints p on p.rec_id = d.rec_id and p.start_word >= d.start_word and p.start_word + 49 <= d.end_word left join seen s using (huella) group by d.rec_id, d.idx)"""
+
+
+@query("n6_fingerprint_coverage", "transcripts blocks verdicts", _COVERAGE + " select * from covered")
 def n6(spark: SparkSession, d: str) -> DataFrame:
     wrong = demo.verdicts(spark, d).where("not ok").select("model", "rec_id", "idx").distinct()
     disputed = demo.blocks(spark, d).join(wrong, ["model", "rec_id", "idx"]).select("rec_id", "idx", "start_word", "end_word")
     return repeat.fingerprint_coverage(disputed, repeat.fingerprints(demo.transcripts(spark, d)))
 
 
+@query("n6_coverage_counts", "transcripts blocks verdicts", _COVERAGE + """ select n seen_in, count(*) blocks, count(*) filter (windows = 0) too_short, count(*) filter (windows > 0 and got >= 0.5 * windows) half, count(*) filter (windows > 0 and got >= 0.75 * windows) three_quarters
+    from (select windows, 2 n, in_2 got from covered union all select windows, 3, in_3 from covered union all select windows, 5, in_5 from covered) group by n""")
+def n6b(spark: SparkSession, d: str) -> DataFrame:
+    return repeat.coverage_counts(n6(spark, d))
+
+
 @query("d5_control_sample", "blocks", "select model, rec_id, idx from blocks where ('0x' || substr(sha256(rec_id || '#' || idx), 1, 8))::bigint % 100 < 20")
 def d5(spark: SparkSession, d: str) -> DataFrame:
     return demo.blocks(spark, d).where(control_sample(F.col("rec_id"), F.col("idx"))).select("model", "rec_id", "idx")

@@ -39,7 +39,7 @@ def parse_recording_keys(keys: DataFrame) -> DataFrame:
 def discover_recordings(keys: DataFrame, stations: DataFrame, existing: DataFrame) -> DataFrame:
     """Every key with its outcome: created, existing, ignored (not recognised) or no station. stations: station."""
     parsed = parse_recording_keys(keys.select("s3_key").distinct())
-    known = parsed.join(F.broadcast(stations.select("station", F.lit(True).alias("_known"))), "station", "left")  # some dozens of rows
+    known = parsed.join(stations.select("station", F.lit(True).alias("_known")).distinct(), "station", "left")
     seen = existing.select("s3_key", F.lit(True).alias("_seen")).distinct()
     outcome = F.when(F.col("status") != "ok", "ignored").when(F.col("_seen"), "existing").when(F.col("_known"), "created").otherwise("no station")
     return known.join(seen, "s3_key", "left").withColumn("outcome", outcome).drop("_known", "_seen")
@@ -48,7 +48,7 @@ def discover_recordings(keys: DataFrame, stations: DataFrame, existing: DataFram
 def discover_from_coverage(coverage: DataFrame, cutoffs: DataFrame, existing: DataFrame) -> DataFrame:
     """Uploaded audio after its station's cut-off that is not known yet. coverage: s3_key, medio, media_type, status, fecha;
     cutoffs: medio, desde."""
-    ready = coverage.where("media_type = 'audio' and status = 'uploaded'").join(F.broadcast(cutoffs), "medio", "left")
+    ready = coverage.where("media_type = 'audio' and status = 'uploaded'").join(cutoffs, "medio", "left")
     return ready.where(F.col("desde").isNull() | (F.col("fecha") >= F.col("desde"))).join(existing.select("s3_key"), "s3_key", "left_anti").drop("desde")
 
 
@@ -163,7 +163,7 @@ def upsert_articles(items: DataFrame, sources: DataFrame, existing: DataFrame) -
     """items (fuente_id, guid, dia) with outcome: before cut-off, repeated or new; repeats inside a feed collapse to the
     earliest. sources: fuente_id, corte."""
     one = F.row_number().over(Window.partitionBy("fuente_id", "guid").orderBy("dia"))
-    rows = items.withColumn("_r", one).where("_r = 1").drop("_r").join(F.broadcast(sources), "fuente_id", "left").join(existing.select("fuente_id", "guid", F.lit(True).alias("_seen")).distinct(), ["fuente_id", "guid"], "left")
+    rows = items.withColumn("_r", one).where("_r = 1").drop("_r").join(sources, "fuente_id", "left").join(existing.select("fuente_id", "guid", F.lit(True).alias("_seen")).distinct(), ["fuente_id", "guid"], "left")
     outcome = F.when(F.col("dia") < F.coalesce("corte", F.lit(-1)), "before cut-off").when(F.col("_seen"), "repeated").otherwise("new")
     return rows.withColumn("outcome", outcome).drop("_seen", "corte")
 

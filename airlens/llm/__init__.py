@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: ten operators on documents and pages, each usable alone.
+"""Operations of a training-data pipeline: thirteen operators on documents, pages and conversations, each usable alone.
 
 Nothing outside this package imports it; `queries` holds the registered queries.
 """

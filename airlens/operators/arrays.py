@@ -10,6 +10,8 @@ A recording's ranges meet in one row of it, by a shuffle on rec_id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,12 +95,13 @@ def words_in(ranges: Column) -> Column:
     return F.flatten(F.transform(ranges, lambda r: F.slice("words", r["lo"] + 1, r["hi"] - r["lo"] + 1)))
 
 
-def segment_texts(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
+def segment_texts(segments: DataFrame, transcripts: DataFrame, start_at: Callable[[Column], Column] | None = None, end_at: Callable[[Column], Column] | None = None) -> DataFrame:
     """rec_id, seg, texto, inicio, fin: the words left whose index is in the segment's range; without any, no row. transcripts
-    with starts and ends."""
+    with starts and ends; where times follow from the index, start_at and end_at say how, and no times are shuffled."""
+    start_at, end_at = start_at or (lambda i: F.get("starts", i)), end_at or (lambda i: F.get("ends", i))
     both = segments.where("start_word <= end_word").select("rec_id", "seg", "start_word", "end_word").join(with_kept(transcripts), "rec_id")
     own = both.select("*", overlaps(kept_ranges(), F.col("start_word"), F.col("end_word")).alias("own")).where(F.size("own") > 0)
-    return own.select("rec_id", "seg", F.array_join(words_in(F.col("own")), " ").alias("texto"), F.get("starts", F.element_at("own", 1)["lo"]).alias("inicio"), F.get("ends", F.element_at("own", -1)["hi"]).alias("fin"))
+    return own.select("rec_id", "seg", F.array_join(words_in(F.col("own")), " ").alias("texto"), start_at(F.element_at("own", 1)["lo"]).alias("inicio"), end_at(F.element_at("own", -1)["hi"]).alias("fin"))
 
 
 def _chunked(transcripts: DataFrame, size: int) -> DataFrame:

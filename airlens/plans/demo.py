@@ -13,7 +13,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlens.functions.text import tokens
@@ -41,9 +41,17 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), F.col("source").alias("medio"), tokens(F.col("text")).alias("words"), "text")
 
 
+def start_at(index: Column) -> Column:
+    return index * 3 / F.lit(10.0)
+
+
+def end_at(index: Column) -> Column:
+    return (index * 30 + 28) / F.lit(100.0)
+
+
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts with the times of their words as arrays."""
-    start, end = F.transform("words", lambda w, i: i * 3 / F.lit(10.0)), F.transform("words", lambda w, i: (i * 30 + 28) / F.lit(100.0))
+    start, end = F.transform("words", lambda w, i: start_at(i)), F.transform("words", lambda w, i: end_at(i))
     return transcripts(spark, sf_dir).withColumns({"starts": start, "ends": end})
 
 

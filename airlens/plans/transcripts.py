@@ -113,7 +113,7 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
 @query("t7_segment_text_times", "segments transcripts", """select rec_id, seg, sha256(array_to_string(words[start_word + 1:end_word + 1], ' ')) text_hash, round(start_word * 3 / 10.0, 6)::double inicio, round((end_word * 30 + 28) / 100.0, 6)::double fin
     from segments join transcripts using (rec_id)""")
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    got = ar.segment_texts(demo.segments(spark, d), demo.timed(spark, d))
+    got = ar.segment_texts(demo.segments(spark, d), demo.transcripts(spark, d).select("rec_id", "words"), demo.start_at, demo.end_at)
     return got.select("rec_id", "seg", F.sha2("texto", 256).alias("text_hash"), F.round("inicio", 6).alias("inicio"), F.round("fin", 6).alias("fin"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,9 +58,9 @@ def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
     return pairs.mapInPandas(exact, "tipo string, a string, b string, ratio double")
 
 
-def keyed(mentions: DataFrame) -> DataFrame:
+def keyed(mentions: DataFrame, key: Callable[[Column, Column], Column] = normalize_entity) -> DataFrame:
     """mentions (tipo, name, seen) with their key; names that normalise to nothing are left out."""
-    return mentions.withColumn("key", normalize_entity(F.col("name"), F.col("tipo"))).where("key <> ''")
+    return mentions.withColumn("key", key(F.col("name"), F.col("tipo"))).where("key <> ''")
 
 
 def resolve_mentions(mentions: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
@@ -103,13 +103,14 @@ def resolve_mentions(mentions: DataFrame, catalog: DataFrame | None = None) -> D
             return links.where("mentions is not null")
 
 
-def entity_links(versions: DataFrame, linked: DataFrame) -> DataFrame:
-    """version_id, tipo, key of versions not linked yet, each once. versions: version_id, people, organizations, locations."""
+def entity_links(versions: DataFrame, linked: DataFrame, key: Callable[[Column, Column], Column] = normalize_entity) -> DataFrame:
+    """version_id, tipo, key of versions not linked yet, each once. versions: version_id, people, organizations, locations.
+    key: of a name and its kind; as a rule without titles."""
     todo = versions.join(linked.select("version_id").distinct(), "version_id", "left_anti")
     kinds = (("people", "persona"), ("organizations", "institucion"), ("locations", "lugar"))
     named = lambda kind: lambda x: F.struct(F.lit(kind).alias("tipo"), x.alias("name"))
     each = F.explode(F.concat(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), named(kind)) for c, kind in kinds)))
-    rows = todo.select("version_id", each.alias("e")).select("version_id", "e.tipo", normalize_entity(F.col("e.name"), F.col("e.tipo")).alias("key"))
+    rows = todo.select("version_id", each.alias("e")).select("version_id", "e.tipo", key(F.col("e.name"), F.col("e.tipo")).alias("key"))
     return rows.where("key <> ''").dropDuplicates(["version_id", "tipo", "key"])
 
 

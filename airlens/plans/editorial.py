@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airlens.functions.text import titled_entity
 from airlens.operators import editorial as ed
 from airlens.operators import entities as en
 from airlens.operators import search as se
@@ -189,7 +190,7 @@ def q17b(spark: SparkSession, d: str) -> DataFrame:
     """News that name a person (by an alias) and an institution; aliases as resolve_mentions gives them."""
     notes = demo.segments(spark, d).withColumn("news_id", F.concat_ws("-", "rec_id", "seg"))
     versions = notes.select(F.col("news_id").alias("version_id"), "people", F.col("keywords").alias("organizations"), F.array().cast("array<string>").alias("locations"))
-    links = en.entity_links(versions, versions.limit(0))
+    links = en.entity_links(versions, versions.limit(0), titled_entity)
     resolved = spark.createDataFrame([("persona", "that", "the"), ("persona", "than", "the"), ("persona", "the", "the")], "tipo string, key string, entity string")
     news = notes.select(F.col("news_id").alias("version_id"), "news_id", F.to_date(F.col("momento") - F.expr("interval 6 hours")).alias("day"))
     wanted = spark.createDataFrame([("persona", "THAN"), ("persona", "that"), ("institucion", "In")], "tipo string, name string")

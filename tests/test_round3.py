@@ -1,5 +1,7 @@
 """What the third review found: queries against their SQL on documents made for the fault, and what a plan must not hold."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -29,3 +31,21 @@ def test_titles_inside_a_hyphenated_name_stay(spark, tmp_path, name):
 def test_entity_search_keeps_titles_inside_names(spark, tmp_path):
     texts = [""] * 60 + ["La-The in casa verde ahora", "The in casa verde ahora", "La-The in casa roja ahora"]
     assert ("all", 1) in [(r[0], r[1]) for r in same_as_sql(spark, tmp_path, "q17_entity_search", texts)]
+
+
+def test_rounds_of_leaders_write_vectors_twice_at_most(spark, tmp_path, monkeypatch):
+    """Many rounds, nearly all of them leaders: what is on disk doesn't grow with the rounds."""
+    import os
+
+    from airlens.operators import leaders as ld
+
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}/checkpoints")
+    monkeypatch.setattr(ld, "shared_folder", lambda spark: f"file://{tmp_path}", raising=False)
+    monkeypatch.setattr(ld, "FIRST", 10)
+    monkeypatch.setattr(ld, "MOST", 10)
+    r = random.Random(1)
+    rows = [(i, sorted(r.sample(range(1 << 60), 400)), [r.uniform(0.04, 0.06) for _ in range(400)]) for i in range(120)]
+    got = ld.leader_clusters(spark.createDataFrame(rows, "id long, tokens array<long>, weights array<double>"), 0.5).collect()
+    assert {r.id: r.leader for r in got} == {i: i for i in range(120)}
+    written = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(tmp_path) for f in files)
+    assert written < 2.5 * 120 * 400 * 16

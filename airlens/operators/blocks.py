@@ -37,20 +37,24 @@ def normalize_partition(blocks: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """Blocks (model, rec_id, start_word, end_word, tipo, confidence) made to cover lo..hi of each recording once:
     clipped, cut where an earlier block covers, gaps filled with `desconocido` of confidence 0. A recording
     needs one row at least, for its lo and hi."""
-    own = blocks.withColumns({"_lo": lo, "_hi": hi})
+    # One shuffle and one sort: what can't be used comes last, and a recording's last row knows where its blocks end.
+    usable = F.coalesce((F.col("start_word") <= F.col("end_word")) & (F.col("start_word") <= F.col("_hi")) & (F.col("end_word") >= F.col("_lo")), F.lit(False))
+    own = blocks.withColumns({"_lo": lo, "_hi": hi}).withColumn("_ok", usable)
     key = ["model", "rec_id"]
-    order = Window.partitionBy(*key).orderBy("start_word", "end_word", "tipo")
-    usable = own.where("start_word <= end_word and start_word <= _hi and end_word >= _lo")
-    covered = F.max(F.least("end_word", "_hi")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cursor = F.greatest(F.col("_lo"), F.coalesce(covered + 1, F.col("_lo")))
-    placed = usable.withColumn("_cursor", cursor).withColumn("_from", F.greatest("start_word", "_cursor")).withColumn("_to", F.least("end_word", "_hi"))
-    kept = placed.where("_from <= _to").select(*key, F.col("_from").alias("start_word"), F.col("_to").alias("end_word"), "tipo", "confidence")
-    unknown = (F.lit("desconocido").alias("tipo"), F.lit(0.0).alias("confidence"))
-    gaps = placed.where("_from <= _to and _from > _cursor").select(*key, F.col("_cursor").alias("start_word"), (F.col("_from") - 1).alias("end_word"), *unknown)
-    ends = own.groupBy(*key).agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")).join(placed.groupBy(*key).agg(F.max("_to").alias("_last")), key, "left")
-    tail = F.coalesce(F.col("_last") + 1, F.col("_lo"))
-    rest = ends.where(tail <= F.col("_hi")).select(*key, tail.alias("start_word"), F.col("_hi").alias("end_word"), *unknown)
-    return kept.unionByName(gaps).unionByName(rest)
+    order = Window.partitionBy(*key).orderBy(F.desc("_ok"), "start_word", "end_word", "tipo")
+    end = F.when(F.col("_ok"), F.least("end_word", "_hi"))
+    covered, all_lo, all_hi = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.max("_lo").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = own.select(*key, "tipo", "confidence", "start_word", "_lo", "_ok", end.alias("_to"), covered.alias("_covered"), all_lo.alias("_first"), all_hi.alias("_end"), F.lead(F.lit(1)).over(order).isNull().alias("_last"))
+    placed = placed.withColumn("_cursor", F.greatest(F.col("_lo"), F.coalesce(F.col("_covered") + 1, F.col("_lo")))).withColumn("_from", F.greatest("start_word", "_cursor"))
+    part = lambda when, a, b, *kind: F.when(when, F.struct(a.cast("int").alias("start_word"), b.cast("int").alias("end_word"), kind[0].alias("tipo"), kind[1].cast("double").alias("confidence")))
+    kept, unknown = F.col("_ok") & (F.col("_from") <= F.col("_to")), (F.lit("desconocido"), F.lit(0.0))
+    tail = F.coalesce(F.greatest("_covered", "_to") + 1, F.col("_first"))
+    parts = F.array_compact(F.array(
+        part(kept, F.col("_from"), F.col("_to"), F.col("tipo"), F.col("confidence")),
+        part(kept & (F.col("_from") > F.col("_cursor")), F.col("_cursor"), F.col("_from") - 1, *unknown),
+        part(F.col("_last") & (tail <= F.col("_end")), tail, F.col("_end"), *unknown),
+    ))
+    return placed.select(*key, F.explode(parts).alias("p")).select(*key, "p.*")
 
 
 def exclude_single(blocks: DataFrame, threshold: float, types: tuple[str, ...] = ("publicidad", "musica")) -> DataFrame:

@@ -49,3 +49,21 @@ def test_rounds_of_leaders_write_vectors_twice_at_most(spark, tmp_path, monkeypa
     assert {r.id: r.leader for r in got} == {i: i for i in range(120)}
     written = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(tmp_path) for f in files)
     assert written < 2.5 * 120 * 400 * 16
+
+
+def test_keys_with_frequent_words_dont_meet(spark):
+    """Keys that share two frequent words and no more are no candidates; near ones are."""
+    from pyspark.sql import functions as F
+
+    from airlens.operators import entities as en
+
+    r = random.Random(2)
+    keys = list({"the and " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(300)})
+    frame = spark.createDataFrame([("p", k, i, len(k)) for i, k in enumerate([*keys, keys[0] + "s", keys[1][:-1]])], "tipo string, key string, seen long, n int")
+    got = {(x.x, x.y) for x in en._by_halves(frame, lambda both: F.floor(0.08 * both + 1e-9).cast("int")).collect()}
+    assert {(keys[0], keys[0] + "s"), (keys[1][:-1], keys[1])} <= got and len(got) < 50
+
+
+@pytest.mark.parametrize("name, word", [("s4_load_words", "Exchange"), ("u2_distil_then_segment", "posexplode"), ("d1_normalize_partition", "Join"), ("v10_pairwise_agreement", "Join"), ("v11_unanimity", "Join"), ("v13_disagreement_groups", "Join"), ("v14_category_terms", "Join")])
+def test_plans_hold_no_step_that_grew(spark, sf, name, word):
+    assert word not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

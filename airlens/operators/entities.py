@@ -12,45 +12,24 @@ from pyspark.sql.window import Window
 
 from airlens.functions.text import acronym, normalize_entity
 from airlens.operators.graph import checkpointed
+from airlens.operators.spellings import FAR, LARGE, near_ids
 
 RATIO, LEAST_LENGTH = 0.92, 10
 #: Characters of the n-grams that near spellings are found by.
 GRAM = 3
-#: Edits up to which near spellings are found by halves.
-SMALL = 3
-
-
-def _without_one(text: Column) -> Column:
-    """The text with each of its letters left out in turn."""
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))
+#: Tasks of a core, where work is more than its bytes tell.
+TASKS = 4
 
 
 def _by_halves(keys: DataFrame, edits: Callable[[Column], Column]) -> DataFrame:
-    """tipo, x, y, seen_x, seen_y, n, m: pairs of keys (tipo, key, seen, n) of at most SMALL edits, and others that share as much."""
-    key, n = F.col("key"), F.col("n")
-    marked = lambda part, length, texts: F.transform(texts, lambda t: F.xxhash64(F.lit(part), length, t))
-    none = F.array().cast("array<bigint>")
-    # A letter left out of both, or of one, is two edits at most: keys of equal length, or of one letter more.
-    whole = marked("whole", F.lit(0), F.concat(F.array(key), _without_one(key)))
-    head, tail = lambda of: F.floor(of / 2).cast("int"), lambda of: of - F.floor(of / 2).cast("int")
-    left, right = lambda k: F.left(key, k), lambda k: F.right(key, k)
-    shorter = [marked("head", n, F.array(left(head(n)))), marked("tail", n, F.array(right(tail(n))))]
-    cut = [marked("head-", n, _without_one(left(head(n)))), marked("tail-", n, _without_one(right(tail(n))))]
-    # With a letter more, three edits are a letter left out and two put in; with two or three more, all are put in.
-    shorter += [F.when(edits(2 * n + 1) == SMALL, c).otherwise(none) for c in cut]
-    longer = []
-    for gap in range(1, SMALL + 1):
-        own, d = n - gap, edits(2 * n - gap)
-        parts = [marked(part, own, F.concat(F.array(side(k)), _without_one(side(k + 1)))) for part, side, k in (("head", left, head(own)), ("tail", right, tail(own)))]
-        if gap == 1:
-            parts += [marked(part, own, F.array(side(k - 1))) for part, side, k in (("head-", left, head(own)), ("tail-", right, tail(own)))]
-        longer.append(F.when((d <= SMALL) & (d >= max(gap, SMALL if gap == 1 else 0)), F.concat(*parts)).otherwise(none))
-    each = lambda parts: F.explode(F.array_distinct(F.concat(whole, *parts))).alias("at")
-    x = keys.select("tipo", each(shorter), key.alias("x"), F.col("seen").alias("seen_x"), "n")
-    y = keys.select("tipo", each(longer), key.alias("y"), F.col("seen").alias("seen_y"), n.alias("m"))
-    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y")))
-    met = x.join(y, ["tipo", "at"]).where(ordered & (edits(F.col("n") + F.col("m")) <= SMALL))
-    return met.select("tipo", "x", "y", "seen_x", "seen_y", "n", "m")
+    """tipo, x, y, seen_x, seen_y, n, m: pairs of keys (tipo, key, seen, n; x is the shorter one) of up to LARGE edits, and others that share
+    as much. keys are read several times, in the same order."""
+    limits = tuple(r[1] for r in sorted(keys.sparkSession.range(FAR + 1).select("id", edits(F.col("id"))).collect()))
+    known = keys.withColumn("id", F.monotonically_increasing_id())
+    ids = near_ids(known.select("id", F.xxhash64("tipo").alias("salt"), "key"), limits)
+    side = lambda k: known.select(F.col("id").alias(k), F.col("tipo").alias(f"tipo_{k}"), F.struct("n", "key", "seen").alias(f"of_{k}"))
+    met = ids.join(side("x"), "x").join(side("y"), "y").where("tipo_x = tipo_y").select(F.col("tipo_x").alias("tipo"), F.least("of_x", "of_y").alias("x"), F.greatest("of_x", "of_y").alias("y"))
+    return met.select("tipo", F.col("x.key").alias("x"), F.col("y.key").alias("y"), F.col("x.seen").alias("seen_x"), F.col("y.seen").alias("seen_y"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
 
 
 def _by_grams(keys: DataFrame, most: Column) -> DataFrame:
@@ -66,17 +45,16 @@ def _by_grams(keys: DataFrame, most: Column) -> DataFrame:
     # The shorter one asks for each length that its partner may have.
     asked = rare.select("tipo", "gram", "nth", F.col("key").alias("x"), F.col("seen").alias("seen_x"), "n", F.explode(F.sequence(F.col("n"), F.col("n") + most)).alias("m"))
     near = asked.join(rare.select("tipo", "gram", "nth", F.col("key").alias("y"), F.col("seen").alias("seen_y"), F.col("n").alias("m")), ["tipo", "gram", "nth", "m"])
-    return near.select("tipo", "x", "y", "seen_x", "seen_y", "n", "m")
+    return near.select("tipo", "x", "y", "seen_x", "seen_y", "n", "m").distinct()
 
 
 def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
     """a, b, tipo, ratio of key pairs (a before b by `seen`) of one type, both of ten characters or more, whose
     Ratcliff-Obershelp ratio reaches the bound. keys: tipo, key, seen.
 
-    At that ratio at most d = 8 % of both lengths together are inserted or deleted. Up to d = SMALL (50 letters together) pairs meet at
-    hashes of what they must share: the whole keys, each with a letter left out or none, or, where more is edited, one half of
-    the shorter key, for one of the halves has one edit at most and stands at an end of both keys. So only keys meet that
-    are equal but for an edit over half their length, and not all keys with a frequent word. For longer keys, which are few, an
+    At that ratio at most d = 8 % of both lengths together are inserted or deleted. Up to d = LARGE (74 letters together) pairs meet at
+    hashes of what they must share (`spellings`): the whole keys but for a letter or more, or parts of them where more is edited. So only keys
+    meet that are nearly equal, and not all keys with a frequent word. For longer keys, which are few, an
     edit spoils GRAM of a key's character n-grams at most: of the rarest GRAM * d + 1 n-grams of either key one is among those of the
     other (a prefix filter). Lengths and a bounded edit distance are checked natively before the
     ratio itself.
@@ -86,12 +64,14 @@ def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
     n = F.length("key")
     edits = lambda both: F.floor(slack * both + 1e-9).cast("int")
     most = edits(F.col("n") + F.floor(F.col("n") * longest))
-    long = checkpointed(keys.where(n >= LEAST_LENGTH).select("tipo", "key", "seen", n.alias("n")))
-    near = _by_halves(long.where(edits(2 * F.col("n") - SMALL) <= SMALL), edits)
-    near = near.unionByName(_by_grams(long.where(most > SMALL), most).where(edits(F.col("n") + F.col("m")) > SMALL))
+    tasks = TASKS * keys.sparkSession.sparkContext.defaultParallelism
+    long = checkpointed(keys.where(n >= LEAST_LENGTH).select("tipo", "key", "seen", n.alias("n")).repartition(tasks, "key"))
+    beyond = lambda both: (edits(both) > LARGE) | (both > FAR)
+    near = _by_halves(long, edits)
+    near = near.unionByName(_by_grams(long.where(beyond(F.col("n") + F.floor(F.col("n") * longest))), most).where(beyond(F.col("n") + F.col("m"))))
     limit = edits(F.col("n") + F.col("m"))
     near = near.where(((F.col("n") < F.col("m")) | (F.col("x") < F.col("y"))) & (F.col("m") - F.col("n") <= limit))
-    near = near.where(F.levenshtein("x", "y") <= limit).select("tipo", "x", "y", "seen_x", "seen_y").distinct()
+    near = near.where(F.levenshtein("x", "y") <= limit).select("tipo", "x", "y", "seen_x", "seen_y")
     first = (F.col("seen_x") < F.col("seen_y")) | ((F.col("seen_x") == F.col("seen_y")) & (F.col("x") < F.col("y")))
     pairs = near.select("tipo", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
 
@@ -101,7 +81,7 @@ def fuzzy_link(keys: DataFrame, ratio: float = RATIO) -> DataFrame:
             batch = batch.assign(ratio=got)[["tipo", "a", "b", "ratio"]]
             yield batch[batch["ratio"] >= ratio]
 
-    return pairs.mapInPandas(exact, "tipo string, a string, b string, ratio double")
+    return pairs.repartition(tasks, "a").mapInPandas(exact, "tipo string, a string, b string, ratio double")
 
 
 def keyed(mentions: DataFrame, key: Callable[[Column, Column], Column] = normalize_entity) -> DataFrame:

@@ -89,6 +89,12 @@ def keyed(mentions: DataFrame, key: Callable[[Column, Column], Column] = normali
     return mentions.withColumn("key", key(F.col("name"), F.col("tipo"))).where("key <> ''")
 
 
+def counted_keys(mentions: DataFrame) -> DataFrame:
+    """tipo, key, seen (first), mentions of mentions (tipo, name, seen). Names are counted before they are normalised, each once."""
+    names = mentions.groupBy("tipo", "name").agg(F.min("seen").alias("seen"), F.count(F.lit(1)).alias("n"))
+    return keyed(names).groupBy("tipo", "key").agg(F.min("seen").alias("seen"), F.sum("n").alias("mentions"))
+
+
 def resolve_mentions(mentions: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """tipo, key, entity (its key), how, mentions of mentions (tipo, name, seen). A catalog (tipo, key, aliases) has been
     seen before all of them; of its entries the first by key owns an alias that several claim, and a key is no alias.
@@ -98,7 +104,7 @@ def resolve_mentions(mentions: DataFrame, catalog: DataFrame | None = None) -> D
     then has too, or it becomes an entity (`exact`). Entities alone claim acronyms, the first that has one, unless that
     is a key seen before. (Acronyms of ten letters or more are not compared by spelling.)
     """
-    keys = keyed(mentions).groupBy("tipo", "key").agg(F.min("seen").alias("seen"), F.count(F.lit(1)).alias("mentions"))
+    keys = counted_keys(mentions)
     if catalog is None:
         catalog = keys.sparkSession.createDataFrame([], "tipo string, key string, aliases array<string>")
     stored = catalog.select("tipo", "key", F.col("key").alias("entity"), F.lit(0).alias("order"))

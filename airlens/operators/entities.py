@@ -126,13 +126,15 @@ def resolve_mentions(mentions: DataFrame, catalog: DataFrame | None = None) -> D
     how = F.when(F.col("entity").isNotNull(), "catalog").when(short, "alias").when(F.col("near").isNotNull(), "fuzzy").otherwise("exact")
     next_key = F.coalesce("entity", F.when(short, F.col("owner")), "near", "key")
     links = checkpointed(found.select("tipo", "key", next_key.alias("entity"), how.alias("how"), "mentions"))
-    while True:  # an alias of an alias has the entity of that: chains halve in each round
-        ahead = links.where("key <> entity").select("tipo", F.col("key").alias("entity"), F.col("entity").alias("further"))
-        moved = links.join(ahead, ["tipo", "entity"], "left")
+    # An alias of an alias has the entity of that: chains halve in each round. What is its own entity stays.
+    own, chained = links.where("key = entity"), links.where("key <> entity")
+    while True:
+        ahead = chained.select("tipo", F.col("key").alias("entity"), F.col("entity").alias("further"))
+        moved = chained.join(ahead, ["tipo", "entity"], "left")
         new = checkpointed(moved.select("tipo", "key", F.coalesce("further", "entity").alias("entity"), "how", "mentions", F.col("further").isNotNull().alias("moved")))
-        links = new.drop("moved")
+        chained = new.drop("moved")
         if not new.where("moved").limit(1).count():
-            return links.where("mentions is not null")
+            return own.unionByName(chained).where("mentions is not null")
 
 
 def entity_links(versions: DataFrame, linked: DataFrame, key: Callable[[Column, Column], Column] = normalize_entity) -> DataFrame:

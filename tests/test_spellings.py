@@ -76,3 +76,15 @@ def test_names_are_counted_once_before_they_are_normalised(spark):
     rows = [("persona", "Ana", 5), ("persona", "Ana", 3), ("persona", "ANA!", 9), ("persona", "ana", 1), ("institucion", "Ana", 2), ("persona", "?", 4)]
     got = {(r.tipo, r.key): (r.seen, r.mentions) for r in en.counted_keys(spark.createDataFrame(rows, "tipo string, name string, seen long")).collect()}
     assert got == {("persona", "ana"): (1, 4), ("institucion", "ana"): (2, 1)}
+
+
+def test_chains_of_names_are_followed_without_the_others(spark, monkeypatch):
+    """A round writes only keys that aren't their own entity; a chain of near spellings ends at its first."""
+    sizes, written = [], en.checkpointed
+    monkeypatch.setattr(en, "checkpointed", lambda df: sizes.append(("moved" in df.columns, (out := written(df)).count())) or out)
+    rows = [("persona", "abcdefghijklmnopqrst" + "xyzw"[:i], i) for i in range(5)] + [("persona", f"{chr(97 + i) * 3} solo", 10 + i) for i in range(20)]
+    got = {r.key: (r.entity, r.how) for r in en.resolve_mentions(spark.createDataFrame(rows, "tipo string, name string, seen long")).collect()}
+    chain = sorted(k for k in got if k.startswith("abcd"))
+    assert all(got[k] == (chain[0], "exact" if k == chain[0] else "fuzzy") for k in chain) and len(got) == 25
+    rounds = [n for moved, n in sizes if moved]
+    assert rounds and set(rounds) == {4}
